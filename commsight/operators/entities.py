@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commsight.functions.text import normalize_text, words
-from commsight.operators.joins import bounded_broadcast
+from commsight.operators.joins import DEFAULT_BROADCAST_ROWS
+from commsight.session import spread
 
 
 def _grams(w: Column, n: int) -> Column:
@@ -55,14 +56,20 @@ def match_entities(questions: DataFrame, values: DataFrame, value_col: str = "Co
     """
     out = out or value_col
     keys = entity_keys(values, value_col, aliases)
-    # The phrase lengths to generate: a handful of small integers.
-    lengths = sorted(r[0] for r in keys.select("n_words").distinct().collect())
+    # One small job gives the phrase lengths to generate (a handful of small
+    # integers) and the key count that bounds the broadcast.
+    stats = keys.groupBy("n_words").count().collect()
+    lengths = sorted(r[0] for r in stats)
     if not lengths:
         return _empty_selection(questions, query_id, out)
-    w = words(text_col)
+    k = keys.select("key", "value")
+    if sum(r[1] for r in stats) <= DEFAULT_BROADCAST_ROWS:
+        k = F.broadcast(k)
+    # Tokenise once into a column; every n-gram length reads that column.
+    q = spread(questions.select(query_id, text_col)).select(query_id, words(text_col).alias("__w"))
+    w = F.col("__w")
     grams = F.array_distinct(F.flatten(F.array(*[_grams(w, n) for n in lengths])))
-    q = questions.select(query_id, F.explode(grams).alias("key"))
-    k = bounded_broadcast(keys.select("key", "value"))
+    q = q.select(query_id, F.explode(grams).alias("key"))
     return q.join(k, "key", "inner").select(query_id, F.col("value").alias(out)).distinct()
 
 

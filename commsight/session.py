@@ -65,3 +65,17 @@ def staging_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return os.path.join(checkpoint_dir(spark), f"stage-{name}-{uuid.uuid4().hex}")
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give CPU-heavy per-row work (tokenising, HTML parsing) enough tasks.
+
+    A small input stored as one file is one partition, i.e. one core.  If
+    ``df`` has fewer partitions than the cluster's default parallelism it is
+    round-robin repartitioned; a large input (many files, many splits) is
+    returned untouched, so at scale this adds no shuffle.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from commsight.functions.text import strip_suffix, strip_text
 from commsight.operators.sequence import ordered_row_number, previous_in_group
+from commsight.session import spread
 
 ELEMENT_SCHEMA = (
     "page_id long, pos int, parent int, depth int, tag string, classes array<string>, "
@@ -128,7 +129,7 @@ def html_elements(pages: DataFrame, page_id: str = "page_id", html: str = "html"
     script/style text excluded; entities decoded.  ``path`` lists the
     positions of the ancestors, root first.
     """
-    src = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).alias("html"))
+    src = spread(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).alias("html")))
     cols = [c.split()[0] for c in ELEMENT_SCHEMA.split(", ")]
 
     def run(batches):
