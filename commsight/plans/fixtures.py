@@ -819,6 +819,244 @@ def q_model_map(spark, d):
 SQL_MODEL_MAP = "SELECT n_nationkey, upper('Summarise ' || n_name) AS reply FROM nation"
 
 
+# ---------------------------------------------------------------- S4 + P5 + P6
+
+def _operator_pages(spark, d) -> DataFrame:
+    """One page per nation: a table whose first body row is the header and
+    whose Country cell is filled only on the first data row (region pages in
+    the reference's layout: a blank cell repeats the country above)."""
+    n = _t(spark, d, "nation")
+    r = _t(spark, d, "region")
+    s = _with_country(spark, d, "supplier", "s_nationkey")
+    # Each supplier page: header row, the first line naming the country, then
+    # the supplier's line with a blank country cell.
+    html = F.concat(
+        F.lit('<div class="entry-content"><table><tbody><tr><th>Country</th><th>Operator</th>'
+              '<th>Network Code</th><th>Display Text</th></tr><tr><td>'),
+        F.col("Country"), F.lit("</td><td>HQ "), F.col("Country"), F.lit("</td><td>"),
+        F.col("s_nationkey").cast("string"), F.lit("</td><td>HQ</td></tr><tr><td></td><td>"),
+        F.col("s_name"), F.lit("</td><td>0"), F.col("s_suppkey").cast("string"), F.lit("</td><td>"),
+        F.upper("s_name"), F.lit("</td></tr></tbody></table></div>"))
+    del n, r
+    return s.select(F.col("s_suppkey").alias("page_id"), html.alias("html"))
+
+
+def q_operator_list_ingest(spark, d):
+    el = H.html_elements(_operator_pages(spark, d))
+    t = H.html_table_rows(el, ["Country", "Operator", "Network Code", "Display Text"],
+                          container_class="entry-content", header="first_row")
+    # Rows of one page are a bounded group (one input row): plain windows.
+    filled = forward_fill(t, "Country", ["row_pos"], keys=["page_id"])
+    filled = C.drop_leading(filled, 1, keys=["page_id"], order=["row_pos"])
+    return filled.select("page_id", "Country", "Operator", "Network Code", "Display Text")
+
+
+SQL_OPERATOR_LIST_INGEST = """
+SELECT s_suppkey AS page_id, n_name AS Country, s_name AS Operator, '0' || s_suppkey AS "Network Code",
+       upper(s_name) AS "Display Text"
+FROM supplier JOIN nation ON s_nationkey = n_nationkey
+"""
+
+
+# ---------------------------------------------------------------- S5 + P7/P8 + U1 + U3 + K6
+
+def _card_pages(spark, d) -> DataFrame:
+    s = _with_country(spark, d, "supplier", "s_nationkey")
+    card = ('<a class="flex flex-col gap-2 rounded border border-gray-100 p-2 hover:border-teal-300 '
+            'hover:shadow-lg hover:shadow-teal-600/40" href="')
+    tail = F.when(F.col("s_acctbal") < 0, F.lit(" usa ")).otherwise(F.col("Country"))
+    html = F.concat(
+        F.lit("<div>" + card + "/dc/s-"), F.col("s_suppkey").cast("string"),
+        F.lit('"><div class="text font-medium hover:text-purple">'), F.col("s_name"),
+        F.lit('</div><div class="text-xs text-gray-500">Colocation</div><div class="text-xs text-gray-500">Street '),
+        F.col("s_suppkey").cast("string"), F.lit(", "), tail, F.lit("</div></a>" + card + "/dc/hub-"),
+        F.col("s_nationkey").cast("string"),
+        F.lit('"><div class="text font-medium hover:text-purple">Hub '), F.col("Country"),
+        F.lit('</div><div class="text-xs text-gray-500">Hub</div><div class="text-xs text-gray-500">Hub road, '),
+        F.col("Country"), F.lit("</div></a></div>"))
+    return s.select(F.col("s_suppkey").alias("page_id"),
+                    F.concat(F.lit("https://dc.example.com/locations?query="), F.lower("Country")).alias("url"),
+                    F.lower("Country").alias("keyword"), F.col("s_suppkey").alias("keyword_pos"),
+                    html.alias("html"))
+
+
+def q_datacenter_listing(spark, d):
+    pages = _card_pages(spark, d)
+    cards = H.html_cards(H.html_elements(pages), pages)
+    cards = cards.join(pages.select("page_id", "keyword", "keyword_pos"), "page_id")
+    kept = C.filter_by_country_key(cards, "Address", F.col("keyword"))
+    dedup = R.dedup_keep_first(kept.withColumn("error", F.lit(None).cast("string")),
+                               ["Link"], ["keyword_pos", "card_pos"])
+    return dedup.select(K.linked_name("Name", "Link").alias("Name"), "Type", "Address", "Link")
+
+
+SQL_DATACENTER_LISTING = """
+SELECT '[' || s_name || '](https://dc.example.com/dc/s-' || s_suppkey || ')' AS Name, 'Colocation' AS Type,
+       'Street ' || s_suppkey || ', ' || n_name AS Address, 'https://dc.example.com/dc/s-' || s_suppkey AS Link
+FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 0
+UNION ALL
+SELECT DISTINCT '[Hub ' || n_name || '](https://dc.example.com/dc/hub-' || n_nationkey || ')', 'Hub',
+       'Hub road, ' || n_name, 'https://dc.example.com/dc/hub-' || n_nationkey
+FROM supplier JOIN nation ON s_nationkey = n_nationkey
+"""
+
+
+# ---------------------------------------------------------------- S10 rejects, S11
+
+def q_ranking_rejects(spark, d):
+    s = _with_country(spark, d, "supplier", "s_nationkey")
+    item = F.struct(
+        F.when(F.col("s_acctbal") <= 9000, F.col("s_suppkey").cast("int")).alias("rank"),
+        F.col("s_name").alias("domain"))
+    body = F.to_json(F.struct(F.lit(True).alias("success"), F.struct(F.array(item).alias("top")).alias("result")))
+    _, bad = P.parse_ranking(s.select(F.col("Country").alias("country"), F.lit("domain_popularity").alias("metric"),
+                                      body.alias("body")))
+    return bad.select("country", "domain", "reason")
+
+
+SQL_RANKING_REJECTS = """
+SELECT n_name AS country, s_name AS domain, 'missing rank' AS reason
+FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 9000
+"""
+
+
+def q_unknown_shapes(spark, d):
+    s = _segment_shares(spark, d)
+    good = F.to_json(F.struct(F.lit(True).alias("success"), F.struct(F.array(F.struct(
+        F.col("category").alias("name"), F.col("share").alias("share"))).alias("summary_0")).alias("result")))
+    odd = F.to_json(F.struct(F.lit(True).alias("success"),
+                             F.struct(F.col("category").alias("summary_0")).alias("result")))
+    payloads = s.select("country", F.lit("os").alias("metric"),
+                        F.when(F.col("r_regionkey") == 4, odd).otherwise(good).alias("body"))
+    return P.unknown_shape_dump(payloads)
+
+
+SQL_UNKNOWN_SHAPES = f"""
+SELECT country, 'os' AS metric, '"' || category || '"' AS raw FROM ({_SQL_SHARES}) WHERE r_regionkey = 4
+"""
+
+
+# ---------------------------------------------------------------- J3, J6 + A1, W3, P11
+
+def q_alpha2_to_country(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("code"))
+    return J.alpha2_to_country(c, "code", _nation_dim(spark, d), out="country")
+
+
+SQL_ALPHA2_TO_COUNTRY = """
+SELECT c_custkey, 'n' || c_nationkey AS code, n_name AS country FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
+"""
+
+
+def _user_country_events(spark, d) -> DataFrame:
+    ev = _t(spark, d, "events")
+    cus = _with_country(spark, d, "customer", "c_nationkey").select("c_custkey", "Country")
+    return ev.join(cus, ev.user_id == cus.c_custkey).drop("c_custkey")
+
+
+def q_zip_results(spark, d):
+    grid = _t(spark, d, "nation").select(F.col("n_name").alias("Country"),
+                                         F.array(*[F.lit(t) for t in ("click", "error", "purchase", "refund")])
+                                         .alias("tests")) \
+        .select("Country", F.explode("tests").alias("test"))
+    ev = _user_country_events(spark, d).withColumnRenamed("event_type", "test")
+    counts = A.status_counts(ev, ["Country", "test"], F.col("value") >= 100.0)
+    return J.zip_results(grid, counts, ["Country", "test"])
+
+
+SQL_ZIP_RESULTS = """
+WITH g AS (SELECT n_name AS Country, t.test FROM nation, (VALUES ('click'), ('error'), ('purchase'), ('refund')) t(test)),
+c AS (SELECT n_name AS Country, event_type AS test, count(*) FILTER (WHERE value >= 100.0) AS anomalies,
+             count(*) FILTER (WHERE NOT value >= 100.0) AS accessible
+      FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT g.Country, g.test, c.anomalies, c.accessible FROM g LEFT JOIN c USING (Country, test)
+"""
+
+
+def q_limit_results(spark, d):
+    ev = _t(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    return R.limit_results(ev, ["user_id", "event_type"], ["ts", "event_id"], 3)
+
+
+SQL_LIMIT_RESULTS = """
+SELECT event_id, user_id, event_type, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events)
+WHERE rn <= 3
+"""
+
+
+def q_measurement_filters(spark, d):
+    m = P.parse_measurements(_measurement_payloads(spark, d), keep=["event_id"])
+    f = C.measurement_filters(m, test="error", only_anomalies=True)
+    f = C.measurement_filters(f, country=None)
+    return f.select("event_id", "probe_cc", "test_name")
+
+
+SQL_MEASUREMENT_FILTERS = """
+SELECT event_id, CAST(user_id AS VARCHAR) AS probe_cc, event_type AS test_name FROM events WHERE event_type = 'error'
+"""
+
+
+# ---------------------------------------------------------------- P1, P2, A8, K1/S2
+
+def q_replace_values(spark, d):
+    n = C.rename_columns(_t(spark, d, "nation"), {"n_name": "Country", "n_nationkey": "key", "absent": "x"})
+    aliases = _t(spark, d, "region").select(F.concat(F.lit("NATION_"), F.col("r_regionkey").cast("string")).alias("alias"),
+                                            F.concat(F.lit("Nation of "), F.col("r_name")).alias("canonical"))
+    n = C.replace_values(n, "Country", aliases)
+    return C.replace_values(n, "Country", {"NATION_24": "Last nation"}).select("key", "Country")
+
+
+SQL_REPLACE_VALUES = """
+SELECT n_nationkey AS key,
+       CASE WHEN n_name = 'NATION_24' THEN 'Last nation' ELSE coalesce('Nation of ' || r_name, n_name) END AS Country
+FROM nation LEFT JOIN region ON n_name = 'NATION_' || r_regionkey
+"""
+
+
+def q_completeness_check(spark, d):
+    tagged = A.tag_sources({
+        "customer": _with_country(spark, d, "customer", "c_nationkey"),
+        "supplier": _with_country(spark, d, "supplier", "s_nationkey"),
+        "refunds": _with_country(spark, d, "customer", "c_nationkey").where(F.col("c_acctbal") > 1e12),
+    })
+    exp = _t(spark, d, "region").select(
+        F.when(F.col("r_regionkey") == 0, "customer").when(F.col("r_regionkey") == 1, "supplier")
+        .when(F.col("r_regionkey") == 2, "refunds").alias("source"),
+        F.lit(2080).cast("long").alias("expected_rows")).where(F.col("source").isNotNull())
+    return A.completeness_check(tagged, exp)
+
+
+SQL_COMPLETENESS_CHECK = """
+WITH c AS (SELECT 'customer' AS source, count(*) AS n FROM customer
+           UNION ALL SELECT 'supplier', count(*) FROM supplier
+           UNION ALL SELECT 'refunds', count(*) FROM customer WHERE c_acctbal > 1e12)
+SELECT source, CAST(2080 AS BIGINT) AS expected_rows, CAST(n AS BIGINT) AS n_rows,
+       CASE WHEN n = 0 THEN 'empty' WHEN n < 2080 THEN 'short' ELSE 'ok' END AS status
+FROM c
+"""
+
+
+def q_csv_roundtrip(spark, d):
+    from commsight.session import staging_path
+    from commsight.sources.tables import load_csv_table, write_csv
+    from pyspark.sql import types as T
+
+    c = _t(spark, d, "customer").select(
+        F.format_string("%06d", "c_custkey").alias("code"), "c_name",
+        F.concat(F.col("c_mktsegment"), F.lit(", line\nnext")).alias("note"))
+    path = staging_path(spark, "csv")
+    write_csv(c, path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("code", "c_name", "note")])
+    return load_csv_table(spark, path, schema)
+
+
+SQL_CSV_ROUNDTRIP = """
+SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code, c_name, c_mktsegment || ', line' || chr(10) || 'next' AS note
+FROM customer
+"""
+
+
 # ---------------------------------------------------------------- registry
 
 QUERIES = {
@@ -860,4 +1098,15 @@ QUERIES = {
     "strip_text": (q_strip_text, SQL_STRIP_TEXT),
     "sections": (q_sections, SQL_SECTIONS),
     "model_map": (q_model_map, SQL_MODEL_MAP),
+    "operator_list_ingest": (q_operator_list_ingest, SQL_OPERATOR_LIST_INGEST),
+    "datacenter_listing": (q_datacenter_listing, SQL_DATACENTER_LISTING),
+    "ranking_rejects": (q_ranking_rejects, SQL_RANKING_REJECTS),
+    "unknown_shapes": (q_unknown_shapes, SQL_UNKNOWN_SHAPES),
+    "alpha2_to_country": (q_alpha2_to_country, SQL_ALPHA2_TO_COUNTRY),
+    "zip_results": (q_zip_results, SQL_ZIP_RESULTS),
+    "limit_results": (q_limit_results, SQL_LIMIT_RESULTS),
+    "measurement_filters": (q_measurement_filters, SQL_MEASUREMENT_FILTERS),
+    "replace_values": (q_replace_values, SQL_REPLACE_VALUES),
+    "completeness_check": (q_completeness_check, SQL_COMPLETENESS_CHECK),
+    "csv_roundtrip": (q_csv_roundtrip, SQL_CSV_ROUNDTRIP),
 }

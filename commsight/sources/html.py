@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commsight.functions.text import strip_suffix, strip_text
-from commsight.operators.sequence import ordered_row_number, previous_in_group
+from commsight.operators.sequence import previous_in_group
 from commsight.session import spread
 
 ELEMENT_SCHEMA = (
     "page_id long, pos int, parent int, depth int, tag string, classes array<string>, "
-    "attrs map<string,string>, text string, path array<int>, path_tags array<string>"
+    "attrs map<string,string>, text string, path array<int>, path_tags array<string>, "
+    "path_ids array<string>, path_classes array<string>"
 )
 
 # HTML void elements (never have children or an end tag).
@@ -60,7 +61,9 @@ class _Elements(HTMLParser):
         parent = self.stack[-1] if self.stack else -1
         path = list(self.stack)
         self.out.append([pos, parent, len(path), tag, a.get("class", "").split(), a, [],
-                         path, [self.out[p][3] for p in path]])
+                         path, [self.out[p][3] for p in path],
+                         [self.out[p][5].get("id") for p in path],
+                         [self.out[p][5].get("class") for p in path]])
         return pos
 
     def _close_to(self, i: int) -> None:
@@ -117,17 +120,20 @@ def _parse_page(page_id: int, html: str) -> list[tuple]:
         p.close()
     except Exception:  # a broken page keeps whatever was parsed
         pass
-    return [(page_id, e[0], e[1], e[2], e[3], e[4], e[5], "".join(e[6]), e[7], e[8]) for e in p.out]
+    return [(page_id, e[0], e[1], e[2], e[3], e[4], e[5], "".join(e[6]), e[7], e[8], e[9], e[10])
+            for e in p.out]
 
 
 def html_elements(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """One row per element: (page_id, pos, parent, depth, tag, classes,
-    attrs, text, path, path_tags).
+    attrs, text, path, path_tags, path_ids, path_classes).
 
     ``text`` is the element's visible text as ``get_text(strip=True)`` gives
     it: every text node stripped, empties dropped, joined with ``''``;
     script/style text excluded; entities decoded.  ``path`` lists the
-    positions of the ancestors, root first.
+    positions of the ancestors, root first; ``path_tags``, ``path_ids`` and
+    ``path_classes`` give their tags, ``id`` and ``class`` attributes, so
+    ancestor tests need no join back to the stream.
     """
     src = spread(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).alias("html")))
     cols = [c.split()[0] for c in ELEMENT_SCHEMA.split(", ")]
@@ -166,6 +172,19 @@ def class_attr_is(value: str) -> Column:
     return F.coalesce(F.col("attrs")["class"] == F.lit(value), F.lit(False))
 
 
+def _nearest(field: str, tags: Sequence[str]) -> Column:
+    """``field`` of the nearest ancestor whose tag is in ``tags``."""
+    z = F.arrays_zip(F.col("path").alias("p"), F.col("path_tags").alias("t"),
+                     F.col("path_ids").alias("i"), F.col("path_classes").alias("c"))
+    hit = F.filter(z, lambda x: x["t"].isin(list(tags)))
+    return F.when(F.size(hit) > 0, F.element_at(hit, -1)[field])
+
+
+def _inside_div_with_class(cls: str) -> Column:
+    z = F.arrays_zip(F.col("path_tags").alias("t"), F.col("path_classes").alias("c"))
+    return F.exists(z, lambda x: (x["t"] == "div") & F.array_contains(F.split(F.coalesce(x["c"], F.lit("")), " "), cls))
+
+
 def html_table_rows(elements: DataFrame, columns: Sequence[str], table_id: str | None = None,
                     container_class: str | None = None, header: str = "thead") -> DataFrame:
     """The rows of the located table(s), one output column per cell.
@@ -180,41 +199,37 @@ def html_table_rows(elements: DataFrame, columns: Sequence[str], table_id: str |
     Rows without any data cell are skipped.  Cells beyond ``columns`` are
     ignored, missing ones are null.  Output: (page_id, table_pos, row_pos,
     row_idx, *columns) with ``row_idx`` 0-based among emitted rows.
+
+    One pass over the element stream: the table test reads the cell's own
+    ancestor arrays, and the windows are per page (a page is one input row,
+    so these groups are bounded by what one task already parsed).
     """
-    el = elements
-    tables = el.where(F.col("tag") == "table")
+    cells = elements.where(F.col("tag").isin("td", "th")).select(
+        "page_id", "pos", "tag", "text",
+        _nearest("p", ["table"]).alias("table_pos"),
+        _nearest("i", ["table"]).alias("__tid"),
+        _nearest("p", ["tr"]).alias("row_pos"),
+        _nearest("t", ["thead", "tbody", "tfoot"]).alias("section"),
+        *([_inside_div_with_class(container_class).alias("__in")] if container_class else []),
+    ).where(F.col("row_pos").isNotNull() & F.col("table_pos").isNotNull())
     if table_id is not None:
-        tables = tables.where(F.col("attrs")["id"] == F.lit(table_id))
+        cells = cells.where(F.col("__tid") == F.lit(table_id))
     if container_class is not None:
-        divs = el.where((F.col("tag") == "div") & F.array_contains("classes", container_class)) \
-            .select("page_id", F.col("pos").alias("__div"))
-        t2 = tables.select("page_id", "pos", F.explode("path").alias("__div"))
-        tables = tables.join(t2.join(divs, ["page_id", "__div"], "left_semi").select("page_id", "pos").distinct(),
-                             ["page_id", "pos"], "left_semi")
-    tables = tables.select("page_id", F.col("pos").alias("table_pos"))
-    cells = el.where(F.col("tag").isin("td", "th")).select(
-        "page_id", "pos", "tag", "text",
-        nearest_ancestor("table").alias("table_pos"),
-        nearest_ancestor("tr").alias("row_pos"),
-        nearest_ancestor_tag(["thead", "tbody", "tfoot"]).alias("section"),
-    ).where(F.col("row_pos").isNotNull())
-    cells = cells.join(tables, ["page_id", "table_pos"], "left_semi")
+        cells = cells.where(F.col("__in"))
+    body = cells.where(F.coalesce(F.col("section"), F.lit("tbody")) == "tbody")
     if header == "first_row":
-        body = cells.where(F.coalesce(F.col("section"), F.lit("tbody")) == "tbody")
-        first = body.groupBy("page_id", "table_pos").agg(F.min("row_pos").alias("__hdr"))
-        data = body.join(first, ["page_id", "table_pos"]).where(
+        first = F.min("row_pos").over(Window.partitionBy("page_id", "table_pos"))
+        data = body.withColumn("__hdr", first).where(
             (F.col("row_pos") != F.col("__hdr")) & (F.col("tag") == "td")).drop("__hdr")
     else:
-        data = cells.where((F.coalesce(F.col("section"), F.lit("tbody")) == "tbody") & (F.col("tag") == "td"))
+        data = body.where(F.col("tag") == "td")
     w = Window.partitionBy("page_id", "row_pos").orderBy("pos")
-    data = data.withColumn("__ci", F.row_number().over(w) - 1)
-    wide = data.groupBy("page_id", "table_pos", "row_pos").pivot("__ci", list(range(len(columns)))) \
-        .agg(F.first("text"))
-    for i, name in enumerate(columns):
-        wide = wide.withColumnRenamed(str(i), name)
-    wide = ordered_row_number(wide, ["page_id", "table_pos"], ["row_pos"], out="row_idx")
-    return wide.withColumn("row_idx", F.col("row_idx") - 1).select(
-        "page_id", "table_pos", "row_pos", "row_idx", *columns)
+    data = data.withColumn("__ci", F.row_number().over(w) - 1).where(F.col("__ci") < len(columns))
+    wide = data.groupBy("page_id", "table_pos", "row_pos").agg(
+        *[F.max(F.when(F.col("__ci") == i, F.col("text"))).alias(name) for i, name in enumerate(columns)])
+    rw = Window.partitionBy("page_id", "table_pos").orderBy("row_pos")
+    return wide.select("page_id", "table_pos", "row_pos", (F.row_number().over(rw) - 1).cast("long").alias("row_idx"),
+                       *columns)
 
 
 def html_table_header(elements: DataFrame, table_id: str | None = None) -> DataFrame:
@@ -255,19 +270,28 @@ def html_cards(elements: DataFrame, pages: DataFrame, card_tag: str = "a",
     Name is the first inner div whose class text is ``name_class``; Type and
     Address are the first and second divs with ``detail_class``; ``''`` when
     absent.  Link is the card's href made absolute against the page URL.
+
+    One aggregation over the element stream: every element is keyed by its
+    card (the anchor itself, or the nearest enclosing anchor), so the anchor
+    and its inner divs meet in the same group without a join.
     """
-    cards = elements.where((F.col("tag") == card_tag) & has_classes(card_classes)).select(
-        "page_id", F.col("pos").alias("card_pos"), F.coalesce(F.col("attrs")["href"], F.lit("")).alias("href"))
-    divs = elements.where(F.col("tag") == "div").select(
-        "page_id", "pos", "text", nearest_ancestor(card_tag).alias("card_pos"),
-        class_attr_is(name_class).alias("__is_name"), class_attr_is(detail_class).alias("__is_detail"),
-    ).where(F.col("card_pos").isNotNull() & (F.col("__is_name") | F.col("__is_detail")))
-    per_card = divs.groupBy("page_id", "card_pos").agg(
+    is_card = (F.col("tag") == card_tag) & has_classes(card_classes)
+    own = F.when(F.col("tag") == card_tag, F.col("pos"))
+    card_pos = F.coalesce(own, nearest_ancestor(card_tag))
+    el = elements.where(is_card | (F.col("tag") == "div")).select(
+        "page_id", "pos", "text", card_pos.alias("card_pos"), is_card.alias("__card"),
+        F.when(is_card, F.coalesce(F.col("attrs")["href"], F.lit(""))).alias("__href"),
+        ((F.col("tag") == "div") & class_attr_is(name_class)).alias("__is_name"),
+        ((F.col("tag") == "div") & class_attr_is(detail_class)).alias("__is_detail"),
+    ).where(F.col("card_pos").isNotNull())
+    per_card = el.groupBy("page_id", "card_pos").agg(
+        F.max("__card").alias("__card"),
+        F.max("__href").alias("href"),
         F.min_by(F.col("text"), F.when(F.col("__is_name"), F.col("pos"))).alias("__name"),
         F.sort_array(F.collect_list(F.when(F.col("__is_detail"), F.struct("pos", "text")))).alias("__det"),
-    )
+    ).where(F.col("__card"))
     urls = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url_col).alias("__url"))
-    out = cards.join(per_card, ["page_id", "card_pos"], "left").join(urls, "page_id", "left")
+    out = per_card.join(urls, "page_id", "left")
     det = F.coalesce(F.col("__det"), F.array())
     return out.select(
         "page_id", "card_pos",
