@@ -1057,6 +1057,49 @@ FROM customer
 """
 
 
+# ---------------------------------------------------------------- the whole report (no SQL oracle)
+
+def q_report(spark, d):
+    """Every customer's question through all four report sections.
+
+    Stored tables: suppliers as mobile operators, customer segments as ISPs;
+    data-centre cards from the card pages; measurements from events (code
+    of the user's nation, test = event type, anomaly = value >= 100);
+    metrics = customer-segment shares per nation; ranking = suppliers.
+    """
+    from commsight.plans.report import report_rows
+
+    nat = _t(spark, d, "nation").select(F.col("n_name").alias("Country"))
+    sup = _with_country(spark, d, "supplier", "s_nationkey").select("Country", F.col("s_name").alias("op"))
+    cus = _with_country(spark, d, "customer", "c_nationkey").select("Country", F.col("c_mktsegment").alias("isp"))
+    tables = [("nations", nat), ("operators", sup), ("isps", cus)]
+    provider_columns = {"operators": ("Mobile Network Operators", "op"), "isps": ("Internet Service Providers", "isp")}
+    c = _t(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    requests = _questions(spark, d).join(c, F.col("query_id") == c.c_custkey).select(
+        "query_id", "user_query",
+        F.array(*[F.lit(t) for t in ("click", "error", "purchase", "refund")]).alias("test_names"),
+        (F.col("c_mktsegment") == "BUILDING").alias("only_anomalies"), F.lit(HORIZON).alias("horizon"))
+    pages = _card_pages(spark, d)
+    cards = H.html_cards(H.html_elements(pages), pages).join(
+        pages.select("page_id", "keyword", "keyword_pos"), "page_id")
+    ev = _user_country_events(spark, d)
+    dim = _nation_dim(spark, d)
+    code_of = dim.select(F.col("name").alias("Country"), "alpha_2")
+    meas = ev.join(code_of, "Country").select(
+        F.col("alpha_2").alias("probe_cc"), F.col("event_type").alias("test_name"),
+        F.col("ts").alias("measurement_start_time"), (F.col("value") >= 100.0).alias("anomaly"))
+    shares = _with_country(spark, d, "customer", "c_nationkey").groupBy("Country", "c_mktsegment").count()
+    tot = _with_country(spark, d, "customer", "c_nationkey").groupBy("Country").agg(F.count(F.lit(1)).alias("t"))
+    metrics = shares.join(tot, "Country").join(code_of, "Country").select(
+        F.col("alpha_2").alias("country"), F.lit("segment_share").alias("metric"),
+        F.col("c_mktsegment").alias("category"), (F.col("count") / F.col("t")).alias("share"))
+    ranking = _with_country(spark, d, "supplier", "s_nationkey").join(code_of, "Country").select(
+        F.col("alpha_2").alias("country"), F.col("s_suppkey").cast("int").alias("rank"),
+        F.lower("s_name").alias("domain"), F.lit("telecom").alias("categories"))
+    return report_rows(requests, tables, dim, AS_OF, cards=cards, measurements=meas, metrics=metrics,
+                       ranking=ranking, threshold=ALERT_THRESHOLD, provider_columns=provider_columns)
+
+
 # ---------------------------------------------------------------- registry
 
 QUERIES = {
@@ -1109,4 +1152,5 @@ QUERIES = {
     "replace_values": (q_replace_values, SQL_REPLACE_VALUES),
     "completeness_check": (q_completeness_check, SQL_COMPLETENESS_CHECK),
     "csv_roundtrip": (q_csv_roundtrip, SQL_CSV_ROUNDTRIP),
+    "report": (q_report, None),
 }
