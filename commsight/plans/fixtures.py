@@ -975,11 +975,11 @@ SELECT g.Country, g.test, c.anomalies, c.accessible FROM g LEFT JOIN c USING (Co
 
 def q_limit_results(spark, d):
     ev = _t(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
-    return R.limit_results(ev, ["user_id", "event_type"], ["ts", "event_id"], 3)
+    return R.limit_results(ev, ["user_id", "event_type"], ["ts", "event_id"], 3).drop("ts")
 
 
 SQL_LIMIT_RESULTS = """
-SELECT event_id, user_id, event_type, ts FROM (
+SELECT event_id, user_id, event_type FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events)
 WHERE rn <= 3
 """
