@@ -675,8 +675,14 @@ SQL_UNRESOLVED_KEYS = f"SELECT name FROM ({_SQL_RESOLVED}) WHERE alpha_2 IS NULL
 
 
 def q_request_grid(spark, d):
-    sel = _t(spark, d, "nation").select(F.lit(0).cast("long").alias("query_id"), F.col("n_name").alias("Country"))
-    req = _t(spark, d, "events").groupBy(F.lit(0).cast("long").alias("query_id")).agg(
+    """One request per region: its nations are the selection, its tests the
+    event types seen among that region's users."""
+    n = _t(spark, d, "nation")
+    sel = n.select(F.col("n_regionkey").cast("long").alias("query_id"), F.col("n_name").alias("Country"))
+    ev = _t(spark, d, "events").select("user_id", "event_type")
+    cus = _t(spark, d, "customer").select("c_custkey", "c_nationkey")
+    seen = ev.join(cus, ev.user_id == cus.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey)
+    req = seen.groupBy(F.col("n_regionkey").cast("long").alias("query_id")).agg(
         F.array_sort(F.collect_set("event_type")).alias("test_names"),
         F.lit(30).alias("horizon"), F.to_date(F.lit(AS_OF)).alias("as_of"))
     grid, _ = P.request_grid(sel, req, _nation_dim(spark, d))
@@ -686,9 +692,11 @@ def q_request_grid(spark, d):
 
 
 SQL_REQUEST_GRID = """
-SELECT CAST(0 AS BIGINT) AS query_id, n_name AS Country, 'N' || n_nationkey AS alpha_2, t.event_type AS test_name,
-       '2024-01-01' AS since, '2024-01-31' AS until, '30d' AS date_range
-FROM nation, (SELECT DISTINCT event_type FROM events) t
+WITH t AS (SELECT DISTINCT n_regionkey AS rk, event_type
+           FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT CAST(n_regionkey AS BIGINT) AS query_id, n_name AS Country, 'N' || n_nationkey AS alpha_2,
+       t.event_type AS test_name, '2024-01-01' AS since, '2024-01-31' AS until, '30d' AS date_range
+FROM nation JOIN t ON t.rk = nation.n_regionkey
 """
 
 
