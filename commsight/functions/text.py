@@ -85,7 +85,9 @@ def percent_text(share: ColumnOrName, digits: int = 2) -> Column:
     Java formatting rounds HALF_UP on the decimal expansion, Python rounds the
     exact binary value; they can differ in the last digit on ties.
     """
-    return F.format_string(f"%.{digits}f%%", _c(share).cast("double") * 100.0)
+    v = _c(share).cast("double")
+    # format_string would render a null as "nu%" ("null" cut to the precision).
+    return F.when(v.isNotNull(), F.format_string(f"%.{digits}f%%", v * 100.0))
 
 
 def code_case(c: ColumnOrName) -> Column:

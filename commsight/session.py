@@ -16,8 +16,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Pages can be large; keep Arrow batches modest for mapInPandas parsing.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    # Pages can be large (MBs); keep Arrow batches to a few hundred records
+    # so a batch of pages stays well inside a Python worker's memory.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.ui.enabled": "false",
 }
 

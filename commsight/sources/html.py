@@ -40,6 +40,8 @@ SIBLING_CLOSE = {
     "thead": ("tbody", "tfoot", "tr", "td", "th"), "tbody": ("thead", "tfoot", "tr", "td", "th"),
     "tfoot": ("thead", "tbody", "tr", "td", "th"),
 }
+# Element rows per emitted chunk in html_elements.
+_CHUNK_ROWS = 20_000
 # Text inside these never counts as page text.
 NON_TEXT = frozenset(("script", "style", "template"))
 # Scopes an implied close does not cross.
@@ -139,11 +141,17 @@ def html_elements(pages: DataFrame, page_id: str = "page_id", html: str = "html"
     cols = [c.split()[0] for c in ELEMENT_SCHEMA.split(", ")]
 
     def run(batches):
+        # Emit in chunks so one batch of large pages never becomes one huge
+        # pandas frame of elements.
         for pdf in batches:
-            rows = []
+            rows: list[tuple] = []
             for pid, h in zip(pdf["page_id"], pdf["html"]):
                 rows.extend(_parse_page(int(pid), h))
-            yield pd.DataFrame.from_records(rows, columns=cols)
+                if len(rows) >= _CHUNK_ROWS:
+                    yield pd.DataFrame.from_records(rows, columns=cols)
+                    rows = []
+            if rows:
+                yield pd.DataFrame.from_records(rows, columns=cols)
 
     return src.mapInPandas(run, ELEMENT_SCHEMA)
 

@@ -115,3 +115,21 @@ def test_markdown_rows_blocks_and_sections(spark):
     assert len(r2) == 8
     full = K.render_report(rep).where("query_id = 1").first()["report"]
     assert full.index("| 4 | op 4 |") < full.index("## Data Centers")
+
+
+def test_error_rows_default_empty_sort_and_links(spark):
+    from commsight.functions.text import linked_name, percent_text
+    from commsight.operators.clean import default_typed_empty
+
+    e = R.error_rows(spark, "iran", "timeout", ["Name", "Type", "Address", "Link"])
+    assert rows(e) == [("", "", "", "", "iran", "timeout")]
+    empty = default_typed_empty(spark, "Name string, Type string, Address string, Link string")
+    assert empty.count() == 0 and empty.columns == ["Name", "Type", "Address", "Link"]
+    df = spark.createDataFrame([("peru", "b", "l2"), ("chile", "z", "l1"), ("peru", "a", "l3")],
+                               "country string, Name string, Link string")
+    assert [tuple(r) for r in R.sort_by_country(df).collect()] == [
+        ("chile", "z", "l1"), ("peru", "a", "l3"), ("peru", "b", "l2")]
+    got = df.select(linked_name("Name", "Link").alias("x")).orderBy("x").first()["x"]
+    assert got == "[a](l3)"
+    pct = spark.createDataFrame([(0.61234,), (None,)], "s double").select(percent_text("s").alias("p"))
+    assert [r.p for r in pct.collect()] == ["61.23%", None]
