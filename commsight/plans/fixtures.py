@@ -28,6 +28,7 @@ from commsight.operators.models import model_map
 from commsight.operators.sequence import forward_fill
 from commsight.sources import html as H
 from commsight.sources import payloads as P
+from commsight.session import spread
 from commsight.sources.tables import scan_table
 
 AS_OF = "2024-01-31"
@@ -379,7 +380,7 @@ FROM s GROUP BY Country, (rn - 1) // 500
 # ---------------------------------------------------------------- S8, S12
 
 def _measurement_payloads(spark, d) -> DataFrame:
-    ev = _t(spark, d, "events")
+    ev = spread(_t(spark, d, "events"))
     result = F.struct(
         F.col("user_id").cast("string").alias("probe_cc"),
         F.when(F.col("event_type") != "signup", F.col("event_id")).alias("probe_asn"),
@@ -413,14 +414,13 @@ SQL_PARSE_JSON = "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS
 
 
 def q_split_ok_rejected(spark, d):
-    ev = _t(spark, d, "events")
+    ev = spread(_t(spark, d, "events"))
     body = (F.when(F.col("event_type") == "error", F.lit('{"success": tru'))
             .when(F.col("event_type") == "view", F.lit('{"success": false, "errors": ["quota"]}'))
             .otherwise(F.concat(F.lit('{"success": true, "result": {"n": '), F.col("event_id").cast("string"),
                                 F.lit("}}"))))
-    ok, bad = P.split_ok_rejected(ev.select("event_id", body.alias("body")))
-    return ok.select("event_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason")) \
-        .unionByName(bad.select("event_id", F.lit(False).alias("accepted"), "reason"))
+    tagged = P.tag_ok_rejected(ev.select("event_id", body.alias("body")))
+    return tagged.select("event_id", F.col("reason").isNull().alias("accepted"), "reason")
 
 
 SQL_SPLIT_OK_REJECTED = """

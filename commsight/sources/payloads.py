@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commsight.functions.text import asn_label, status_label
+from commsight.session import spread
 
 MEASUREMENT_SCHEMA = (
     "struct<results: array<struct<probe_cc: string, probe_asn: string, "
@@ -30,7 +31,7 @@ def parse_measurements(payloads: DataFrame, body: str = "body", keep: Sequence[s
     is the measurement's position in the response (order matters for W1).
     """
     keep = list(keep)
-    parsed = payloads.select(*keep, F.from_json(F.col(body), MEASUREMENT_SCHEMA).alias("__p"))
+    parsed = spread(payloads).select(*keep, F.from_json(F.col(body), MEASUREMENT_SCHEMA).alias("__p"))
     rows = parsed.select(*keep, F.posexplode(F.coalesce(F.col("__p.results"), F.array())).alias("pos", "__r"))
     r = F.col("__r")
     return rows.select(
@@ -45,10 +46,9 @@ def parse_measurements(payloads: DataFrame, body: str = "body", keep: Sequence[s
     )
 
 
-def split_ok_rejected(payloads: DataFrame, body: str = "body",
-                      require_success: bool = True, status: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) - bad responses are kept aside with a
-    ``reason``, never failing the batch.  ``accepted + rejected = input``.
+def tag_ok_rejected(payloads: DataFrame, body: str = "body",
+                    require_success: bool = True, status: str | None = None) -> DataFrame:
+    """S12 in one pass: ``payloads`` plus ``reason`` (null when accepted).
 
     Reasons: ``http <status>`` (non-200 when a status column is given),
     ``invalid json``, ``not success`` (envelope ``success`` is not true).
@@ -61,7 +61,15 @@ def split_ok_rejected(payloads: DataFrame, body: str = "body",
     if require_success:
         ok = F.coalesce(F.try_variant_get(v, "$.success", "boolean"), F.lit(False))
         reason = reason.when(~ok, F.lit("not success"))
-    tagged = payloads.withColumn("reason", reason)
+    return spread(payloads).withColumn("reason", reason)
+
+
+def split_ok_rejected(payloads: DataFrame, body: str = "body",
+                      require_success: bool = True, status: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) - bad responses are kept aside with a
+    ``reason``, never failing the batch.  ``accepted + rejected = input``.
+    Both are filters of one tagged frame (``tag_ok_rejected``)."""
+    tagged = tag_ok_rejected(payloads, body, require_success, status)
     return tagged.where(F.col("reason").isNull()).drop("reason"), tagged.where(F.col("reason").isNotNull())
 
 
@@ -80,7 +88,7 @@ def parse_summary(payloads: DataFrame, body: str = "body",
     """
     keys = list(keys)
     s = F.try_variant_get(_variant(body), "$.result.summary_0", "variant")
-    base = payloads.select(*keys, s.alias("__s"))
+    base = spread(payloads).select(*keys, s.alias("__s"))
     as_list = F.try_variant_get(F.col("__s"), "$", "array<variant>")
     as_map = F.try_variant_get(F.col("__s"), "$", "map<string,string>")
     lists = base.where(as_list.isNotNull()).select(*keys, F.posexplode(as_list).alias("pos", "__i"))
@@ -118,7 +126,7 @@ def parse_ranking(payloads: DataFrame, body: str = "body",
     top = F.try_variant_get(v, "$.result.top", "array<variant>")
     top0 = F.try_variant_get(v, "$.result.top_0", "array<variant>")
     lst = F.when(F.size(top) > 0, top).otherwise(top0)
-    items = payloads.select(*keys, F.posexplode(lst).alias("pos", "__i"))
+    items = spread(payloads).select(*keys, F.posexplode(lst).alias("pos", "__i"))
     cats = F.coalesce(F.try_variant_get("__i", "$.categories", "array<variant>"), F.array())
     names = F.transform(cats, lambda c: F.coalesce(F.try_variant_get(c, "$.name", "string"), F.lit("")))
     rows = items.select(
@@ -155,7 +163,7 @@ def unknown_shape_dump(payloads: DataFrame, body: str = "body", metric: str = "m
     is_rank = F.col(metric) == F.lit(ranking_metric)
     unknown = (has_s & ~s_list & ~s_map) | (~has_s & is_rank & ~has_list) | (~has_s & ~is_rank)
     dumped = F.when(has_s, F.to_json(s)).otherwise(F.to_json(res))
-    return payloads.where(v.isNotNull() & unknown).select(*keys, dumped.alias("raw"))
+    return spread(payloads).where(v.isNotNull() & unknown).select(*keys, dumped.alias("raw"))
 
 
 def request_grid(selection: DataFrame, requests: DataFrame, countries: DataFrame,
