@@ -76,6 +76,8 @@ def spread(df, min_partitions: int | None = None):
     round-robin repartitioned; a large input (many files, many splits) is
     returned untouched, so at scale this adds no shuffle.
     """
+    if df.isStreaming:
+        return df  # partitioning of a stream is set by its source
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
