@@ -69,6 +69,12 @@ COMMON_NAMES = {
     "TR": "Turkey",
 }
 
+# Short forms people type for a country, by alpha-2 code.
+SHORT_ALIASES = [
+    ("usa", "US"), ("u s a", "US"), ("uk", "GB"), ("great britain", "GB"), ("britain", "GB"),
+    ("uae", "AE"), ("drc", "CD"),
+]
+
 _COUNTRY_ROWS: list[tuple] | None = None
 
 
@@ -96,6 +102,18 @@ def countries_dim(spark: SparkSession) -> DataFrame:
     )
 
 
+def country_aliases(countries: DataFrame) -> DataFrame:
+    """(alias, canonical) for E1: common and official names, and the short
+    forms above, each pointing at the dimension's ``name``."""
+    spark = countries.sparkSession
+    common = countries.select(F.col("common_name").alias("alias"), F.col("name").alias("canonical"))
+    official = countries.select(F.col("official_name").alias("alias"), F.col("name").alias("canonical"))
+    short = spark.createDataFrame(SHORT_ALIASES, "alias string, alpha_2 string") \
+        .join(F.broadcast(countries.select("alpha_2", "name")), "alpha_2") \
+        .select("alias", F.col("name").alias("canonical"))
+    return common.unionByName(official).unionByName(short).where(F.col("alias").isNotNull())
+
+
 def _lookup_keys(countries: DataFrame, name_case_insensitive: bool) -> DataFrame:
     """Unpivot the dimension to (key, ci, priority, alpha_2)."""
     ci = F.lit(name_case_insensitive)
@@ -127,7 +145,8 @@ def resolve_alpha2(names: DataFrame, name_col: str, countries: DataFrame,
     ).select("__name", "__p.__k", "__p.__ci")
     keys = bounded_broadcast(_lookup_keys(countries, name_case_insensitive), 10_000)
     hits = probe.join(keys, ["__k", "__ci"], "inner")
-    best = hits.groupBy("__name").agg(F.min_by("alpha_2", "__prio").alias("alpha_2"))
+    # Lowest priority wins; the code breaks ties so the answer is deterministic.
+    best = hits.groupBy("__name").agg(F.min_by("alpha_2", F.struct("__prio", "alpha_2")).alias("alpha_2"))
     return best.withColumnRenamed("__name", name_col)
 
 

@@ -107,3 +107,12 @@ def test_bounded_broadcast(spark):
     assert J.bounded_broadcast(big, 100) is big
     joined = spark.range(100000).join(J.bounded_broadcast(small, 100), "id")
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_country_aliases_select_official_and_short_forms(spark):
+    dim = J.countries_dim(spark)
+    q = spark.createDataFrame([(1, "United States of America"), (2, "numbers for the UK and the USA"),
+                               (3, "tell us about peru")], "query_id long, user_query string")
+    values = spark.createDataFrame([("United States",), ("United Kingdom",), ("Peru",)], "Country string")
+    sel = E.match_entities(q, values, "Country", aliases=J.country_aliases(dim))
+    assert rows(sel) == [(1, "United States"), (2, "United Kingdom"), (2, "United States"), (3, "Peru")]
