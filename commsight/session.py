@@ -82,3 +82,17 @@ def spread(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    return the read-back frame.
+
+    Cuts lineage like ``checkpoint()`` (a lost executor re-reads files, not
+    the raw inputs) but computes the plan once; RDD checkpointing computes
+    it a second time to write the files unless it was cached first.
+    """
+    spark = df.sparkSession
+    path = staging_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
