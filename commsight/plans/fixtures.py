@@ -830,11 +830,9 @@ SQL_MODEL_MAP = "SELECT n_nationkey, upper('Summarise ' || n_name) AS reply FROM
 # ---------------------------------------------------------------- S4 + P5 + P6
 
 def _operator_pages(spark, d) -> DataFrame:
-    """One page per nation: a table whose first body row is the header and
-    whose Country cell is filled only on the first data row (region pages in
-    the reference's layout: a blank cell repeats the country above)."""
-    n = _t(spark, d, "nation")
-    r = _t(spark, d, "region")
+    """One page per supplier: a table whose first body row is the header,
+    then a row naming the country and a row with a blank country cell (the
+    operator-list layout, where a blank cell repeats the country above)."""
     s = _with_country(spark, d, "supplier", "s_nationkey")
     # Each supplier page: header row, the first line naming the country, then
     # the supplier's line with a blank country cell.
@@ -845,7 +843,6 @@ def _operator_pages(spark, d) -> DataFrame:
         F.col("s_nationkey").cast("string"), F.lit("</td><td>HQ</td></tr><tr><td></td><td>"),
         F.col("s_name"), F.lit("</td><td>0"), F.col("s_suppkey").cast("string"), F.lit("</td><td>"),
         F.upper("s_name"), F.lit("</td></tr></tbody></table></div>"))
-    del n, r
     return s.select(F.col("s_suppkey").alias("page_id"), html.alias("html"))
 
 
