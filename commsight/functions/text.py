@@ -109,9 +109,10 @@ def normalize_text(c: ColumnOrName) -> Column:
 
 
 def words(c: ColumnOrName) -> Column:
-    """Array of normalised words; empty text gives an empty array."""
-    n = normalize_text(c)
-    return F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " ", -1))
+    """Array of normalised words (the words of ``normalize_text``); empty
+    text gives an empty array.  One regex pass: split on non-word runs and
+    drop the empty tokens a leading or trailing separator leaves."""
+    return F.array_remove(F.split(F.lower(_c(c)), _NON_WORD, -1), "")
 
 
 def blank_to_null(c: ColumnOrName) -> Column:
