@@ -1105,6 +1105,17 @@ def q_report(spark, d):
                        ranking=ranking, threshold=ALERT_THRESHOLD, provider_columns=provider_columns)
 
 
+def q_table_report(spark, d):
+    """The table-only question flow over the stored-table stand-ins."""
+    from commsight.plans.report import table_report_rows
+
+    nat = _t(spark, d, "nation").select(F.col("n_name").alias("Country"), "n_nationkey")
+    sup = _with_country(spark, d, "supplier", "s_nationkey").select("Country", "s_suppkey", "s_name")
+    cus = _with_country(spark, d, "customer", "c_nationkey").select("Country", "c_custkey", "c_mktsegment")
+    requests = _questions(spark, d)
+    return table_report_rows(requests, [("nations", nat), ("suppliers", sup), ("customers", cus)])
+
+
 # ---------------------------------------------------------------- registry
 
 QUERIES = {
@@ -1158,4 +1169,5 @@ QUERIES = {
     "completeness_check": (q_completeness_check, SQL_COMPLETENESS_CHECK),
     "csv_roundtrip": (q_csv_roundtrip, SQL_CSV_ROUNDTRIP),
     "report": (q_report, None),
+    "table_report": (q_table_report, None),
 }

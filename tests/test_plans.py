@@ -100,3 +100,22 @@ def test_request_plan_and_raw_view(spark):
     raw = report.raw_and_filtered(reqs, tables)
     assert rows(raw["traforama_isp_list"], "query_id", "Providers") == [(1, "Movistar")]
     assert F is not None
+
+
+def test_table_report_and_raw_view(spark, tmp_path):
+    from commsight.operators.report import render_report
+
+    tables, reqs, _ = _inputs(spark)
+    rows_ = report.table_report_rows(reqs, tables)
+    text = {r.query_id: r.report for r in render_report(rows_).collect()}
+    t1 = text[1]
+    assert t1.startswith("## Executive Summary")
+    assert "Total rows: 4 across 1 countries" in t1
+    assert "- mcc_mnc_table: 2 rows, 1 countries" in t1
+    assert "### mcc_mnc_table: Peru" in t1 and "### traforama_isp_list: Peru" in t1
+    assert "| Peru | 1 | 1 | 1 | 3 |" in t1
+    assert "No relevant data found." in text[3]
+    report.write_raw_tables(reqs, tables, str(tmp_path / "view"))
+    raw = spark.read.json(str(tmp_path / "view" / "raw" / "mcc_mnc_table" / "rows"))
+    filt = spark.read.json(str(tmp_path / "view" / "filtered" / "mcc_mnc_table" / "rows"))
+    assert raw.count() == 4 and filt.count() == 4  # Peru x2 (q1), Chile + United States (q2)
