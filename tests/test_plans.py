@@ -81,7 +81,7 @@ def test_ingest_jobs(spark, tmp_path):
     assert rows(mcc, "Mobile Country Code", "Country") == [("001", "United States"), ("716", "Peru")]
     ops = ingest.operator_list(spark.createDataFrame([(0, "u", MIDEYE_PAGE)], "page_id long, url string, html string"))
     assert rows(ops, "Country", "Operator") == [("Afghanistan", "AWCC"), ("Afghanistan", "MTN"),
-                                                ("Afghanistan", "Roshan"), ("Albania", "Vodafone")]
+                                                ("Afghanistan", "Salaam"), ("Albania", "Vodafone")]
     isp_html = ISP_PAGE.replace("graf--h3", "graf--h")
     isp = ingest.isp_list(spark.createDataFrame([(0, "u", isp_html)], "page_id long, url string, html string"))
     assert ("Peru", "Claro, Movistar") in rows(isp)
