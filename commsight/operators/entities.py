@@ -78,7 +78,9 @@ def _empty_selection(questions: DataFrame, query_id: str, out: str) -> DataFrame
     return questions.sparkSession.createDataFrame([], T.StructType(fields))
 
 
-# Code fences the model may wrap its answer in (stripped before parsing).
+# The code fences a model may wrap its list in (stripped
+# before parsing): a leading fence with an optional python/json/txt tag, and
+# a trailing fence.
 _FENCE = r"^```(?:python|json|txt)?\n|```$"
 
 
