@@ -48,29 +48,45 @@ NON_TEXT = frozenset(("script", "style", "template"))
 _SCOPE = frozenset(("table", "ul", "ol", "dl", "select", "html", "body"))
 
 
+# Ancestors kept per element, nearest first to go: lookups ask for the
+# nearest table/row/anchor/div, and a malformed page with thousands of
+# unclosed tags must not make every path that long.
+MAX_PATH = 256
+
+
 class _Elements(HTMLParser):
-    """Builds a flat element list with ancestor paths and stripped text."""
+    """Builds a flat element list with ancestor paths and stripped text.
+
+    Text fragments go to one list; each element remembers the [start, end)
+    range of fragments inside it, so a fragment costs O(1) however deep it
+    is, and an element's text is joined once at the end.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out: list[list] = []     # [pos, parent, depth, tag, classes, attrs, frags, path, path_tags]
+        # [pos, parent, depth, tag, classes, attrs, frag_start, frag_end, path, tags, ids, classes]
+        self.out: list[list] = []
         self.stack: list[int] = []    # positions of open elements
+        self.frags: list[str] = []
         self.hidden = 0               # depth inside script/style
 
     def _open(self, tag: str, attrs) -> int:
         a = {k: (v if v is not None else "") for k, v in attrs}
         pos = len(self.out)
         parent = self.stack[-1] if self.stack else -1
-        path = list(self.stack)
-        self.out.append([pos, parent, len(path), tag, a.get("class", "").split(), a, [],
+        path = self.stack[-MAX_PATH:]
+        n = len(self.frags)
+        self.out.append([pos, parent, len(self.stack), tag, a.get("class", "").split(), a, n, n,
                          path, [self.out[p][3] for p in path],
                          [self.out[p][5].get("id") for p in path],
                          [self.out[p][5].get("class") for p in path]])
         return pos
 
     def _close_to(self, i: int) -> None:
+        n = len(self.frags)
         while len(self.stack) > i:
             p = self.stack.pop()
+            self.out[p][7] = n
             if self.out[p][3] in NON_TEXT:
                 self.hidden -= 1
 
@@ -111,8 +127,10 @@ class _Elements(HTMLParser):
             return
         s = data.strip()
         if s:
-            for p in self.stack:
-                self.out[p][6].append(s)
+            self.frags.append(s)
+
+    def finish(self) -> None:
+        self._close_to(0)
 
 
 def _parse_page(page_id: int, html: str) -> list[tuple]:
@@ -122,7 +140,9 @@ def _parse_page(page_id: int, html: str) -> list[tuple]:
         p.close()
     except Exception:  # a broken page keeps whatever was parsed
         pass
-    return [(page_id, e[0], e[1], e[2], e[3], e[4], e[5], "".join(e[6]), e[7], e[8], e[9], e[10])
+    p.finish()
+    f = p.frags
+    return [(page_id, e[0], e[1], e[2], e[3], e[4], e[5], "".join(f[e[6]:e[7]]), e[8], e[9], e[10], e[11])
             for e in p.out]
 
 

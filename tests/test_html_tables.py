@@ -136,3 +136,19 @@ def test_model_map_stub(spark):
     df = spark.createDataFrame([(1, "hi"), (2, None)], "id long, prompt string")
     out = model_map(df, lambda s: s.fillna("").str.upper(), "prompt")
     assert rows(out, "id", "reply") == [(1, "HI"), (2, "")]
+
+
+def test_deeply_nested_malformed_page_is_cheap(spark):
+    import time
+
+    from commsight.sources.html import MAX_PATH, _parse_page
+
+    html = "<html><body>" + "<div>x" * 5000 + "<p>end</p></body></html>"
+    t0 = time.time()
+    rows_ = _parse_page(1, html)
+    assert time.time() - t0 < 5
+    assert max(len(r[8]) for r in rows_) == MAX_PATH            # paths keep the nearest ancestors
+    body = [r for r in rows_ if r[4] == "body"][0]
+    assert body[7].startswith("xxx") and body[7].endswith("end")  # whole text, not a prefix
+    innermost_p = [r for r in rows_ if r[4] == "p"][0]
+    assert innermost_p[7] == "end" and innermost_p[3] == 5002
