@@ -1116,6 +1116,57 @@ def q_table_report(spark, d):
     return table_report_rows(requests, [("nations", nat), ("suppliers", sup), ("customers", cus)])
 
 
+# ---------------------------------------------------------------- report piece with an oracle
+
+_TESTS = ("click", "error", "purchase", "refund")
+
+
+def q_question_test_counts(spark, d):
+    """The report's measurement counts per (question, country, test): E1
+    selection, S13/J5 grid, P10 window and P11 anomalies-only per request,
+    A1 counts pre-aggregated per (code, test, day), zero rows kept (J6)."""
+    from commsight.plans.report import ooni_counts, request_plan, selection_for
+
+    c = _t(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    requests = _questions(spark, d).join(c, F.col("query_id") == c.c_custkey).select(
+        "query_id", "user_query", F.array(*[F.lit(t) for t in _TESTS]).alias("test_names"),
+        (F.col("c_mktsegment") == "BUILDING").alias("only_anomalies"), F.lit(HORIZON).alias("horizon"))
+    nat = _t(spark, d, "nation").select(F.col("n_name").alias("Country"))
+    selection = selection_for(requests, [("nations", nat)])
+    dim = _nation_dim(spark, d)
+    grid, _ = request_plan(requests, selection, dim, AS_OF)
+    code_of = dim.select(F.col("name").alias("Country"), "alpha_2")
+    meas = _user_country_events(spark, d).join(code_of, "Country").select(
+        F.col("alpha_2").alias("probe_cc"), F.col("event_type").alias("test_name"),
+        F.col("ts").alias("measurement_start_time"), (F.col("value") >= 100.0).alias("anomaly"))
+    return ooni_counts(grid, requests, meas)
+
+
+SQL_QUESTION_TEST_COUNTS = f"""
+WITH q AS (
+  SELECT c.c_custkey AS query_id, c.c_mktsegment = 'BUILDING' AS only_anomalies,
+         'Which providers serve ' || replace(lower(n.n_name), '_',
+            CASE c.c_mktsegment WHEN 'BUILDING' THEN '-' WHEN 'MACHINERY' THEN ' ' ELSE '_' END)
+         || ' for the ' || c.c_mktsegment || ' segment?' AS user_query
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+sel AS (
+  SELECT DISTINCT q.query_id, q.only_anomalies, v.n_name AS Country FROM q JOIN nation v
+  ON contains(' ' || {_norm('q.user_query')} || ' ', ' ' || {_norm('v.n_name')} || ' ')),
+grid AS (SELECT sel.*, t.test FROM sel, (VALUES {', '.join(f"('{t}')" for t in _TESTS)}) t(test)),
+m AS (
+  SELECT n.n_name AS Country, e.event_type AS test, CAST(e.ts AS DATE) AS day, e.value >= 100.0 AS anomaly
+  FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey)
+SELECT g.query_id, g.Country, g.test AS test_name,
+       count(m.test) FILTER (WHERE m.anomaly) AS anomalies,
+       count(m.test) FILTER (WHERE NOT m.anomaly) AS accessible
+FROM grid g LEFT JOIN m
+  ON m.Country = g.Country AND m.test = g.test
+ AND m.day >= DATE '2024-01-16' AND m.day < DATE '2024-01-31'
+ AND (NOT g.only_anomalies OR m.anomaly)
+GROUP BY g.query_id, g.Country, g.test
+"""
+
+
 # ---------------------------------------------------------------- registry
 
 QUERIES = {
@@ -1168,6 +1219,7 @@ QUERIES = {
     "replace_values": (q_replace_values, SQL_REPLACE_VALUES),
     "completeness_check": (q_completeness_check, SQL_COMPLETENESS_CHECK),
     "csv_roundtrip": (q_csv_roundtrip, SQL_CSV_ROUNDTRIP),
+    "question_test_counts": (q_question_test_counts, SQL_QUESTION_TEST_COUNTS),
     "report": (q_report, None),
     "table_report": (q_table_report, None),
 }
