@@ -1167,6 +1167,38 @@ GROUP BY g.query_id, g.Country, g.test
 """
 
 
+def q_question_dc_totals(spark, d):
+    """The report's data-centre totals per question: E1 selection, cards
+    parsed from pages (S6/S5), address-country filter (P7/P8), per-link
+    keep-first (U3), counted per question (A5)."""
+    from commsight.plans.report import dc_listing, dc_totals, selection_for
+
+    nat = _t(spark, d, "nation").select(F.col("n_name").alias("Country"))
+    selection = selection_for(_questions(spark, d), [("nations", nat)])
+    pages = _card_pages(spark, d)
+    cards = H.html_cards(H.html_elements(pages), pages).join(
+        pages.select("page_id", "keyword", "keyword_pos"), "page_id")
+    return dc_totals(selection, dc_listing(cards)).select("query_id", F.col("n_ok").alias("n_data_centers"))
+
+
+SQL_QUESTION_DC_TOTALS = f"""
+WITH q AS (
+  SELECT c.c_custkey AS query_id,
+         'Which providers serve ' || replace(lower(n.n_name), '_',
+            CASE c.c_mktsegment WHEN 'BUILDING' THEN '-' WHEN 'MACHINERY' THEN ' ' ELSE '_' END)
+         || ' for the ' || c.c_mktsegment || ' segment?' AS user_query
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+sel AS (
+  SELECT DISTINCT q.query_id, v.n_name AS Country FROM q JOIN nation v
+  ON contains(' ' || {_norm('q.user_query')} || ' ', ' ' || {_norm('v.n_name')} || ' ')),
+per_country AS (
+  SELECT n.n_name AS Country, count(*) FILTER (WHERE s.s_acctbal >= 0) + 1 AS n
+  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name)
+SELECT sel.query_id, CAST(sum(per_country.n) AS BIGINT) AS n_data_centers
+FROM sel JOIN per_country USING (Country) GROUP BY sel.query_id
+"""
+
+
 # ---------------------------------------------------------------- registry
 
 QUERIES = {
@@ -1220,6 +1252,7 @@ QUERIES = {
     "completeness_check": (q_completeness_check, SQL_COMPLETENESS_CHECK),
     "csv_roundtrip": (q_csv_roundtrip, SQL_CSV_ROUNDTRIP),
     "question_test_counts": (q_question_test_counts, SQL_QUESTION_TEST_COUNTS),
+    "question_dc_totals": (q_question_dc_totals, SQL_QUESTION_DC_TOTALS),
     "report": (q_report, None),
     "table_report": (q_table_report, None),
 }
