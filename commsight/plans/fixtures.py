@@ -1199,6 +1199,43 @@ FROM sel JOIN per_country USING (Country) GROUP BY sel.query_id
 """
 
 
+def q_question_top_domains(spark, d):
+    """The report's domain ranking per question: E1 selection, J2 code
+    lookup, W2 top 20 per country (computed once per country, then joined
+    to the questions)."""
+    from commsight.plans.report import selection_for, top_domains
+
+    nat = _t(spark, d, "nation").select(F.col("n_name").alias("Country"))
+    selection = selection_for(_questions(spark, d), [("nations", nat)])
+    dim = _nation_dim(spark, d)
+    coded = J.country_to_alpha2(selection, "Country", dim).where(F.col("alpha_2").isNotNull())
+    code_of = dim.select(F.col("name").alias("Country"), "alpha_2")
+    ranking = _with_country(spark, d, "supplier", "s_nationkey").join(code_of, "Country").select(
+        F.col("alpha_2").alias("country"), F.col("s_suppkey").cast("int").alias("rank"),
+        F.lower("s_name").alias("domain"), F.lit("telecom").alias("categories"))
+    top = top_domains(ranking, 20)
+    return coded.join(top, "alpha_2").select("query_id", "Country", "rank", "domain")
+
+
+SQL_QUESTION_TOP_DOMAINS = f"""
+WITH q AS (
+  SELECT c.c_custkey AS query_id,
+         'Which providers serve ' || replace(lower(n.n_name), '_',
+            CASE c.c_mktsegment WHEN 'BUILDING' THEN '-' WHEN 'MACHINERY' THEN ' ' ELSE '_' END)
+         || ' for the ' || c.c_mktsegment || ' segment?' AS user_query
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+sel AS (
+  SELECT DISTINCT q.query_id, v.n_name AS Country FROM q JOIN nation v
+  ON contains(' ' || {_norm('q.user_query')} || ' ', ' ' || {_norm('v.n_name')} || ' ')),
+top AS (
+  SELECT * FROM (
+    SELECT n.n_name AS Country, CAST(s.s_suppkey AS INTEGER) AS rank, lower(s.s_name) AS domain,
+           row_number() OVER (PARTITION BY n.n_name ORDER BY s.s_suppkey, lower(s.s_name)) AS rn
+    FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey) WHERE rn <= 20)
+SELECT sel.query_id, sel.Country, top.rank, top.domain FROM sel JOIN top USING (Country)
+"""
+
+
 # ---------------------------------------------------------------- registry
 
 QUERIES = {
@@ -1253,6 +1290,7 @@ QUERIES = {
     "csv_roundtrip": (q_csv_roundtrip, SQL_CSV_ROUNDTRIP),
     "question_test_counts": (q_question_test_counts, SQL_QUESTION_TEST_COUNTS),
     "question_dc_totals": (q_question_dc_totals, SQL_QUESTION_DC_TOTALS),
+    "question_top_domains": (q_question_top_domains, SQL_QUESTION_TOP_DOMAINS),
     "report": (q_report, None),
     "table_report": (q_table_report, None),
 }
