@@ -483,7 +483,7 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey
 # ---------------------------------------------------------------- S6: pages
 
 def q_html_links(spark, d):
-    el = H.html_elements(_t(spark, d, "pages"))
+    el = H.html_elements(_t(spark, d, "pages"), keep_tags=["a"])
     a = el.where((F.col("tag") == "a") & F.array_contains("path_tags", "nav"))
     from pyspark.sql import Window
 
@@ -514,7 +514,7 @@ FROM e
 
 
 def q_html_title(spark, d):
-    el = H.html_elements(_t(spark, d, "pages"))
+    el = H.html_elements(_t(spark, d, "pages"), keep_tags=["title"])
     t = el.where(F.col("tag") == "title")
     return t.groupBy("page_id").agg(F.min_by("text", "pos").alias("title"))
 
@@ -541,7 +541,7 @@ def _table_pages(spark, d) -> DataFrame:
 
 
 def q_html_table_rows(spark, d):
-    el = H.html_elements(_table_pages(spark, d))
+    el = H.html_elements(_table_pages(spark, d), keep_tags=H.TABLE_TAGS)
     rows = H.html_table_rows(el, ["MCC", "Network", "Country"], table_id="mncmccTable")
     return rows.select("page_id", "row_idx", "MCC", "Network", "Country")
 
@@ -847,7 +847,7 @@ def _operator_pages(spark, d) -> DataFrame:
 
 
 def q_operator_list_ingest(spark, d):
-    el = H.html_elements(_operator_pages(spark, d))
+    el = H.html_elements(_operator_pages(spark, d), keep_tags=H.TABLE_TAGS)
     t = H.html_table_rows(el, ["Country", "Operator", "Network Code", "Display Text"],
                           container_class="entry-content", header="first_row")
     # Rows of one page are a bounded group (one input row): plain windows.
@@ -887,7 +887,7 @@ def _card_pages(spark, d) -> DataFrame:
 
 def q_datacenter_listing(spark, d):
     pages = _card_pages(spark, d)
-    cards = H.html_cards(H.html_elements(pages), pages)
+    cards = H.html_cards(H.html_elements(pages, keep_tags=H.CARD_TAGS), pages)
     cards = cards.join(pages.select("page_id", "keyword", "keyword_pos"), "page_id")
     kept = C.filter_by_country_key(cards, "Address", F.col("keyword"))
     dedup = R.dedup_keep_first(kept.withColumn("error", F.lit(None).cast("string")),
@@ -1085,7 +1085,7 @@ def q_report(spark, d):
         F.array(*[F.lit(t) for t in ("click", "error", "purchase", "refund")]).alias("test_names"),
         (F.col("c_mktsegment") == "BUILDING").alias("only_anomalies"), F.lit(HORIZON).alias("horizon"))
     pages = _card_pages(spark, d)
-    cards = H.html_cards(H.html_elements(pages), pages).join(
+    cards = H.html_cards(H.html_elements(pages, keep_tags=H.CARD_TAGS), pages).join(
         pages.select("page_id", "keyword", "keyword_pos"), "page_id")
     ev = _user_country_events(spark, d)
     dim = _nation_dim(spark, d)
@@ -1176,7 +1176,7 @@ def q_question_dc_totals(spark, d):
     nat = _t(spark, d, "nation").select(F.col("n_name").alias("Country"))
     selection = selection_for(_questions(spark, d), [("nations", nat)])
     pages = _card_pages(spark, d)
-    cards = H.html_cards(H.html_elements(pages), pages).join(
+    cards = H.html_cards(H.html_elements(pages, keep_tags=H.CARD_TAGS), pages).join(
         pages.select("page_id", "keyword", "keyword_pos"), "page_id")
     return dc_totals(selection, dc_listing(cards)).select("query_id", F.col("n_ok").alias("n_data_centers"))
 

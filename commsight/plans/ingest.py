@@ -28,7 +28,7 @@ ISP_BODY_CLASS = "graf--p"
 
 def mobile_codes(pages: DataFrame, table_id: str = "mncmccTable") -> DataFrame:
     """mcc_mnc_table: S6 -> S3 (thead header) -> P1 names -> P2 aliases."""
-    el = H.html_elements(pages)
+    el = H.html_elements(pages, keep_tags=H.TABLE_TAGS)
     cols = list(MCC_RENAMES.values())  # page header order, already renamed (P1)
     rows = H.html_table_rows(el, cols, table_id=table_id, header="thead")
     rows = replace_values(rows, "Country", MCC_COUNTRY_ALIASES)
@@ -44,7 +44,7 @@ def operator_list(pages: DataFrame, container_class: str = "entry-content", drop
     operator; pass ``drop=1`` to reproduce the reference's table exactly.
     A blank first country stays null (the reference raised an error).
     """
-    el = H.html_elements(pages)
+    el = H.html_elements(pages, keep_tags=H.TABLE_TAGS)
     cols = ["Country", "Operator", "Network Code", "Display Text"]
     t = H.html_table_rows(el, cols, container_class=container_class, header="first_row")
     t = drop_leading(t, drop, keys=["page_id"], order=["row_pos"])
@@ -54,7 +54,7 @@ def operator_list(pages: DataFrame, container_class: str = "entry-content", drop
 
 def isp_list(pages: DataFrame, heading_class: str = ISP_HEADING_CLASS, body_class: str = ISP_BODY_CLASS) -> DataFrame:
     """traforama_isp_list: S6 -> S7 (h3 heading paired with the next p)."""
-    el = H.html_elements(pages)
+    el = H.html_elements(pages, keep_tags=("h3", "p"))
     head = (F.col("tag") == "h3") & F.array_contains("classes", heading_class)
     body = (F.col("tag") == "p") & F.array_contains("classes", body_class)
     pairs = H.pair_heading_body(el, head, body, keys=["page_id"], order=["pos"])

@@ -133,7 +133,7 @@ class _Elements(HTMLParser):
         self._close_to(0)
 
 
-def _parse_page(page_id: int, html: str) -> list[tuple]:
+def _parse_page(page_id: int, html: str, keep_tags: frozenset | None = None) -> list[tuple]:
     p = _Elements()
     try:
         p.feed(html or "")
@@ -143,10 +143,11 @@ def _parse_page(page_id: int, html: str) -> list[tuple]:
     p.finish()
     f = p.frags
     return [(page_id, e[0], e[1], e[2], e[3], e[4], e[5], "".join(f[e[6]:e[7]]), e[8], e[9], e[10], e[11])
-            for e in p.out]
+            for e in p.out if keep_tags is None or e[3] in keep_tags]
 
 
-def html_elements(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
+def html_elements(pages: DataFrame, page_id: str = "page_id", html: str = "html",
+                  keep_tags: Sequence[str] | None = None) -> DataFrame:
     """One row per element: (page_id, pos, parent, depth, tag, classes,
     attrs, text, path, path_tags, path_ids, path_classes).
 
@@ -156,9 +157,14 @@ def html_elements(pages: DataFrame, page_id: str = "page_id", html: str = "html"
     positions of the ancestors, root first; ``path_tags``, ``path_ids`` and
     ``path_classes`` give their tags, ``id`` and ``class`` attributes, so
     ancestor tests need no join back to the stream.
+
+    ``keep_tags`` emits only elements with those tags (ancestors are still
+    tracked in full): the element-level analogue of pushing a filter into
+    the scan, e.g. ``("td", "th")`` for tables or ``("a", "div")`` for cards.
     """
     src = spread(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).alias("html")))
     cols = [c.split()[0] for c in ELEMENT_SCHEMA.split(", ")]
+    keep = frozenset(t.lower() for t in keep_tags) if keep_tags else None
 
     def run(batches):
         # Emit in chunks so one batch of large pages never becomes one huge
@@ -166,7 +172,7 @@ def html_elements(pages: DataFrame, page_id: str = "page_id", html: str = "html"
         for pdf in batches:
             rows: list[tuple] = []
             for pid, h in zip(pdf["page_id"], pdf["html"]):
-                rows.extend(_parse_page(int(pid), h))
+                rows.extend(_parse_page(int(pid), h, keep))
                 if len(rows) >= _CHUNK_ROWS:
                     yield pd.DataFrame.from_records(rows, columns=cols)
                     rows = []
@@ -176,6 +182,11 @@ def html_elements(pages: DataFrame, page_id: str = "page_id", html: str = "html"
     return src.mapInPandas(run, ELEMENT_SCHEMA)
 
 
+# Tags each extractor reads (pass as ``keep_tags``).
+TABLE_TAGS = ("td", "th")
+CARD_TAGS = ("a", "div")
+
+
 def nearest_ancestor(tag: str | Sequence[str]) -> Column:
     """Position of the nearest ancestor with ``tag`` (null if none)."""
     tags = [tag] if isinstance(tag, str) else list(tag)
