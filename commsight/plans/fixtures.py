@@ -1236,6 +1236,50 @@ SELECT sel.query_id, sel.Country, top.rank, top.domain FROM sel JOIN top USING (
 """
 
 
+def q_question_metric_shares(spark, d):
+    """The report's traffic-metric rows per question: E1 selection, J2 code
+    lookup, shares per country (segment shares as the metric), and the first
+    country's share that orders them (A7/W4)."""
+    from commsight.plans.report import question_metrics, selection_for
+
+    nat = _t(spark, d, "nation").select(F.col("n_name").alias("Country"))
+    selection = selection_for(_questions(spark, d), [("nations", nat)])
+    dim = _nation_dim(spark, d)
+    coded = J.country_to_alpha2(selection, "Country", dim).where(F.col("alpha_2").isNotNull())
+    code_of = dim.select(F.col("name").alias("Country"), "alpha_2")
+    cus = _with_country(spark, d, "customer", "c_nationkey")
+    shares = cus.groupBy("Country", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    tot = cus.groupBy("Country").agg(F.count(F.lit(1)).alias("t"))
+    metrics = shares.join(tot, "Country").join(code_of, "Country").select(
+        F.col("alpha_2").alias("country"), F.lit("segment_share").alias("metric"),
+        F.col("c_mktsegment").alias("category"), (F.col("n") / F.col("t")).alias("share"))
+    return question_metrics(coded, metrics)
+
+
+SQL_QUESTION_METRIC_SHARES = f"""
+WITH q AS (
+  SELECT c.c_custkey AS query_id,
+         'Which providers serve ' || replace(lower(n.n_name), '_',
+            CASE c.c_mktsegment WHEN 'BUILDING' THEN '-' WHEN 'MACHINERY' THEN ' ' ELSE '_' END)
+         || ' for the ' || c.c_mktsegment || ' segment?' AS user_query
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+sel AS (
+  SELECT DISTINCT q.query_id, v.n_name AS Country FROM q JOIN nation v
+  ON contains(' ' || {_norm('q.user_query')} || ' ', ' ' || {_norm('v.n_name')} || ' ')),
+cn AS (SELECT n.n_name AS Country, c.c_mktsegment FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+sh AS (
+  SELECT Country, c_mktsegment AS category,
+         CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM cn c2 WHERE c2.Country = cn.Country) AS share
+  FROM cn GROUP BY Country, c_mktsegment),
+rows AS (SELECT sel.query_id, sel.Country, 'segment_share' AS metric, sh.category, sh.share
+         FROM sel JOIN sh USING (Country)),
+firsts AS (SELECT query_id, min(Country) AS fc FROM sel GROUP BY query_id)
+SELECT r.query_id, r.Country, r.metric, r.category, r.share, f.share AS first_share
+FROM rows r JOIN firsts USING (query_id)
+LEFT JOIN rows f ON f.query_id = r.query_id AND f.Country = firsts.fc AND f.category = r.category
+"""
+
+
 # ---------------------------------------------------------------- registry
 
 QUERIES = {
@@ -1291,6 +1335,7 @@ QUERIES = {
     "question_test_counts": (q_question_test_counts, SQL_QUESTION_TEST_COUNTS),
     "question_dc_totals": (q_question_dc_totals, SQL_QUESTION_DC_TOTALS),
     "question_top_domains": (q_question_top_domains, SQL_QUESTION_TOP_DOMAINS),
+    "question_metric_shares": (q_question_metric_shares, SQL_QUESTION_METRIC_SHARES),
     "report": (q_report, None),
     "table_report": (q_table_report, None),
 }
