@@ -62,7 +62,7 @@ def distinct_values(df: DataFrame, column: str, out: str | None = None) -> DataF
 
 
 def drop_leading(df: DataFrame, n: int, keys: Sequence[str] = (), order: Sequence[str] = ("pos",),
-                 width=None) -> DataFrame:
+                 width="auto") -> DataFrame:
     """Drop the first ``n`` rows of each source (``rows[n:]``).
 
     If ``order`` is a 0-based position column with no gaps, this is a plain

@@ -15,7 +15,7 @@ def _cols(order: Sequence[str | Column]) -> list[Column]:
 
 
 def every_other_row(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                    width=None, keep_rn: str | None = None) -> DataFrame:
+                    width="auto", keep_rn: str | None = None) -> DataFrame:
     """Rows 0, 2, 4 ... of each group, in ``order``.
 
     Positions come from the bucketed row number, so a hot group is numbered

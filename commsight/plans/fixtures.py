@@ -851,8 +851,8 @@ def q_operator_list_ingest(spark, d):
     t = H.html_table_rows(el, ["Country", "Operator", "Network Code", "Display Text"],
                           container_class="entry-content", header="first_row")
     # Rows of one page are a bounded group (one input row): plain windows.
-    filled = forward_fill(t, "Country", ["row_pos"], keys=["page_id"])
-    filled = C.drop_leading(filled, 1, keys=["page_id"], order=["row_pos"])
+    filled = forward_fill(t, "Country", ["row_pos"], keys=["page_id"], width=None)
+    filled = C.drop_leading(filled, 1, keys=["page_id"], order=["row_pos"], width=None)
     return filled.select("page_id", "Country", "Operator", "Network Code", "Display Text")
 
 

@@ -47,8 +47,10 @@ def operator_list(pages: DataFrame, container_class: str = "entry-content", drop
     el = H.html_elements(pages, keep_tags=H.TABLE_TAGS)
     cols = ["Country", "Operator", "Network Code", "Display Text"]
     t = H.html_table_rows(el, cols, container_class=container_class, header="first_row")
-    t = drop_leading(t, drop, keys=["page_id"], order=["row_pos"])
-    t = forward_fill(t, "Country", ["row_pos"], keys=["page_id"])
+    # Rows of one page are bounded by construction (one parsed input row):
+    # plain windows, and no statistics pass that would parse pages again.
+    t = drop_leading(t, drop, keys=["page_id"], order=["row_pos"], width=None)
+    t = forward_fill(t, "Country", ["row_pos"], keys=["page_id"], width=None)
     return t.select(*cols)
 
 
