@@ -62,7 +62,7 @@ def test_report_end_to_end(spark):
     assert "### Peru: Mobile Network Operators\n| provider |\n|---|\n| Claro |\n| Entel |" in t1
     assert "### Peru: Internet Service Providers\n| provider |\n|---|\n| Bitel |\n| Movistar |" in t1
     assert "Total data centers: 1" in t1 and "[Lima DC](https://dc/1)" in t1 and "Miami" not in t1
-    assert "### peru\n| Name | Type | Address |" in t1
+    assert "### Peru\n| Name | Type | Address |" in t1
     assert "| Peru | Whatsapp | 1 | 1 |" in t1 and "| Peru | Signal | 0 | 0 |" in t1
     assert "**High-anomaly alerts**\n- Peru / Whatsapp: 50.00% anomalies" in t1
     assert "| Device Type | mobile | Peru | 60.00% |" in t1
