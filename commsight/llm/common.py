@@ -37,8 +37,7 @@ def fold(id_col: str, folds: int) -> Column:
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; else the
     join is left to the planner (a shuffle join)."""
-    small = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def texts_of(column) -> list[str]:
