@@ -36,6 +36,10 @@ MEMO = 500_000
 LATTICE = 256
 #: States kept per step of the lattice.
 BEAM = 12
+#: Spellings kept per state, and of a token in the end.
+SPELLINGS = 3
+#: Weight of the character model against the channel.
+LANGUAGE = 0.5
 
 #: Letters that a character may stand for.
 LOOKS_LIKE = {
@@ -97,12 +101,13 @@ class Restorer:
     def __init__(self, counts: np.ndarray):
         self.log = _log_model(counts).tolist()
 
-    def decode(self, token: str) -> str:
-        """The likeliest letters (and word boundaries, as spaces) of a token."""
+    def decode(self, token: str) -> set[str]:
+        """The words of the likeliest spellings of at most LATTICE characters."""
         log = self.log
-        # State: classes of the two letters before; value: (log-probability, text).
-        states = {(0, 0): (0.0, "")}
-        for c, run in groupby(token[:LATTICE]):
+        # State: classes of the two letters before; value: its likeliest
+        # spellings as (log-probability, text).
+        states = {(0, 0): [(0.0, "")]}
+        for c, run in groupby(token):
             n = len(list(run))
             if c.isalpha():
                 ways = [(c * min(n, 2), 0.0 if n <= 2 else SHORTENED)]
@@ -114,19 +119,20 @@ class Restorer:
                     ways.append((x, SUBSTITUTED if n == 1 else SUBSTITUTED + SHORTENED))
                     if n > 1:
                         ways.append((x * 2, SUBSTITUTED))
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (p, text) in states.items():
+            new: dict[tuple[int, int], list[tuple[float, str]]] = {}
+            for (a, b), known in states.items():
                 for out, cost in ways:
-                    x, y, q = a, b, p + cost
+                    x, y = a, b
                     for o in out:
                         k = _class(o)
-                        q += log[x][y][k]
+                        cost += LANGUAGE * log[x][y][k]
                         x, y = y, k
-                    if (x, y) not in new or q > new[x, y][0]:
-                        new[x, y] = (q, text + out)
-            states = dict(sorted(new.items(), key=lambda s: -s[1][0])[:BEAM]) if len(new) > BEAM else new
-        best = max(states.items(), key=lambda s: s[1][0] + log[s[0][0]][s[0][1]][0])[1][1]
-        return best + (self.decode(token[LATTICE:]) if len(token) > LATTICE else "")
+                    new.setdefault((x, y), []).extend((p + cost, text + out) for p, text in known)
+            kept = sorted(new.items(), key=lambda s: -max(s[1])[0])[:BEAM]
+            states = {k: sorted(set(v), reverse=True)[:SPELLINGS] for k, v in kept}
+        last = sorted(((p + LANGUAGE * log[a][b][0], text) for (a, b), v in states.items() for p, text in v),
+                      reverse=True)[:SPELLINGS]
+        return {w for _, text in last for w in text.split()}
 
     def words(self, token: str) -> set[str]:
         """Words of one token: itself without marks around it, the letter runs
@@ -142,9 +148,9 @@ class Restorer:
         else:
             out = {w for w in _letters(core) if len(w) > 2}
         for lo in range(0, len(core), LATTICE):
-            out.update(self.decode(core[lo:lo + LATTICE]).split())
+            out |= self.decode(core[lo:lo + LATTICE])
         if core != token and not _long_run(token) and len(token) <= LATTICE:
-            out.update(self.decode(token).split())
+            out |= self.decode(token)
         return out
 
 
