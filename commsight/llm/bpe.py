@@ -152,7 +152,7 @@ class Codec:
         split = [self.split(t) for t in texts]
         if len(self.memo) > MEMO:
             self.memo = {}
-        new = set().union(*split) - self.memo.keys()
+        new = {t for t in set().union(*split) if t not in self.memo}
         if new:
             self.memo.update(self.learn(new))
         out = [" ".join(map(self.memo.__getitem__, s)) for s in split]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, wordpiece
+from . import bpe, jaccard, langid, packing, quality, toxicity, wordpiece
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op3_token_counts": wordpiece.op3_token_counts,
     "op6_packing": packing.op6_packing,
+    "op7_language_id": langid.op7_language_id,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}

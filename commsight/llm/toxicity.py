@@ -25,7 +25,7 @@ from .common import bounded, fold, read, ready, texts_of
 #: Labelled documents that evidence and calibration learn from, at most.
 SAMPLE = {1: 4000, 0: 16000}
 #: Documents that a feature must occur in to count (or this share of them).
-LEAST_DOCS, LEAST_SHARE = 3, 0.01
+LEAST_DOCS, LEAST_SHARE = 4, 0.02
 #: Log-odds from which a feature is evidence.
 LEAST_EVIDENCE = 2.5
 #: Prefix lengths that stand for word stems.
@@ -218,15 +218,15 @@ class Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Logistic weights by Newton's method, both classes weighing the same;
-    a class without rows gives weights that always say the other."""
+    """Logistic weights by Newton's method; a class without rows gives weights
+    that always say the other."""
     if not len(y) or y.min() == y.max():
         return np.array([(20.0 if len(y) and y[0] else -20.0), 0, 0, 0])
-    w, weight = np.zeros(x.shape[1]), np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    w = np.zeros(x.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + ridge * w
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        grad = x.T @ (p - y) + ridge * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
         w -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
             break

@@ -115,8 +115,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             split = [t.split() for t in texts_of(b.column(1))]
             if len(memo) > MEMO:
                 memo = {}
-            for w in set().union(*split) - memo.keys():
-                memo[w] = count(w)
+            for w in set().union(*split):
+                if w not in memo:
+                    memo[w] = count(w)
             each = [list(map(memo.__getitem__, s)) for s in split]
             unknown = [e.count(0) for e in each]
             yield pa.RecordBatch.from_arrays(
