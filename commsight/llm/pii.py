@@ -79,7 +79,7 @@ def _digits(v: Column) -> Column:
 
 
 def _ip(v: Column) -> Column:
-    part = lambda p: F.ltrim(F.lit("0"), p)
+    part = lambda p: F.ltrim(p, F.lit("0"))
     return F.forall(F.split(v, r"\."), lambda p: (F.length(part(p)) < 3) | (
         (F.length(part(p)) == 3) & (part(p) <= "255")))
 

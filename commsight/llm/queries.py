@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, langid, packing, quality, toxicity, wordpiece
+from . import bpe, fingerprints, jaccard, langid, packing, pii, quality, toxicity, wordpiece
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_token_counts": wordpiece.op3_token_counts,
+    "op4_pii": pii.op4_pii,
     "op6_packing": packing.op6_packing,
     "op7_language_id": langid.op7_language_id,
     "op8_byte_bpe": bpe.op8_byte_bpe,
