@@ -5,12 +5,13 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commsight.session import materialize, ship_package
 
-__all__ = ["ready", "read", "fold", "materialize", "bounded", "ByteHash", "mix64", "texts_of"]
+__all__ = ["ready", "read", "fold", "materialize", "bounded", "ByteHash", "mix64", "texts_of", "annotate"]
 
 # Arrow batches to Python hold at most so many rows and bytes, whichever comes
 # first; one longer text is a batch of its own.
@@ -87,3 +88,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inv = np.full(n, pow(ByteHash._BASE, -1, 1 << 64), np.uint64)
     base[0] = inv[0] = 1
     return np.cumprod(base), np.cumprod(inv)
+
+
+def annotate(docs: DataFrame, text_col: str, fields: str, fn) -> DataFrame:
+    """(row struct of all columns of ``docs``, then ``fields``): ``fn`` maps a
+    list of texts (null read as empty) to one Arrow array per field.  Rows
+    keep their columns whatever their names, and repeats stay repeats."""
+    ready(docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(f"`{text_col}`").alias("text"))
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), *fn(texts_of(b.column(1)))], names=["row", *names])
+
+    return rows.mapInArrow(run, f"row {docs.schema.simpleString()}, {fields}")

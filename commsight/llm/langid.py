@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, fold, read, ready, texts_of
+from .common import annotate, bounded, fold, read, ready, texts_of
 
 #: Labelled documents of a language that the classifiers learn from.
 SAMPLE_PER_LANGUAGE = 2000
@@ -204,28 +204,27 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return model
 
 
+def annotated(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(row: all columns of ``docs``, lang_pred string, score double,
+    ambiguous boolean) of each whole text.  A text that is null or has no
+    letter is ``und`` with score 0 and flagged; so is every text if the model
+    knows no language.  Repeated rows each give a row; equal texts get equal
+    results."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts):
+        got = shipped.value.predict(texts)
+        return [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
+                pa.array([g[2] for g in got], pa.bool_())]
+
+    return annotate(docs, text_col, "lang_pred string, score double, ambiguous boolean", run)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred string, score double, ambiguous boolean) of each whole
-    text.  A text that is null or has no letter is ``und`` with score 0 and
-    flagged; so is every text if the model knows no language.  Repeated rows
-    each give a row; equal texts get equal results; other columns are
+    """(id, lang_pred, score, ambiguous), as ``annotated``; other columns are
     ignored."""
-    spark = docs.sparkSession
-    ready(spark)
-    shipped = spark.sparkContext.broadcast(model)
-
-    def run(batches):
-        for b in batches:
-            got = shipped.value.predict(texts_of(b.column(1)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([g[0] for g in got], pa.string()),
-                 pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())],
-                names=["id", "lang_pred", "score", "ambiguous"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, f"id {kind}, lang_pred string, score double, ambiguous boolean")
-            .withColumnRenamed("id", id_col))
+    return annotated(docs.select(id_col, text_col), model, text_col).select(
+        f"row.{id_col}", "lang_pred", "score", "ambiguous")
 
 
 def op7_language_id(spark, sf_dir):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, jaccard, langid, packing, pii, quality, toxicity, wordpiece
+from . import bpe, fingerprints, jaccard, langid, neighbours, packing, pii, quality, toxicity, wordpiece
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_token_counts": wordpiece.op3_token_counts,
     "op4_pii": pii.op4_pii,
+    "op5_neighbours": neighbours.op5_neighbours,
     "op6_packing": packing.op6_packing,
     "op7_language_id": langid.op7_language_id,
     "op8_byte_bpe": bpe.op8_byte_bpe,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_neighbours": neighbours.OP5_SQL}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, fold, read, ready, texts_of
+from .common import annotate, fold, read, ready, texts_of
 
 #: Labelled documents that evidence and calibration learn from, at most.
 SAMPLE = {1: 4000, 0: 16000}
@@ -309,22 +309,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score double) of each whole text, 0 to 1; an empty or null text
-    is scored as a text without evidence.  Repeated rows each give a row,
-    equal texts equal scores; other columns are ignored."""
-    spark = docs.sparkSession
-    ready(spark)
-    shipped = spark.sparkContext.broadcast(model)
+def annotated(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(row: all columns of ``docs``, score double) of each whole text, 0 to 1;
+    an empty or null text is scored as a text without evidence.  Repeated rows
+    each give a row, equal texts equal scores."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    return annotate(docs, text_col, "score double", lambda texts: [
+        pa.array(list(map(shipped.value.score, texts)), pa.float64())])
 
-    def run(batches):
-        for b in batches:
-            got = [shipped.value.score(t) for t in texts_of(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], names=["id", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col))
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score), as ``annotated``; other columns are ignored."""
+    return annotated(docs.select(id_col, text_col), model, text_col).select(f"row.{id_col}", "score")
 
 
 def op9_toxicity(spark, sf_dir):
