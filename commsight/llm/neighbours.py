@@ -90,8 +90,9 @@ def _in_turn(x: np.ndarray) -> np.ndarray:
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of the rows of two matrices in double precision."""
     with np.errstate(over="ignore", under="ignore", invalid="ignore"):
-        out = _in_turn(a * b) / np.sqrt(_in_turn(a * a) * _in_turn(b * b))
-        odd = ~np.isfinite(out)
+        norms = _in_turn(a * a) * _in_turn(b * b)
+        out = _in_turn(a * b) / np.sqrt(norms)
+        odd = ~np.isfinite(norms) | (norms < 1e-290)
         if odd.any():
             # Squares that leave the range of doubles: scale first.
             x, y = (m[odd] / np.abs(m[odd]).max(axis=1)[:, None] for m in (a, b))
