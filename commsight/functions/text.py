@@ -46,22 +46,17 @@ def last_token(c: ColumnOrName, sep: str = ",") -> Column:
 
 
 def title_case(c: ColumnOrName, sep: str = "_", replace_sep: str | None = None) -> Column:
-    """Capitalise each ``sep``-separated part, lower-case the rest.
+    """Capitalise each run of letters, lower-case the rest.
 
-    ``title_case('web_connectivity')`` gives ``Web_Connectivity`` (what Python's
-    ``str.title`` gives; ``initcap`` alone gives ``Web_connectivity``).  With
+    ``title_case('web_connectivity')`` gives ``Web_Connectivity`` and
+    ``ipv4a's`` gives ``Ipv4A'S``, as ``str.title`` does.  With
     ``replace_sep=' '`` the separator is replaced too: ``tls_version`` gives
-    ``Tls Version``.  Letters after digits are not capitalised (Python would).
+    ``Tls Version``.
     """
-    joiner = sep if replace_sep is None else replace_sep
-    parts = F.split(_c(c), _regex_quote(sep), -1)
-    return F.array_join(F.transform(parts, lambda x: F.initcap(x)), joiner)
-
-
-def _regex_quote(s: str) -> str:
-    import re
-
-    return re.escape(s)
+    text = _c(c) if replace_sep is None else F.replace(_c(c), F.lit(sep), F.lit(replace_sep))
+    parts = F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.when(text.isNotNull(), F.array_join(F.transform(parts, lambda x: F.concat(
+        F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))), ""))
 
 
 def status_label(flag: ColumnOrName, yes: str = "Anomaly", no: str = "Accessible") -> Column:

@@ -34,7 +34,7 @@ from commsight.sources.tables import scan_table
 AS_OF = "2024-01-31"
 HORIZON = 15
 ALERT_THRESHOLD = 0.2
-PIVOT_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE"]
+PIVOT_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 # DuckDB spelling of commsight.functions.text.normalize_text.
 _NORM = "trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
@@ -352,7 +352,7 @@ def q_metric_pivot(spark, d):
 
 SQL_METRIC_PIVOT = f"""
 SELECT 'segment' AS metric, category,
-       {', '.join(f"max(share) FILTER (WHERE country = '{c}') AS {c}" for c in PIVOT_REGIONS)}
+       {', '.join(f"max(share) FILTER (WHERE country = '{c}') AS \"{c}\"" for c in PIVOT_REGIONS)}
 FROM ({_SQL_SHARES}) GROUP BY category
 """
 
@@ -380,6 +380,8 @@ FROM s GROUP BY Country, (rn - 1) // 500
 # ---------------------------------------------------------------- S8, S12
 
 def _measurement_payloads(spark, d) -> DataFrame:
+    """One response per event: the event's measurement, then one with a blank
+    or malformed time and an anomaly that is not a boolean."""
     ev = spread(_t(spark, d, "events"))
     result = F.struct(
         F.col("user_id").cast("string").alias("probe_cc"),
@@ -391,28 +393,36 @@ def _measurement_payloads(spark, d) -> DataFrame:
     return ev.select("event_id", F.to_json(F.struct(F.array(result).alias("results"))).alias("body"))
 
 
+def _mixed_payloads(spark, d) -> DataFrame:
+    odd = F.concat(
+        F.lit(',{"measurement_start_time":"'), F.when(F.col("event_id") % 2 == 0, F.lit("")).otherwise(F.lit("soon")),
+        F.lit('","anomaly":'), F.element_at(F.array(*map(F.lit, ('"yes"', '""', "1", "0", "[]", "[0]", "null"))),
+                                            (F.col("event_id") % 7 + 1).cast("int")), F.lit("}]}"))
+    return _measurement_payloads(spark, d).withColumn("body", F.concat(
+        F.substring("body", F.lit(1), F.length("body") - 2), odd))
+
+
 def q_parse_measurements(spark, d):
-    m = P.parse_measurements(_measurement_payloads(spark, d), keep=["event_id"])
-    return m.select("event_id", "probe_cc", "asn", "test_name", "anomaly", "status")
+    m = P.parse_measurements(_mixed_payloads(spark, d), keep=["event_id"])
+    return m.select("event_id", "pos", "probe_cc", "asn", "test_name", "anomaly", "status", "start_text",
+                    F.date_format("measurement_start_time", "yyyy-MM-dd HH:mm:ss").alias("started"))
 
 
 SQL_PARSE_MEASUREMENTS = """
-SELECT event_id, CAST(user_id AS VARCHAR) AS probe_cc,
+SELECT event_id, 0::BIGINT AS pos, CAST(user_id AS VARCHAR) AS probe_cc,
        CASE WHEN event_type = 'signup' THEN 'AS ' ELSE 'AS ' || event_id END AS asn,
        event_type AS test_name, event_type = 'error' AS anomaly,
-       CASE WHEN event_type = 'error' THEN 'Anomaly' ELSE 'Accessible' END AS status
+       CASE WHEN event_type = 'error' THEN 'Anomaly' ELSE 'Accessible' END AS status,
+       strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS start_text, strftime(ts, '%Y-%m-%d %H:%M:%S') AS started
+FROM events
+UNION ALL
+SELECT event_id, 1, '', 'AS ', '', event_id % 7 IN (0, 2, 5),
+       CASE WHEN event_id % 7 IN (0, 2, 5) THEN 'Anomaly' ELSE 'Accessible' END,
+       CASE WHEN event_id % 2 = 0 THEN '' ELSE 'soon' END, NULL
 FROM events
 """
 
 
-def q_parse_json(spark, d):
-    ev = _t(spark, d, "events")
-    return ev.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
-SQL_PARSE_JSON = "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"
-
-
 def q_split_ok_rejected(spark, d):
     ev = spread(_t(spark, d, "events"))
     body = (F.when(F.col("event_type") == "error", F.lit('{"success": tru'))
@@ -438,15 +448,19 @@ def q_parse_summary(spark, d):
         F.col("category").alias("name"), F.col("share").alias("share"), F.col("requests").alias("requests")
     )).alias("summary_0")).alias("result")))
     as_map = F.to_json(F.struct(F.lit(True).alias("success"), F.struct(
-        F.create_map(F.col("category"), F.col("share")).alias("summary_0")).alias("result")))
+        F.create_map(F.col("category"), F.concat(F.col("requests").cast("string"), F.lit(" seen"))).alias("summary_0")
+        ).alias("result")))
     payloads = s.select("country", F.lit("segment").alias("metric"),
                         F.when(F.col("r_regionkey") <= 2, as_list).otherwise(as_map).alias("body"))
-    return P.parse_summary(payloads).select("country", "category", "share", "requests", "shape")
+    failed = payloads.withColumn("body", F.replace("body", F.lit('"success":true'), F.lit('"success":false')))
+    return P.parse_summary(payloads.unionAll(failed)).select(
+        "country", "category", "share", "requests", "value", "shape")
 
 
 SQL_PARSE_SUMMARY = f"""
-SELECT country, category, share,
+SELECT country, category, CASE WHEN r_regionkey <= 2 THEN share END AS share,
        CASE WHEN r_regionkey <= 2 THEN requests END AS requests,
+       CASE WHEN r_regionkey > 2 THEN requests || ' seen' END AS value,
        CASE WHEN r_regionkey <= 2 THEN 'list' ELSE 'dict' END AS shape
 FROM ({_SQL_SHARES})
 """
@@ -1253,7 +1267,7 @@ def q_question_metric_shares(spark, d):
     metrics = shares.join(tot, "Country").join(code_of, "Country").select(
         F.col("alpha_2").alias("country"), F.lit("segment_share").alias("metric"),
         F.col("c_mktsegment").alias("category"), (F.col("n") / F.col("t")).alias("share"))
-    return question_metrics(coded, metrics)
+    return question_metrics(coded, metrics).drop("value")
 
 
 SQL_QUESTION_METRIC_SHARES = f"""
@@ -1300,7 +1314,6 @@ QUERIES = {
     "metric_pivot": (q_metric_pivot, SQL_METRIC_PIVOT),
     "providers_by_country": (q_providers_by_country, SQL_PROVIDERS_BY_COUNTRY),
     "parse_measurements": (q_parse_measurements, SQL_PARSE_MEASUREMENTS),
-    "parse_json": (q_parse_json, SQL_PARSE_JSON),
     "split_ok_rejected": (q_split_ok_rejected, SQL_SPLIT_OK_REJECTED),
     "parse_summary": (q_parse_summary, SQL_PARSE_SUMMARY),
     "parse_ranking": (q_parse_ranking, SQL_PARSE_RANKING),

@@ -51,10 +51,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged writes.
 
     The cluster names it in ``spark.checkpoint.dir``; we only invent one when
-    it is unset (local runs and tests), never overriding the cluster's.
+    it is unset (local runs and tests), never overriding the cluster's.  On a
+    cluster it must be set: a folder of the driver alone would lose what
+    executors write.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="commsight-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
@@ -75,20 +80,21 @@ def staging_path(spark: SparkSession, name: str) -> str:
 def spread(df, min_partitions: int | None = None):
     """Give CPU-heavy per-row work (tokenising, HTML parsing) enough tasks.
 
-    A small input stored as one file is one partition, i.e. one core.  If
-    ``df`` has fewer partitions than the cluster's default parallelism it is
-    round-robin repartitioned; a large input (many files, many splits) is
-    returned untouched, so at scale this adds no shuffle.
+    A small input stored as one file is one partition, i.e. one core.  If the
+    optimiser's size estimate gives ``df`` fewer scan partitions than the
+    cluster's default parallelism it is round-robin repartitioned; a large
+    input is returned untouched, so at scale this adds no shuffle.  Reads the
+    plan only: nothing runs while a query is being built.
     """
     if df.isStreaming:
         return df  # partitioning of a stream is set by its source
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            return df.repartition(target)
-    except Exception:  # noqa: BLE001 - no RDD API (Spark Connect): leave it to the planner
-        pass
-    return df
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    except AttributeError:  # Spark Connect: leave it to the planner
+        return df
+    return df.repartition(target) if size < target * split else df
 
 
 def materialize(df, name: str = "table"):

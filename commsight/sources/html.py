@@ -48,10 +48,16 @@ NON_TEXT = frozenset(("script", "style", "template"))
 _SCOPE = frozenset(("table", "ul", "ol", "dl", "select", "html", "body"))
 
 
-# Ancestors kept per element, nearest first to go: lookups ask for the
-# nearest table/row/anchor/div, and a malformed page with thousands of
-# unclosed tags must not make every path that long.
-MAX_PATH = 256
+# Ancestors that paths keep, all of them however deep.  Lookups
+# ask for tables, rows, sections, anchors and blocks; text-level tags, which
+# malformed pages leave open by the thousand, are never asked for.
+STRUCTURAL = frozenset(
+    "a article aside body div dl footer form header html li main nav ol section select table tbody td tfoot th "
+    "thead tr ul".split())
+
+
+#: Tag of the element that tells of a page that could not be parsed.
+ERROR_TAG = "#error"
 
 
 class _Elements(HTMLParser):
@@ -67,6 +73,7 @@ class _Elements(HTMLParser):
         # [pos, parent, depth, tag, classes, attrs, frag_start, frag_end, path, tags, ids, classes]
         self.out: list[list] = []
         self.stack: list[int] = []    # positions of open elements
+        self.path: list[int] = []     # those of them that paths keep
         self.frags: list[str] = []
         self.hidden = 0               # depth inside script/style
 
@@ -74,7 +81,7 @@ class _Elements(HTMLParser):
         a = {k: (v if v is not None else "") for k, v in attrs}
         pos = len(self.out)
         parent = self.stack[-1] if self.stack else -1
-        path = self.stack[-MAX_PATH:]
+        path = self.path[:]
         n = len(self.frags)
         self.out.append([pos, parent, len(self.stack), tag, a.get("class", "").split(), a, n, n,
                          path, [self.out[p][3] for p in path],
@@ -86,6 +93,8 @@ class _Elements(HTMLParser):
         n = len(self.frags)
         while len(self.stack) > i:
             p = self.stack.pop()
+            if self.path and self.path[-1] == p:
+                self.path.pop()
             self.out[p][7] = n
             if self.out[p][3] in NON_TEXT:
                 self.hidden -= 1
@@ -108,6 +117,8 @@ class _Elements(HTMLParser):
         pos = self._open(tag, attrs)
         if tag not in VOID:
             self.stack.append(pos)
+            if tag in STRUCTURAL:
+                self.path.append(pos)
             if tag in NON_TEXT:
                 self.hidden += 1
 
@@ -133,19 +144,26 @@ class _Elements(HTMLParser):
         self._close_to(0)
 
 
-def _parse_page(page_id: int, html: str, keep_tags: frozenset | None = None) -> list[tuple]:
-    p = _Elements()
+def _parse_page(page_id: int | None, html: str, keep_tags: frozenset | None = None) -> list[tuple]:
+    """Elements of a page; a page that the parser gives up on keeps what was
+    parsed and has one more element, ERROR_TAG, whose text says why."""
+    p, failed = _Elements(), []
     try:
         p.feed(html or "")
         p.close()
-    except Exception:  # a broken page keeps whatever was parsed
-        pass
+    except (AssertionError, ValueError, RecursionError) as e:
+        failed = [(page_id, -1, -1, 0, ERROR_TAG, [], {}, f"{type(e).__name__}: {e}", [], [], [], [])]
     p.finish()
     f = p.frags
-    return [(page_id, e[0], e[1], e[2], e[3], e[4], e[5], "".join(f[e[6]:e[7]]), e[8], e[9], e[10], e[11])
+    return failed + [(page_id, e[0], e[1], e[2], e[3], e[4], e[5], "".join(f[e[6]:e[7]]), e[8], e[9], e[10], e[11])
             for e in p.out if keep_tags is None or e[3] in keep_tags]
 
 
+def _frame(rows: list[tuple], cols: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame.from_records(rows, columns=cols)
+    return out.astype({"page_id": "Int64"})
+
+
 def html_elements(pages: DataFrame, page_id: str = "page_id", html: str = "html",
                   keep_tags: Sequence[str] | None = None) -> DataFrame:
     """One row per element: (page_id, pos, parent, depth, tag, classes,
@@ -154,7 +172,7 @@ def html_elements(pages: DataFrame, page_id: str = "page_id", html: str = "html"
     ``text`` is the element's visible text as ``get_text(strip=True)`` gives
     it: every text node stripped, empties dropped, joined with ``''``;
     script/style text excluded; entities decoded.  ``path`` lists the
-    positions of the ancestors, root first; ``path_tags``, ``path_ids`` and
+    positions of the STRUCTURAL ancestors, root first; ``path_tags``, ``path_ids`` and
     ``path_classes`` give their tags, ``id`` and ``class`` attributes, so
     ancestor tests need no join back to the stream.
 
@@ -172,12 +190,12 @@ def html_elements(pages: DataFrame, page_id: str = "page_id", html: str = "html"
         for pdf in batches:
             rows: list[tuple] = []
             for pid, h in zip(pdf["page_id"], pdf["html"]):
-                rows.extend(_parse_page(int(pid), h, keep))
+                rows.extend(_parse_page(None if pd.isna(pid) else int(pid), h, keep))
                 if len(rows) >= _CHUNK_ROWS:
-                    yield pd.DataFrame.from_records(rows, columns=cols)
+                    yield _frame(rows, cols)
                     rows = []
             if rows:
-                yield pd.DataFrame.from_records(rows, columns=cols)
+                yield _frame(rows, cols)
 
     return src.mapInPandas(run, ELEMENT_SCHEMA)
 
@@ -235,20 +253,49 @@ def html_table_rows(elements: DataFrame, columns: Sequence[str], table_id: str |
     * ``header='first_row'``: the first ``tbody`` row (td or th) is the
       header and is not emitted; data rows use ``td`` cells.
 
-    Rows without any data cell are skipped.  Cells beyond ``columns`` are
-    ignored, missing ones are null.  Output: (page_id, table_pos, row_pos,
-    row_idx, *columns) with ``row_idx`` 0-based among emitted rows.
+    With ``table_id`` or ``container_class`` only the first such table of a
+    page, and of that only the first ``tbody``, is read.  Rows without any
+    data cell are skipped; rows with more cells than ``columns`` are left to
+    ``html_table_rejects``; missing cells are null.  Output: (page_id,
+    table_pos, row_pos, row_idx, *columns) with ``row_idx`` 0-based among
+    emitted rows.
 
     One pass over the element stream: the table test reads the cell's own
     ancestor arrays, and the windows are per page (a page is one input row,
     so these groups are bounded by what one task already parsed).
     """
+    data = _data_cells(elements, table_id, container_class, header)
+    w = Window.partitionBy("page_id", "row_pos")
+    data = data.withColumn("__ci", F.row_number().over(w.orderBy("pos")) - 1).withColumn(
+        "__n", F.count("*").over(w)).where(F.col("__n") <= len(columns))
+    wide = data.groupBy("page_id", "table_pos", "row_pos").agg(
+        *[F.max(F.when(F.col("__ci") == i, F.col("text"))).alias(name) for i, name in enumerate(columns)])
+    rw = Window.partitionBy("page_id", "table_pos").orderBy("row_pos")
+    return wide.select("page_id", "table_pos", "row_pos", (F.row_number().over(rw) - 1).cast("long").alias("row_idx"),
+                       *columns)
+
+
+def html_table_rejects(elements: DataFrame, columns: Sequence[str], table_id: str | None = None,
+                       container_class: str | None = None, header: str = "thead") -> DataFrame:
+    """Rows that ``html_table_rows`` leaves out, with the reason: (page_id,
+    table_pos, row_pos, cells array, reason)."""
+    data = _data_cells(elements, table_id, container_class, header)
+    rows = data.groupBy("page_id", "table_pos", "row_pos").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda c: c["text"]).alias("cells"))
+    n = F.size("cells")
+    return rows.where(n > len(columns)).withColumn(
+        "reason", F.concat(n.cast("string"), F.lit(f" cells for {len(columns)} columns")))
+
+
+def _data_cells(elements: DataFrame, table_id: str | None, container_class: str | None, header: str) -> DataFrame:
+    """Data cells (page_id, pos, text, table_pos, row_pos) of the located tables."""
     cells = elements.where(F.col("tag").isin("td", "th")).select(
         "page_id", "pos", "tag", "text",
         _nearest("p", ["table"]).alias("table_pos"),
         _nearest("i", ["table"]).alias("__tid"),
         _nearest("p", ["tr"]).alias("row_pos"),
         _nearest("t", ["thead", "tbody", "tfoot"]).alias("section"),
+        _nearest("p", ["thead", "tbody", "tfoot"]).alias("section_pos"),
         *([_inside_div_with_class(container_class).alias("__in")] if container_class else []),
     ).where(F.col("row_pos").isNotNull() & F.col("table_pos").isNotNull())
     if table_id is not None:
@@ -256,19 +303,18 @@ def html_table_rows(elements: DataFrame, columns: Sequence[str], table_id: str |
     if container_class is not None:
         cells = cells.where(F.col("__in"))
     body = cells.where(F.coalesce(F.col("section"), F.lit("tbody")) == "tbody")
+    if table_id is not None or container_class is not None:
+        page = Window.partitionBy("page_id")
+        body = body.withColumn("__t", F.min("table_pos").over(page)).where(F.col("table_pos") == F.col("__t"))
+        body = body.withColumn("__s", F.min("section_pos").over(page)).where(
+            F.col("section_pos").eqNullSafe(F.col("__s"))).drop("__t", "__s")
     if header == "first_row":
         first = F.min("row_pos").over(Window.partitionBy("page_id", "table_pos"))
         data = body.withColumn("__hdr", first).where(
             (F.col("row_pos") != F.col("__hdr")) & (F.col("tag") == "td")).drop("__hdr")
     else:
         data = body.where(F.col("tag") == "td")
-    w = Window.partitionBy("page_id", "row_pos").orderBy("pos")
-    data = data.withColumn("__ci", F.row_number().over(w) - 1).where(F.col("__ci") < len(columns))
-    wide = data.groupBy("page_id", "table_pos", "row_pos").agg(
-        *[F.max(F.when(F.col("__ci") == i, F.col("text"))).alias(name) for i, name in enumerate(columns)])
-    rw = Window.partitionBy("page_id", "table_pos").orderBy("row_pos")
-    return wide.select("page_id", "table_pos", "row_pos", (F.row_number().over(rw) - 1).cast("long").alias("row_idx"),
-                       *columns)
+    return data
 
 
 def html_table_header(elements: DataFrame, table_id: str | None = None) -> DataFrame:

@@ -19,16 +19,30 @@ from commsight.session import spread
 
 MEASUREMENT_SCHEMA = (
     "struct<results: array<struct<probe_cc: string, probe_asn: string, "
-    "measurement_start_time: string, test_name: string, anomaly: boolean>>>"
+    "measurement_start_time: string, test_name: string, anomaly: variant>>>"
 )
 
 
+def truthy(v: Column) -> Column:
+    """Whether a JSON value counts as true: not absent, null, false, zero or
+    empty."""
+    kind = F.schema_of_variant(v)
+    text = F.try_variant_get(v, "$", "string")
+    return F.coalesce(
+        F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+        .when(kind == "STRING", text != "")
+        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~text.isin("[]", "{}"))
+        .when(kind != "VOID", F.try_variant_get(v, "$", "double") != 0), F.lit(False))
+
+
 def parse_measurements(payloads: DataFrame, body: str = "body", keep: Sequence[str] = ()) -> DataFrame:
     """Results array -> one typed row per measurement.
 
     Absent keys get the reference's defaults (``''``; an absent anomaly
-    means accessible).  A payload with no ``results`` gives no rows.  ``pos``
-    is the measurement's position in the response (order matters for W1).
+    means accessible; any truthy one is an anomaly).  A payload with no
+    ``results`` gives no rows.  ``pos`` is the measurement's position in the
+    response (order matters for W1).  A blank or malformed time gives a null
+    ``measurement_start_time``; ``start_text`` keeps what was sent.
     """
     keep = list(keep)
     parsed = spread(payloads).select(*keep, F.from_json(F.col(body), MEASUREMENT_SCHEMA).alias("__p"))
@@ -39,10 +53,11 @@ def parse_measurements(payloads: DataFrame, body: str = "body", keep: Sequence[s
         F.col("pos").cast("long").alias("pos"),
         F.coalesce(r["probe_cc"], F.lit("")).alias("probe_cc"),
         asn_label(r["probe_asn"]).alias("asn"),
-        F.to_timestamp(r["measurement_start_time"]).alias("measurement_start_time"),
+        F.try_to_timestamp(r["measurement_start_time"]).alias("measurement_start_time"),
+        F.coalesce(r["measurement_start_time"], F.lit("")).alias("start_text"),
         F.coalesce(r["test_name"], F.lit("")).alias("test_name"),
-        F.coalesce(r["anomaly"], F.lit(False)).alias("anomaly"),
-        status_label(r["anomaly"]).alias("status"),
+        truthy(r["anomaly"]).alias("anomaly"),
+        status_label(truthy(r["anomaly"])).alias("status"),
     )
 
 
@@ -82,13 +97,15 @@ def parse_summary(payloads: DataFrame, body: str = "body",
     """``result.summary_0`` in either shape -> long rows.
 
     List form ``[{name, share, requests}]``: share (int or float, 0..1) as a
-    double, null when absent; dict form ``{category: value}``: value as text
-    and, when numeric, also as ``share``.  Output: keys, pos, category,
-    share, requests, value, shape.
+    double, null when absent; dict form ``{category: value}``: the value as
+    text, shown as it is, and no share.  Payloads whose ``success`` is not
+    true give no rows.  Output: keys, pos, category, share, requests, value,
+    shape.
     """
     keys = list(keys)
     s = F.try_variant_get(_variant(body), "$.result.summary_0", "variant")
-    base = spread(payloads).select(*keys, s.alias("__s"))
+    ok = F.coalesce(F.try_variant_get(_variant(body), "$.success", "boolean"), F.lit(False))
+    base = spread(payloads).where(ok).select(*keys, s.alias("__s"))
     as_list = F.try_variant_get(F.col("__s"), "$", "array<variant>")
     as_map = F.try_variant_get(F.col("__s"), "$", "map<string,string>")
     lists = base.where(as_list.isNotNull()).select(*keys, F.posexplode(as_list).alias("pos", "__i"))
@@ -105,7 +122,7 @@ def parse_summary(payloads: DataFrame, body: str = "body",
     maps = maps.select(
         *keys, F.col("pos").cast("long").alias("pos"),
         F.col("__e.key").alias("category"),
-        F.col("__e.value").try_cast("double").alias("share"),
+        F.lit(None).cast("double").alias("share"),
         F.lit(None).cast("bigint").alias("requests"),
         F.col("__e.value").alias("value"),
         F.lit("dict").alias("shape"),
@@ -148,7 +165,8 @@ def unknown_shape_dump(payloads: DataFrame, body: str = "body", metric: str = "m
 
     * ``summary_0`` present but neither a list nor an object;
     * the ranking metric without a usable ``top``/``top_0`` list;
-    * any other metric without ``summary_0``.
+    * any other metric without ``summary_0``: its ``top`` if it has one, else
+      the whole result.
     """
     keys = list(keys)
     v = _variant(body)
@@ -162,7 +180,9 @@ def unknown_shape_dump(payloads: DataFrame, body: str = "body", metric: str = "m
     has_list = (F.coalesce(F.size(top), F.lit(0)) > 0) | top0.isNotNull()
     is_rank = F.col(metric) == F.lit(ranking_metric)
     unknown = (has_s & ~s_list & ~s_map) | (~has_s & is_rank & ~has_list) | (~has_s & ~is_rank)
-    dumped = F.when(has_s, F.to_json(s)).otherwise(F.to_json(res))
+    other_top = F.try_variant_get(v, "$.result.top", "variant")
+    dumped = (F.when(has_s, F.to_json(s)).when(~is_rank & other_top.isNotNull(), F.to_json(other_top))
+              .otherwise(F.to_json(res)))
     return spread(payloads).where(v.isNotNull() & unknown).select(*keys, dumped.alias("raw"))
 
 

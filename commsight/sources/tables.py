@@ -60,8 +60,10 @@ def load_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """K1: headed CSV (one directory of part files)."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """K1: headed CSV (one directory of part files).  Cells keep their blanks;
+    an empty cell reads back as null."""
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_table(df: DataFrame, path: str, partition_by: Iterable[str] = (),

@@ -141,14 +141,29 @@ def test_model_map_stub(spark):
 def test_deeply_nested_malformed_page_is_cheap(spark):
     import time
 
-    from commsight.sources.html import MAX_PATH, _parse_page
+    from commsight.sources.html import _parse_page
 
-    html = "<html><body>" + "<div>x" * 5000 + "<p>end</p></body></html>"
+    html = "<html><body>" + "<b>x" * 5000 + "<p>end</p></body></html>"
     t0 = time.time()
     rows_ = _parse_page(1, html)
     assert time.time() - t0 < 5
-    assert max(len(r[8]) for r in rows_) == MAX_PATH            # paths keep the nearest ancestors
+    assert max(len(r[8]) for r in rows_) == 2  # paths keep the structural ancestors
     body = [r for r in rows_ if r[4] == "body"][0]
     assert body[7].startswith("xxx") and body[7].endswith("end")  # whole text, not a prefix
     innermost_p = [r for r in rows_ if r[4] == "p"][0]
     assert innermost_p[7] == "end" and innermost_p[3] == 5002
+
+
+def test_deep_table_extra_cells_and_first_table(spark):
+    from commsight.sources import html as H
+
+    row = lambda *c: "<tr>" + "".join(f"<td>{x}</td>" for x in c) + "</tr>"
+    deep = "<div class='box'>" + "<div><span>" * 300 + "<table><tbody>" + row("a", "b") + row("a", "b", "c") + row("d")
+    deep += "</tbody><tbody>" + row("e", "f") + "</tbody></table><table>" + row("g", "h") + "</table></div>"
+    pages = spark.createDataFrame([(1, deep), (None, deep), (2, None)], "page_id long, html string")
+    el = H.html_elements(pages, keep_tags=H.TABLE_TAGS)
+    got = H.html_table_rows(el.where("page_id = 1"), ["x", "y"], container_class="box")
+    assert rows(got, "x", "y") == [("a", "b"), ("d", None)]
+    bad = H.html_table_rejects(el.where("page_id = 1"), ["x", "y"], container_class="box")
+    assert rows(bad, "cells", "reason") == [(["a", "b", "c"], "3 cells for 2 columns")]
+    assert el.where("page_id IS NULL").count() == el.where("page_id = 1").count()

@@ -56,8 +56,11 @@ def test_parse_summary_shapes(spark):
     s = P.parse_summary(_metric(spark))
     got = rows(s, "metric", "category", "share", "requests", "shape")
     assert got == sorted([("device_type", "mobile", 0.61, 10, "list"), ("device_type", "desktop", 1.0, 3, "list"),
-                          ("device_type", "other", None, 0, "list"), ("ip_version", "IPv4", 72.5, None, "dict"),
-                          ("ip_version", "IPv6", 27.5, None, "dict")], key=repr)
+                          ("device_type", "other", None, 0, "list"), ("ip_version", "IPv4", None, None, "dict"),
+                          ("ip_version", "IPv6", None, None, "dict")], key=repr)
+    assert {r.category: r.value for r in s.where("shape = 'dict'").collect()} == {"IPv4": "72.5", "IPv6": "27.5"}
+    failed = _metric(spark).selectExpr("country", "metric", "replace(body, 'true', 'false') AS body")
+    assert P.parse_summary(failed).count() == 0
 
 
 def test_parse_ranking_and_rejects(spark):

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from commsight.plans import fixtures
 
 SMOKE = "/root/testdata/sf0.001"
 
@@ -11,7 +12,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(fixtures.QUERIES))
 def test_no_cartesian_products(spark, name):
     plan = _plan(entry.queries()[name](spark, SMOKE))
     assert "CartesianProduct" not in plan
@@ -19,7 +20,7 @@ def test_no_cartesian_products(spark, name):
 
 
 def test_every_query_has_an_oracle_or_is_a_report_plan():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"report", "table_report"}
+    assert set(fixtures.QUERIES) - set(entry.oracle_sql()) == {"report", "table_report"}
 
 
 def test_partial_aggregation_before_shuffle(spark):
