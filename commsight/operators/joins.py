@@ -69,6 +69,32 @@ COMMON_NAMES = {
     "TR": "Turkey",
 }
 
+# Further standard and official names in use, by alpha-2 code.
+OTHER_NAMES = {
+    "AR": ["Argentine Republic"], "AT": ["Republic of Austria"], "BO": ["Bolivia, Plurinational State of"],
+    "BN": ["Brunei Darussalam"], "CD": ["Congo, The Democratic Republic of the", "Democratic Republic of the Congo"],
+    "CG": ["Republic of the Congo"], "CH": ["Swiss Confederation"], "CI": ["Republic of Côte d'Ivoire"],
+    "CN": ["China"], "CV": ["Cabo Verde"], "CZ": ["Czechia"], "DE": ["Federal Republic of Germany"],
+    "DO": ["Dominican Republic"], "DZ": ["People's Democratic Republic of Algeria"], "EG": ["Arab Republic of Egypt"],
+    "ET": ["Federal Democratic Republic of Ethiopia"], "FK": ["Falkland Islands (Malvinas)"],
+    "FM": ["Micronesia, Federated States of"], "FR": ["French Republic"], "GR": ["Hellenic Republic"],
+    "HK": ["Hong Kong Special Administrative Region of China"], "IE": ["Ireland"],
+    "IR": ["Iran, Islamic Republic of"], "IT": ["Italian Republic"], "KP": ["Korea, Democratic People's Republic of"],
+    "KR": ["Korea, Republic of"], "KG": ["Kyrgyz Republic"], "LA": ["Lao PDR"], "LB": ["Lebanese Republic"],
+    "LY": ["Libyan Arab Jamahiriya"], "MD": ["Moldova, Republic of"], "MX": ["United Mexican States"],
+    "MK": ["North Macedonia", "Macedonia"], "NG": ["Federal Republic of Nigeria"],
+    "NP": ["Federal Democratic Republic of Nepal"], "PS": ["Palestine, State of", "the State of Palestine"],
+    "PT": ["Portuguese Republic"], "SA": ["Kingdom of Saudi Arabia"], "SK": ["Slovak Republic"],
+    "SZ": ["Swaziland"], "TL": ["East Timor"], "TG": ["Togolese Republic"], "TN": ["Republic of Tunisia"],
+    "TR": ["Türkiye", "Republic of Türkiye"], "TZ": ["Tanzania, United Republic of"],
+    "UY": ["Eastern Republic of Uruguay"], "VA": ["Holy See (Vatican City State)"],
+    "VE": ["Venezuela, Bolivarian Republic of"], "VG": ["Virgin Islands, British"], "VI": ["Virgin Islands, U.S."],
+    "VN": ["Viet Nam"], "AE": ["United Arab Emirates"], "LK": ["Democratic Socialist Republic of Sri Lanka"],
+    "BD": ["People's Republic of Bangladesh"], "BR": ["Federative Republic of Brazil"], "AU": ["Commonwealth of Australia"],
+}
+# Long forms that put a title before the name.
+TITLES = ("Republic of", "Republic of the", "Kingdom of", "State of", "Islamic Republic of", "Commonwealth of the")
+
 # Short forms people type for a country, by alpha-2 code.
 SHORT_ALIASES = [
     ("usa", "US"), ("u s a", "US"), ("uk", "GB"), ("great britain", "GB"), ("britain", "GB"),
@@ -89,16 +115,19 @@ def _jvm_country_rows(spark: SparkSession) -> list[tuple]:
             name = jvm.java.util.Locale("", code).getDisplayCountry(english)
             if not name or name == code:
                 continue
-            rows.append((code, name, COMMON_NAMES.get(code), OFFICIAL_NAMES.get(code)))
+            # The JVM abbreviates and typesets: "Bosnia & Herzegovina", "Côte d’Ivoire".
+            name = name.replace(" & ", " and ").replace("St. ", "Saint ").replace("\u2019", "'")
+            rows.append((code, name, COMMON_NAMES.get(code), OFFICIAL_NAMES.get(code), OTHER_NAMES.get(code, [])))
         _COUNTRY_ROWS = rows
     return _COUNTRY_ROWS
 
 
 def countries_dim(spark: SparkSession) -> DataFrame:
-    """``(alpha_2, name, common_name, official_name)``, one row per code."""
+    """``(alpha_2, name, common_name, official_name, other_names)``, one
+    row per code."""
     return spark.createDataFrame(
         _jvm_country_rows(spark),
-        "alpha_2 string, name string, common_name string, official_name string",
+        "alpha_2 string, name string, common_name string, official_name string, other_names array<string>",
     )
 
 
@@ -124,7 +153,14 @@ def _lookup_keys(countries: DataFrame, name_case_insensitive: bool) -> DataFrame
                                  F.lit(2).alias("__prio"), "alpha_2")
     by_official = countries.select(F.col("official_name").alias("__k"), F.lit(False).alias("__ci"),
                                    F.lit(3).alias("__prio"), "alpha_2")
-    return by_name.unionByName(by_common).unionByName(by_official).where(F.col("__k").isNotNull())
+    keys = by_name.unionByName(by_common).unionByName(by_official)
+    if "other_names" in countries.columns:
+        other = countries.select(F.explode("other_names").alias("__k"), F.lit(False).alias("__ci"),
+                                 F.lit(4).alias("__prio"), "alpha_2")
+        titled = countries.select(F.explode(F.array(*[F.concat(F.lit(t + " "), "name") for t in TITLES])).alias("__k"),
+                                  F.lit(False).alias("__ci"), F.lit(5).alias("__prio"), "alpha_2")
+        keys = keys.unionByName(other).unionByName(titled)
+    return keys.where(F.col("__k").isNotNull())
 
 
 def resolve_alpha2(names: DataFrame, name_col: str, countries: DataFrame,
@@ -132,7 +168,8 @@ def resolve_alpha2(names: DataFrame, name_col: str, countries: DataFrame,
     """J2 core: distinct ``name_col`` values -> (name, alpha_2 or null).
 
     Priority: name (case-insensitive by default, like the library the
-    reference calls), then common name, then official name (both exact).
+    reference calls), then common name, official name, other names and titled
+    long forms (all exact).
     Every probe is an equi-join on (key, mode); no cross product.
     """
     probe = names.select(F.col(name_col).alias("__name")).where(F.col("__name").isNotNull()).distinct()

@@ -116,3 +116,15 @@ def test_country_aliases_select_official_and_short_forms(spark):
     values = spark.createDataFrame([("United States",), ("United Kingdom",), ("Peru",)], "Country string")
     sel = E.match_entities(q, values, "Country", aliases=J.country_aliases(dim))
     assert rows(sel) == [(1, "United States"), (2, "United Kingdom"), (2, "United States"), (3, "Peru")]
+
+
+def test_names_in_use_resolve(spark):
+    from commsight.operators.joins import countries_dim, resolve_alpha2
+
+    want = {"Bosnia and Herzegovina": "BA", "Trinidad and Tobago": "TT", "Iran, Islamic Republic of": "IR",
+            "Bolivia, Plurinational State of": "BO", "Korea, Republic of": "KR", "Türkiye": "TR", "Viet Nam": "VN",
+            "Republic of Chile": "CL", "French Republic": "FR", "Côte d'Ivoire": "CI", "Kingdom of Norway": "NO",
+            "peru": "PE", "Saint Lucia": "LC"}
+    names = spark.createDataFrame([(n,) for n in want], "Country string")
+    got = {r.Country: r.alpha_2 for r in resolve_alpha2(names, "Country", countries_dim(spark)).collect()}
+    assert got == want
