@@ -26,11 +26,13 @@ from .common import ByteHash, bounded, materialize, mix64, read, ready, texts_of
 from .components import components
 
 #: A token that more groups hold is frequent: it goes to the end of the order.
-FREQUENT = 48
+FREQUENT = 16
 #: Times that the order is refined (frequent tokens found, prefixes taken anew).
 REFINE = 3
-#: Seeds of the hash orders whose minima put similar documents together.
+#: Seeds of the hash orders whose least hashes put similar documents together.
 SEEDS = 4
+#: Bytes of text that are hashed at once (a longer text at once by itself).
+CHUNK = 1 << 20
 #: Rows of ids or tokens up to which a side is broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Frequent tokens (the most frequent first) that the order may move back;
@@ -45,7 +47,18 @@ _LOWER[65:91] += 32
 
 def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles."""
-    raw = [t.encode() for t in texts]
+    out, run, size = [], [], 0
+    for t in texts:
+        r = t.encode()
+        if run and size + len(r) > CHUNK:
+            out += _sets_of(run, words)
+            run, size = [], 0
+        run.append(r)
+        size += len(r)
+    return out + (_sets_of(run, words) if run else [])
+
+
+def _sets_of(raw: list[bytes], words: int) -> list[np.ndarray]:
     # A space ends each text; every word is then followed by one space.
     data = _LOWER[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
     space = _SPACE[data]
@@ -75,6 +88,18 @@ def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:
     return out
 
 
+def near_keys(s: np.ndarray) -> list[int]:
+    """A key per seed that similar sets are likely to share: the two least
+    hashes under the seed, and a class of sizes whose bounds shift by seed."""
+    keys = []
+    for k in range(SEEDS):
+        h = mix64(s.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))
+        least = np.sort(np.partition(h, 1)[:2]) if len(h) > 2 else np.sort(h)
+        size = np.uint64(np.floor(np.log(len(s)) / np.log(1.6) + k / SEEDS))
+        keys.append(int(mix64(np.array([least[0] ^ mix64(least[-1:] + size)[0]]))[0].astype(np.int64)))
+    return keys
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(id, tokens binary): each document's set as packed sorted hashes."""
 
@@ -96,16 +121,14 @@ def prefix_size(n, num: int, den: int):
 
 def _summaries(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(id, n, key, minima, prefix) of each document: set size, digest of the
-    set, its smallest hash under each seed, its index tokens by hash."""
+    set, its keys of likeness, its index tokens by hash."""
 
     def run(batches):
-        seeds = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64)) for i in range(SEEDS)]
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 sets = shingle_sets(texts_of(part.column(1)), words)
-                minima = [[int(mix64(s.view(np.uint64) ^ seed).min().view(np.int64)) for seed in seeds]
-                          if len(s) else [] for s in sets]
+                minima = [near_keys(s) if len(s) else [] for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
@@ -165,8 +188,8 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("id").alias("rep")).where("rep IS NOT NULL"), "classes")
     reps = rows.join(bounded(classes.select(F.col("rep").alias("id")), BROADCAST_ROWS), "id", "left_semi")
 
-    # Groups: documents whose smallest hash under one of the seeds agrees are
-    # compared with the first of them; links make the groups.
+    # Groups: documents that share a key of likeness are compared with the
+    # first of them; links make the groups.
     minima = reps.select("id", "n", F.posexplode("minima").alias("seed", "least"))
     pivots = minima.groupBy("seed", "least").agg(
         F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select(
@@ -176,7 +199,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialize(_verify(near, docs, words, num, den), "links")
     groups = materialize(components(links), "groups")
 
-    index = _matrix(rows, reps, groups, docs, words, num, den)
+    index = _matrix(reps, groups, docs, words, num, den)
     found = _verify(_candidates(index, num, den), docs, words, num, den)
     roots = components(links.unionAll(found))
     named = classes.join(bounded(roots, BROADCAST_ROWS), F.col("rep") == F.col("node"), "left").select(
@@ -200,102 +223,136 @@ def _shared(rows: DataFrame) -> DataFrame:
         "lo <> hi").select("token")
 
 
-def _matrix(rows, reps, groups, docs, words, num, den) -> DataFrame:
-    """(token, id, grp, n, c) of the index tokens that several groups hold;
-    ``c`` is the number of the document's index tokens."""
+def _matrix(reps, groups, docs, words, num, den) -> DataFrame:
+    """(token, id, grp, n) of the index tokens that several groups hold."""
     spark = docs.sparkSession
     owner = bounded(groups.select(F.col("node").alias("id"), "root"), BROADCAST_ROWS)
     index = reps.join(owner, "id", "left").select(
-        "id", F.coalesce("root", "id").alias("grp"), "n", F.size("prefix").cast("long").alias("c"),
-        F.explode("prefix").alias("token"))
-    shared = materialize(_shared(index), "shared")
-    cells = materialize(index.join(bounded(shared, BROADCAST_ROWS), "token", "left_semi"), "cells")
-    moved, room = None, MOVED
+        "id", F.coalesce("root", "id").alias("grp"), "n", F.explode("prefix").alias("token"))
+    known = materialize(_shared(index), "shared")
+    cells = materialize(index.join(bounded(known, BROADCAST_ROWS), "token", "left_semi"), "cells")
+    moved = np.empty(0, np.int64)
     for _ in range(REFINE):
         held = cells.select("token", "grp").distinct().groupBy("token").agg(F.count("*").alias("held")).where(
             F.col("held") > FREQUENT)
-        new = held.select("token", "held")
-        if moved is not None:
-            new = new.join(moved.select("token"), "token", "left_anti")
-        new = materialize(new.orderBy(F.desc("held"), "token").limit(room), "frequent")
-        count = new.count()
-        if not count:
+        if len(moved):
+            held = held.join(F.broadcast(_column(spark, moved)), "token", "left_anti")
+        # At most MOVED numbers of eight bytes each.
+        new = held.orderBy(F.desc("held"), "token").limit(MOVED - len(moved)).select("token").toPandas()["token"]
+        new = np.sort(new.to_numpy(np.int64))
+        if not len(new):
             break
-        room -= count
-        touched = cells.join(F.broadcast(new.select("token")), "token", "left_semi").select(
-            "id", "grp", "n").distinct()
-        moved = new if moved is None else moved.unionAll(new)
-        touched = materialize(touched, "touched")
-        fresh = materialize(_reordered(touched, moved, docs, words, num, den), "fresh")
-        # The new index tokens may be held by documents that were not touched.
-        old = cells.join(bounded(touched.select("id"), BROADCAST_ROWS), "id", "left_anti")
-        seen = bounded(fresh.select("token").distinct(), 2 * BROADCAST_ROWS)
-        kept = index.join(bounded(touched.select("id"), BROADCAST_ROWS), "id", "left_anti").join(
-            seen, "token", "left_semi")
-        cells = materialize(old.unionByName(kept).unionByName(fresh).distinct(), "cells")
-        index = index.join(bounded(touched.select("id"), BROADCAST_ROWS), "id", "left_anti").unionByName(fresh)
-    return materialize(cells.join(bounded(_shared(cells), BROADCAST_ROWS), "token", "left_semi"), "matrix")
-
-
-def _reordered(touched: DataFrame, moved: DataFrame, docs: DataFrame, words, num, den) -> DataFrame:
-    """Index tokens of the ``touched`` documents under the order that puts
-    ``moved`` (at most MOVED tokens) last."""
-    # At most MOVED numbers of eight bytes each.
-    last = np.sort(np.array([r[0] for r in moved.select("token").collect()], np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast(last)
+        late = F.broadcast(_column(spark, new))
+        touched = materialize(cells.join(late, "token", "left_semi").select("id", "grp", "n").distinct(), "touched")
+        now = np.sort(np.concatenate((moved, new)))
+        fresh = materialize(_reordered(touched, moved, now, docs, words, num, den), "fresh")
+        # What other documents hold of tokens that are new to the matrix.
+        unseen = materialize(fresh.select("token").distinct().join(known, "token", "left_anti"), "unseen")
+        others = index.join(bounded(unseen, 2 * BROADCAST_ROWS), "token", "left_semi")
+        cells = materialize(cells.join(late, "token", "left_anti").unionByName(fresh).unionByName(others), "cells")
+        known = known.unionAll(unseen)
+        moved = now
+    return materialize(cells.join(bounded(materialize(_shared(cells), "shared"), BROADCAST_ROWS), "token",
+                                  "left_semi"), "matrix")
+
+
+def _column(spark, tokens: np.ndarray) -> DataFrame:
+    """A table of one column of at most MOVED tokens."""
+    return spark.createDataFrame(pa.table({"token": tokens}))
+
+
+def _in_order(s: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """A sorted set with the tokens of ``late`` (sorted) last."""
+    if not len(late):
+        return s
+    at = np.minimum(np.searchsorted(late, s), len(late) - 1)
+    back = late[at] == s
+    return np.concatenate((s[~back], s[back]))
+
+
+def _reordered(touched: DataFrame, before: np.ndarray, now: np.ndarray, docs: DataFrame, words,
+               num, den) -> DataFrame:
+    """What the index tokens of the ``touched`` documents gain, and which of
+    the tokens moved back they keep, as the tokens in ``now`` instead of those
+    in ``before`` come last."""
+    shared = docs.sparkSession.sparkContext.broadcast((before, now))
 
     def run(batches):
+        before, now = shared.value
         for b in batches:
-            out, sizes = [], []
-            for t in b.column(3).to_pylist():
-                s = np.frombuffer(t, np.int64)
-                at = np.searchsorted(shared.value, s)
-                late = shared.value[np.minimum(at, len(shared.value) - 1)] == s
-                out.append(np.concatenate((s[~late], s[late]))[:prefix_size(len(s), num, den)])
-                sizes.append(len(out[-1]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()),
-                 pa.array(out, pa.list_(pa.int64()))], names=["id", "grp", "n", "c", "prefix"])
-
-    ids = bounded(touched.select("id"), BROADCAST_ROWS)
-    sets = _sets(docs.join(ids, "id", "left_semi"), words).dropDuplicates(["id"])
-    return sets.join(touched, "id").select("id", "grp", "n", "tokens").mapInArrow(
-        run, "id long, grp long, n long, c long, prefix array<long>").select(
-        "id", "grp", "n", "c", F.explode("prefix").alias("token"))
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                out = []
+                for s in shingle_sets(texts_of(part.column(3)), words):
+                    size = prefix_size(len(s), num, den)
+                    old, new = _in_order(s, before)[:size], _in_order(s, now)[:size]
+                    out.append(new[~np.isin(new, old) | np.isin(new, now) & ~np.isin(new, before)])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), part.column(2), pa.array(out, pa.list_(pa.int64()))],
+                    names=["id", "grp", "n", "prefix"])
+
+    rows = docs.join(bounded(touched, BROADCAST_ROWS), "id").select("id", "grp", "n", "text")
+    # Repeated rows of a document give their tokens once.
+    return rows.mapInArrow(run, "id long, grp long, n long, prefix array<long>").select(
+        "id", "grp", "n", F.explode("prefix").alias("token")).distinct()
 
 
 def _candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of documents of different groups that can be similar."""
-    # Overlap that a pair of sizes n, m needs: ceil(num (n + m) / (num + den)).
-    # Of a document's tokens outside its index tokens all may be shared, so
-    # index tokens must make up the rest.
-    unions = cells.groupBy("token", "grp").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("c")).alias("rest"))
-    unions = unions.select(F.col("token"), F.col("grp").alias("other"), "lo", "hi", "rest")
+    """Pairs (a, b) of documents of different groups that can be similar.
+
+    A pair of sizes n, m needs an overlap of num (n + m) / (num + den).  Past
+    the index tokens of the one whose prefix ends first, all its other tokens
+    may be shared; the index tokens must make up the rest.
+    """
+    def others(n: str):
+        # Tokens of a set of n that are no index tokens.
+        return F.ceil(F.col(n) * num / den) - 1
+
+    unions = cells.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed(
+        "grp", "other")
     hits = cells.join(unions, "token").where(
         (F.col("grp") != F.col("other")) & (F.col("hi") * den >= F.col("n") * num)
         & (F.col("n") * den >= F.col("lo") * num))
-    bound = hits.groupBy("id", "n", "c", "grp", "other").agg(
-        F.count("*").alias("hit"), F.min("lo").alias("lo"), F.max("rest").alias("rest"))
+    bound = hits.groupBy("id", "n", "other").agg(
+        F.count("*").alias("hit"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     # The least size that a partner can have: the group's least, or the least
     # that the threshold allows.
-    partner = F.greatest(F.col("lo"), F.ceil(F.col("n") * num / den))
-    open_ = bound.where(
-        F.col("hit") + F.greatest(F.col("n") - F.col("c"), "rest") >=
-        F.ceil((F.col("n") + partner) * num / (num + den))).select("id", "other")
-    x = cells.select("token", F.col("id").alias("a"), F.col("n").alias("n"), F.col("c").alias("c"), "grp")
-    y = cells.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"),
-                     F.col("grp").alias("other"))
-    opened = x.join(open_.select(F.col("id").alias("a"), "other"), "a")
-    pairs = opened.join(y, ["token", "other"]).where(_sizes_fit("n", "m", num, den)).groupBy("a", "b").agg(
-        F.count("*").alias("hit"), F.first("n").alias("n"), F.first("m").alias("m"),
-        F.first("c").alias("c"), F.first("d").alias("d"))
-    pairs = pairs.where(
-        F.col("hit") + F.greatest(F.col("n") - F.col("c"), F.col("m") - F.col("d")) >=
-        F.ceil((F.col("n") + F.col("m")) * num / (num + den)))
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    bound = bound.withColumn("least", F.greatest(F.col("lo"), F.ceil(F.col("n") * num / den)))
+    qualified = bound.where(F.col("hit") + F.greatest(others("n"), others("hi")) >= F.ceil(
+        (F.col("n") + F.col("least")) * num / (num + den))).select(F.col("id").alias("a"), "other")
+    x = cells.select("token", F.col("id").alias("a"), "n")
+    y = cells.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("grp").alias("other"))
+    opened = x.join(qualified, "a").join(y, ["token", "other"]).where(_sizes_fit("n", "m", num, den))
+    pairs = opened.groupBy("a", "b", "n", "m").agg(F.count("*").alias("hit")).where(
+        F.col("hit") + F.greatest(others("n"), others("m")) >= F.ceil(
+            (F.col("n") + F.col("m")) * num / (num + den)))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def op10_jaccard_join(spark, sf_dir):
     """Components of documents linked at a similarity of 0.8 of five-word shingles."""
     return similarity_join(read(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh
+  FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+t AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, reach) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id
+FROM n JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1) c ON c.doc_id = n.doc_id
+"""

@@ -17,4 +17,7 @@ QUERIES = {
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_neighbours": neighbours.OP5_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_neighbours": neighbours.OP5_SQL,
+    "op10_jaccard_join": jaccard.OP10_SQL,
+}
