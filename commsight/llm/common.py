@@ -6,12 +6,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from commsight.session import materialize, ship_package
 
-__all__ = ["ready", "read", "fold", "materialize", "bounded", "ByteHash", "mix64", "texts_of", "annotate"]
+__all__ = ["ready", "read", "fold", "materialize", "bounded", "ByteHash", "mix64", "texts_of", "annotate", "lowest"]
 
 # Arrow batches to Python hold at most so many rows and bytes, whichever comes
 # first; one longer text is a batch of its own.
@@ -41,6 +41,24 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def lowest(rows: DataFrame, key: str, id_col: str, k: int | dict) -> DataFrame:
+    """The ``k`` rows of each ``key`` whose ids hash lowest (``k`` per key if a
+    dict; a key that it does not name has none).
+
+    A threshold on the hash, from each key's count, first leaves about 1.5 k
+    rows per key where they lie, so no task ranks a whole key.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("__n")).withColumnRenamed(key, "__k")
+    most = F.lit(k) if isinstance(k, int) else F.coalesce(
+        F.create_map(*[F.lit(x) for pair in k.items() for x in pair])[F.col(key)], F.lit(0))
+    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) / float(1 << 40)
+    near = rows.join(bounded(counts, 100_000), F.col(key) == F.col("__k")).where(
+        place * F.col("__n") <= 1.5 * most + 200).drop("__n", "__k")
+    rank = Window.partitionBy(key).orderBy("__h", id_col)
+    return near.withColumn("__h", F.pmod(F.xxhash64(id_col), F.lit(1 << 40))).withColumn(
+        "__r", F.row_number().over(rank)).where(F.col("__r") <= most).drop("__h", "__r")
+
+
 def texts_of(column) -> list[str]:
     """Texts of an Arrow column, null read as empty."""
     return [t if t is not None else "" for t in column.to_pylist()]

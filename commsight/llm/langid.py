@@ -13,10 +13,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, bounded, fold, read, ready, texts_of
+from .common import annotate, bounded, fold, lowest, read, ready, texts_of
 
 #: Labelled documents of a language that the classifiers learn from.
 SAMPLE_PER_LANGUAGE = 2000
@@ -144,11 +144,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     ids hash lowest.  Rows without text, letter or language teach nothing; no
     labelled rows at all give a model that knows no language."""
     ready(labelled.sparkSession)
-    rank = Window.partitionBy("lang").orderBy("h", "id")
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
                            F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    picked = rows.select("id", "lang", F.xxhash64("id").alias("h")).withColumn(
-        "k", F.row_number().over(rank)).where(F.col("k") <= per_language).select("id", "lang")
+    picked = lowest(rows.select("id", "lang"), "lang", "id", per_language)
     sample = rows.join(bounded(picked, 1_000_000), ["id", "lang"], "left_semi").repartition(COUNT_TASKS)
 
     def count(batches):

@@ -14,10 +14,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, read, ready, texts_of
+from .common import fold, lowest, read, ready, texts_of
 
 #: Labelled documents that the model learns from, at most, of each label.
 SAMPLE = 8000
@@ -194,9 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
     ready(docs.sparkSession)
     labels = labels.where(learn).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(
         "id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    rank = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
     # At most the sample's rows are sent around and gathered.
-    picked = F.broadcast(labels.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= sample).select("id", "y"))
+    picked = F.broadcast(lowest(labels, "y", "id", sample))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
         "text IS NOT NULL").join(picked, "id")
     got = _featured(rows, ["y"]).collect()

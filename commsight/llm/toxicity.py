@@ -17,10 +17,10 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, fold, read, ready, texts_of
+from .common import annotate, fold, lowest, read, ready, texts_of
 
 #: Labelled documents that evidence and calibration learn from, at most.
 SAMPLE = {1: 4000, 0: 16000}
@@ -245,12 +245,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
     restorer = Restorer(char_counts(docs, text_col))
     labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(
         "id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y")).withColumnRenamed("id", id_col)
-    rank = Window.partitionBy("y").orderBy("h", "id")
-    picked = labels.where(learn).select(F.col(id_col).alias("id"), "y", F.xxhash64(id_col).alias("h")).withColumn(
-        "k", F.row_number().over(rank)).where(
-        F.col("k") <= F.when(F.col("y") == 1, sample[1]).otherwise(sample[0]))
+    picked = lowest(labels.where(learn).select(F.col(id_col).alias("id"), "y"), "y", "id", sample)
     # At most the sample's rows: a third calibrates, the rest gives evidence.
-    picked = F.broadcast(picked.select("id", "y", (F.pmod(F.xxhash64("h"), F.lit(3)) == 0).alias("late")))
+    picked = F.broadcast(picked.select("id", "y", (F.pmod(F.hash("id"), F.lit(3)) == 0).alias("late")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
         "text IS NOT NULL").join(picked, "id").select("y", "late", "text")
     # A copied text teaches once.
