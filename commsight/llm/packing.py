@@ -14,6 +14,7 @@ No window is padded but the last.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 from functools import lru_cache
 
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded, materialize, read, ready, texts_of
 
-#: Distinct white-space-separated chunks whose ids a worker remembers.
-MEMO = 300_000
+#: Distinct white-space-separated chunks, and words in them, whose ids a
+#: worker remembers; then it starts anew.
+MEMO, WORDS = 400_000, 800_000
 MEMO_CHARS = 64
 #: With more sources than this, sources share this many queues (by hash), so
 #: that a plan of the mixture stays small.
@@ -36,34 +38,78 @@ BROADCAST_ROWS = 200_000
 
 
 class Chunks:
-    """Token ids of texts by a ``tokenizers`` file.
+    """Token ids of texts by a ``tokenizers`` file that drops white space.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are
-    its chunks' ids in a row; each distinct chunk is encoded once."""
+    No token spans white space, so a text's ids are its chunks' ids in a row;
+    each distinct chunk is encoded once.  Where the file lower-cases, splits by
+    a pattern and maps bytes (as ``word_bpe_49k.json`` does), chunks of plain
+    Latin letters and marks are lower-cased and split here and only their
+    distinct words go to the tokenizer's model; other chunks go through the
+    whole tokenizer."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        plain = before == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in split] == ["Split", "ByteLevel"]
+        self.split = regex.compile(split[0]["pattern"]["Regex"]).findall if plain else None
+        self.latin = regex.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]*").fullmatch
+
+    def word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            text = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LEVEL)
+            got = self.words[word] = np.array([t.id for t in self.model.tokenize(text)], self.kind).tobytes()
+        return got
+
+    def learn(self, new: list[str]) -> None:
+        whole = []
+        for t in new:
+            if self.split and self.latin(t):
+                self.memo[t] = b"".join(map(self.word, self.split(t.lower())))
+            else:
+                whole.append(t)
+        for t, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False), strict=True):
+            self.memo[t] = np.array(e.ids, self.kind).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO:
             self.memo = {}
-        new = list(set().union(*split) - self.memo.keys())
-        for t, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.memo[t] = np.array(e.ids, self.kind).tobytes()
+        if len(self.words) > WORDS:
+            self.words = {}
+        new = [t for t in set().union(*split) if t not in self.memo]
+        self.learn(new)
         out = [b"".join(map(self.memo.__getitem__, s)) for s in split]
         for t in new:
             if len(t) > MEMO_CHARS:
                 del self.memo[t]
+                self.words.pop(t.lower(), None)
         return out
 
 
+def _byte_level() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the rest
+    for the letters from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
 @lru_cache(2)
 def chunks(path: str) -> Chunks:
     return Chunks(path)
@@ -241,8 +287,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             .withColumnRenamed("id", id_col))
 
 
+def digests(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``pack``'s pieces with the CRC of their ids instead of the ids."""
+    return pieces.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset")
+
+
 def op6_packing(spark, sf_dir):
     """Pieces of all documents packed at 4096 tokens, each with the CRC of its ids."""
-    out = pack(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
-                      "sequence_id", "offset")
+    return digests(pack(read(spark, sf_dir, "documents")))
