@@ -137,26 +137,27 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     without id has no next document: its end is cut off.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    edges = _edges(docs)
-    edges = bounded(edges, BROADCAST_ROWS)
-    # Texts that the last rows of the buckets need: one per bucket.
+    edges = bounded(_edges(docs), BROADCAST_ROWS)
+    # The text that follows a bucket's last row stands in the bucket as one
+    # more row, so that one deal by bucket serves all.
+    bucket = F.expr(f"id div {BUCKET} - cast(id % {BUCKET} < 0 as int)")
     heads = docs.join(edges, F.col("id") == F.col("next")).groupBy("bucket").agg(F.min("text").alias("text"))
-    heads = with_signature(heads, "text", "sig").select(
-        F.col("bucket").alias("b"), F.lit(0).cast("long").alias("s"), F.col("text").alias("head"), F.col("sig").alias("head_sig"))
-    rows = with_signature(docs, "text", "sig").select(
-        "id", "text", "sig", F.expr(f"id div {BUCKET} - cast(id % {BUCKET} < 0 as int)").alias("bucket"),
-        F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(0).cast("long").alias("salt"))
-    order = Window.partitionBy("bucket", "salt").orderBy(F.desc("id"), "text")
+    rows = docs.select("id", "text", bucket.alias("bucket"), F.when(F.col("id").isNull(), F.xxhash64(
+        "text")).otherwise(0).cast("long").alias("salt"), F.lit(False).alias("extra")).unionByName(heads.select(
+            F.lit(None).cast("long").alias("id"), "text", "bucket", F.lit(0).cast("long").alias("salt"),
+            F.lit(True).alias("extra")))
+    rows = with_signature(rows, "text", "sig")
+    order = Window.partitionBy("bucket", "salt").orderBy("extra", F.desc("id"), "text")
     rows = rows.select("*", F.lead("text").over(order).alias("next"), F.lead("sig").over(order).alias("next_sig"))
-    rows = rows.join(heads, (F.col("bucket") == F.col("b")) & (F.col("salt") == F.col("s")), "left")
+    rows = rows.where(~F.col("extra"))
     known = F.col("id").isNotNull()
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     rows = rows.select(
         "id", n.cast("long").alias("n_chars"), "text", "sig",
-        F.coalesce(F.when(known, F.coalesce("next_sig", "head_sig")), F.array().cast("array<int>")).alias("next_sig"),
+        F.coalesce(F.when(known, F.col("next_sig")), F.array().cast("array<int>")).alias("next_sig"),
         F.concat(F.substring("text", F.lit(1), n - cut), F.substring(
-            F.coalesce(F.when(known, F.coalesce("next", "head")), F.lit("")), F.lit(1), cut)).alias("edited"))
+            F.coalesce(F.when(known, F.col("next")), F.lit("")), F.lit(1), cut)).alias("edited"))
     return with_signature(rows, "edited", "edited_sig").withColumnRenamed("id", id_col)
 
 
