@@ -136,13 +136,13 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     both = materialize(both, "pairs")
     each = seen.groupBy("entity").agg(F.count("*").alias("sightings"))
     terms = both.select("term").distinct()
-    # Documents that hold each term: only terms seen beside entities are kept,
-    # and counted within a task before anything moves.
+    # Documents that hold each term, counted within a task before anything
+    # moves; then only terms seen beside entities are kept.
     held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term")) if both.limit(1).count() else docs.select(
         F.lit("").alias("term")).limit(0)
-    held = held.join(bounded(terms, BROADCAST_ROWS), "term", "left_semi").groupBy("term").agg(
-        F.count("*").alias("holders"))
+    held = held.groupBy("term").agg(F.count("*").alias("holders")).join(
+        bounded(terms, BROADCAST_ROWS), "term", "left_semi")
     n = F.lit(float(max(2, docs.count())))
     return both.join(each, "entity").join(held, "term").select(
         "entity", "term", (F.log(n * F.col("both") / (F.col("sightings") * F.col("holders")))
