@@ -19,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ByteHash, bounded, materialize, mix64, read, ready, texts_of
@@ -224,7 +224,9 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _matrix(reps, groups, docs, words, num, den) -> DataFrame:
-    """(token, id, grp, n) of the index tokens that several groups hold."""
+    """(token, id, grp, n, hot, pos) of the index tokens that several groups
+    hold: ``hot`` counts the document's index tokens that were moved back,
+    ``pos`` is such a token's place among its index tokens."""
     spark = docs.sparkSession
     owner = bounded(groups.select(F.col("node").alias("id"), "root"), BROADCAST_ROWS)
     index = reps.join(owner, "id", "left").select(
@@ -252,8 +254,22 @@ def _matrix(reps, groups, docs, words, num, den) -> DataFrame:
         cells = materialize(cells.join(late, "token", "left_anti").unionByName(fresh).unionByName(others), "cells")
         known = known.unionAll(unseen)
         moved = now
-    return materialize(cells.join(bounded(materialize(_shared(cells), "shared"), BROADCAST_ROWS), "token",
-                                  "left_semi"), "matrix")
+    cells = materialize(cells.join(bounded(materialize(_shared(cells), "shared"), BROADCAST_ROWS), "token",
+                                   "left_semi"), "matrix")
+    if not len(moved):
+        return cells.withColumns({"hot": F.lit(0).cast("long"), "pos": F.lit(None).cast("long")})
+    # Tokens moved back come after a document's other index tokens, by hash:
+    # their places in the order follow from how many it has of them.
+    late = cells.join(F.broadcast(_column(spark, moved)), "token", "left_semi").distinct()
+    own = Window.partitionBy("id")
+    late = materialize(late.select("id", "token", F.count("*").over(own).alias("hot"), F.row_number().over(
+        own.orderBy("token")).alias("rank")), "late")
+    hot = late.groupBy("id").agg(F.first("hot").alias("hot"))
+    cells = cells.join(late.select("id", "token", "rank"), ["id", "token"], "left").join(
+        bounded(hot, BROADCAST_ROWS), "id", "left")
+    return materialize(cells.select(
+        "token", "id", "grp", "n", F.coalesce("hot", F.lit(0)).alias("hot"),
+        (F.col("n") - F.ceil(F.col("n") * num / den) + 1 - F.col("hot") + F.col("rank")).alias("pos")), "placed")
 
 
 def _column(spark, tokens: np.ndarray) -> DataFrame:
@@ -308,24 +324,32 @@ def _candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
         # Tokens of a set of n that are no index tokens.
         return F.ceil(F.col(n) * num / den) - 1
 
-    unions = cells.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed(
-        "grp", "other")
-    hits = cells.join(unions, "token").where(
-        (F.col("grp") != F.col("other")) & (F.col("hi") * den >= F.col("n") * num)
-        & (F.col("n") * den >= F.col("lo") * num))
-    bound = hits.groupBy("id", "n", "other").agg(
-        F.count("*").alias("hit"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    def need(n, m):
+        return F.ceil((n + m) * num / (num + den))
+
+    unions = cells.groupBy("token", "grp").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("first")).withColumnRenamed("grp", "other")
+    n, hi = F.col("n"), F.col("hi")
     # The least size that a partner can have: the group's least, or the least
-    # that the threshold allows.
-    bound = bound.withColumn("least", F.greatest(F.col("lo"), F.ceil(F.col("n") * num / den)))
-    qualified = bound.where(F.col("hit") + F.greatest(others("n"), others("hi")) >= F.ceil(
-        (F.col("n") + F.col("least")) * num / (num + den))).select(F.col("id").alias("a"), "other")
+    # that the threshold allows; and the largest one.
+    least = F.greatest(F.col("lo"), F.ceil(n * num / den))
+    most = F.least(hi, F.floor(n * den / num))
+    # Two linked sets share a token within the first n - need + 1 of each: a
+    # token moved back only counts if it stands there in both.
+    early = F.col("pos").isNull() | ((F.col("pos") <= n - need(n, least) + 1)
+                                     & (F.col("first") <= most - need(n, most) + 1))
+    # Of two groups the one of the larger id asks.
+    hits = cells.join(unions, "token").where((F.col("grp") > F.col("other")) & (hi * den >= n * num)
+                                             & (n * den >= F.col("lo") * num) & early)
+    bound = hits.groupBy("id", "n", "hot", "other").agg(
+        F.count(F.when(F.col("pos").isNull(), 1)).alias("hit"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    qualified = bound.where(F.col("hit") + F.col("hot") + F.greatest(others("n"), others("hi")) >= need(
+        n, least)).select(F.col("id").alias("a"), "other")
     x = cells.select("token", F.col("id").alias("a"), "n")
     y = cells.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("grp").alias("other"))
     opened = x.join(qualified, "a").join(y, ["token", "other"]).where(_sizes_fit("n", "m", num, den))
     pairs = opened.groupBy("a", "b", "n", "m").agg(F.count("*").alias("hit")).where(
-        F.col("hit") + F.greatest(others("n"), others("m")) >= F.ceil(
-            (F.col("n") + F.col("m")) * num / (num + den)))
+        F.col("hit") + F.greatest(others("n"), others("m")) >= need(F.col("n"), F.col("m")))
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
