@@ -1,7 +1,78 @@
-"""Placeholder stages."""
-STAGES = []
+"""A corpus pipeline over ``documents``: language, toxicity, near duplicates,
+personal data, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and
+returns a table; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from commsight.llm import jaccard, langid, packing, pii, toxicity
+from commsight.llm.common import bounded, fold, materialize, read, ready
+
+#: Toxicity score from which a document is rejected.
+TOXIC = 0.5
+#: Ids up to which those that stay are broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told, with that language where
+    ``lang`` was null; texts without letters and those between two languages
+    go."""
+    found = langid.annotated(docs, langid.fit(docs))
+    kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & ~F.col("ambiguous"))
+    return kept.select(*[F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias(c) if c == "lang"
+                         else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as clean."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return toxicity.annotated(docs, model).where(F.col("score") < TOXIC).select("row.*")
+
+
+def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near
+    duplicates; rows without id stay unless their text is another's."""
+    groups = materialize(jaccard.similarity_join(docs), "classes")
+    firsts = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    repeated = firsts.where("rows > 1").limit(1).count() > 0
+    kept = docs.join(bounded(firsts.select("doc_id"), BROADCAST_ROWS), "doc_id", "left_semi")
+    if repeated:
+        kept = kept.dropDuplicates(["doc_id"])
+    if groups.where("doc_id IS NULL").limit(1).count():
+        named = docs.where("doc_id IS NOT NULL").select("text").distinct()
+        lone = docs.where("doc_id IS NULL").dropDuplicates(["text"])
+        kept = kept.unionByName(lone.join(named, lone.text.eqNullSafe(named.text), "left_anti"))
+    return kept.select(docs.columns)
+
+
+def personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced."""
+    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed at the mixture of their sources."""
+    return packing.digests(packing.pack(docs))
+
+
+STAGES = [("language", language), ("toxicity", toxic), ("near_duplicates", near_duplicates),
+          ("personal_data", personal_data), ("packing", packed)]
+
+#: Trained models decide what stays: no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+def run(spark, sf_dir: str) -> DataFrame:
+    """All stages one after the other, each on a table of what the one before
+    kept."""
+    ready(spark)
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
