@@ -141,8 +141,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term")) if both.limit(1).count() else docs.select(
         F.lit("").alias("term")).limit(0)
-    held = held.groupBy("term").agg(F.count("*").alias("holders")).join(
-        bounded(terms, BROADCAST_ROWS), "term", "left_semi")
+    # (An inner join: a semi-join would be pushed below the count.)
+    held = held.groupBy("term").agg(F.count("*").alias("holders")).join(bounded(terms, BROADCAST_ROWS), "term")
     n = F.lit(float(max(2, docs.count())))
     return both.join(each, "entity").join(held, "term").select(
         "entity", "term", (F.log(n * F.col("both") / (F.col("sightings") * F.col("holders")))
