@@ -16,6 +16,7 @@ from __future__ import annotations
 import bisect
 import json
 import os
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -56,7 +57,7 @@ class Chunks:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self.chunk)
         self.words: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -70,32 +71,42 @@ class Chunks:
         got = self.words.get(word)
         if got is None:
             text = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LEVEL)
-            got = self.words[word] = np.array([t.id for t in self.model.tokenize(text)], self.kind).tobytes()
+            got = self.packed([t.id for t in self.model.tokenize(text)])
+            if len(word) <= MEMO_CHARS:
+                self.words[word] = got
         return got
 
-    def learn(self, new: list[str]) -> None:
-        whole = []
-        for t in new:
-            if self.split and self.latin(t):
-                self.memo[t] = b"".join(map(self.word, self.split(t.lower())))
-            else:
-                whole.append(t)
-        for t, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False), strict=True):
-            self.memo[t] = np.array(e.ids, self.kind).tobytes()
+    def chunk(self, text: str) -> bytes:
+        if self.split and self.latin(text):
+            if text.isalpha():
+                return self.word(text.lower())
+            return b"".join(map(self.word, self.split(text.lower())))
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def packed(self, ids: list[int]) -> bytes:
+        """Ids as little-endian bytes."""
+        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO:
-            self.memo = {}
+            self.memo = _Memo(self.chunk)
         if len(self.words) > WORDS:
             self.words = {}
-        new = [t for t in set().union(*split) if t not in self.memo]
-        self.learn(new)
-        out = [b"".join(map(self.memo.__getitem__, s)) for s in split]
-        for t in new:
-            if len(t) > MEMO_CHARS:
-                del self.memo[t]
-                self.words.pop(t.lower(), None)
+        get = self.memo.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+
+
+class _Memo(dict):
+    """Remembers what ``make`` gives, but for very long keys."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            self[key] = out
         return out
 
 
