@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded, materialize, read, ready, texts_of
 
-#: Distinct white-space-separated chunks, and words in them, whose ids a
-#: worker remembers; then it starts anew.
-MEMO, WORDS = 400_000, 800_000
+#: Distinct white-space-separated chunks, and words in them, whose ids a task
+#: remembers; then it starts anew.
+MEMO, WORDS = 300_000, 500_000
 MEMO_CHARS = 64
 #: With more sources than this, sources share this many queues (by hash), so
 #: that a plan of the mixture stays small.
@@ -83,6 +83,10 @@ class Chunks:
             return b"".join(map(self.word, self.split(text.lower())))
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def forget(self) -> None:
+        """Give the memory back: workers outlive tasks and stages."""
+        self.memo, self.words = _Memo(self.chunk), {}
+
     def packed(self, ids: list[int]) -> bytes:
         """Ids as little-endian bytes."""
         return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
@@ -221,6 +225,7 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 [b.column(0), pa.array(sources, pa.string()), pa.array([part] * len(ids), pa.int32()),
                  pa.array(starts, pa.int64()), pa.array([len(i) // c.kind.itemsize for i in ids], pa.int64()),
                  pa.array(ids, pa.binary())], names=["id", "source", "part", "start", "n", "ids"])
+        chunks(path).forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),

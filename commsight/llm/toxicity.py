@@ -31,7 +31,7 @@ LEAST_EVIDENCE = 2.5
 #: Prefix lengths that stand for word stems.
 STEMS = (4, 5, 6)
 #: Tokens that a worker remembers; then it starts anew.
-MEMO = 500_000
+MEMO = 150_000
 #: Characters of a token that are decoded in one lattice.
 LATTICE = 256
 #: States kept per step of the lattice.
@@ -262,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
                 seen: Counter[str] = Counter()
                 memo: dict[str, set[str]] = {}
                 for b in batches:
-                    if len(memo) > MEMO // 4:
+                    if len(memo) > MEMO:
                         memo = {}
                     for t in texts_of(b.column(0)):
                         own = set(tokens(t))
