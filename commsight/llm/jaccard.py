@@ -225,8 +225,8 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def _matrix(reps, groups, docs, words, num, den) -> DataFrame:
     """(token, id, grp, n, hot, pos) of the index tokens that several groups
-    hold: ``hot`` counts the document's index tokens that were moved back,
-    ``pos`` is such a token's place among its index tokens."""
+    hold: ``hot`` counts those of the document that were moved back, ``pos`` is
+    such a token's place among all the document's index tokens."""
     spark = docs.sparkSession
     owner = bounded(groups.select(F.col("node").alias("id"), "root"), BROADCAST_ROWS)
     index = reps.join(owner, "id", "left").select(
@@ -254,22 +254,23 @@ def _matrix(reps, groups, docs, words, num, den) -> DataFrame:
         cells = materialize(cells.join(late, "token", "left_anti").unionByName(fresh).unionByName(others), "cells")
         known = known.unionAll(unseen)
         moved = now
-    cells = materialize(cells.join(bounded(materialize(_shared(cells), "shared"), BROADCAST_ROWS), "token",
-                                   "left_semi"), "matrix")
+    shared = bounded(materialize(_shared(cells), "shared"), BROADCAST_ROWS)
     if not len(moved):
-        return cells.withColumns({"hot": F.lit(0).cast("long"), "pos": F.lit(None).cast("long")})
+        return materialize(cells.join(shared, "token", "left_semi").withColumns(
+            {"hot": F.lit(0).cast("long"), "pos": F.lit(None).cast("long")}), "matrix")
     # Tokens moved back come after a document's other index tokens, by hash:
-    # their places in the order follow from how many it has of them.
-    late = cells.join(F.broadcast(_column(spark, moved)), "token", "left_semi").distinct()
+    # their places follow from all that it has of them, also those that only
+    # its own group holds.
     own = Window.partitionBy("id")
-    late = materialize(late.select("id", "token", F.count("*").over(own).alias("hot"), F.row_number().over(
-        own.orderBy("token")).alias("rank")), "late")
-    hot = late.groupBy("id").agg(F.first("hot").alias("hot"))
-    cells = cells.join(late.select("id", "token", "rank"), ["id", "token"], "left").join(
-        bounded(hot, BROADCAST_ROWS), "id", "left")
-    return materialize(cells.select(
-        "token", "id", "grp", "n", F.coalesce("hot", F.lit(0)).alias("hot"),
-        (F.col("n") - F.ceil(F.col("n") * num / den) + 1 - F.col("hot") + F.col("rank")).alias("pos")), "placed")
+    size = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    late = cells.join(F.broadcast(_column(spark, moved)), "token", "left_semi").select("id", "token", "n").distinct()
+    late = late.select("id", "token", (size - F.count("*").over(own) + F.row_number().over(
+        own.orderBy("token"))).alias("pos"))
+    late = materialize(late.join(shared, "token", "left_semi"), "late")
+    hot = materialize(late.groupBy("id").agg(F.count("*").alias("hot")), "hot")
+    return materialize(cells.join(shared, "token", "left_semi").join(late, ["id", "token"], "left").join(
+        bounded(hot, BROADCAST_ROWS), "id", "left").select(
+        "token", "id", "grp", "n", F.coalesce("hot", F.lit(0)).alias("hot"), "pos"), "matrix")
 
 
 def _column(spark, tokens: np.ndarray) -> DataFrame:

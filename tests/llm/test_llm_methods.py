@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from commsight.llm import (bpe, components, fingerprints, jaccard, langid, neighbours, packing, pii, quality, queries,
                            toxicity, wordpiece)
+from commsight.llm.common import materialize
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -207,6 +208,26 @@ def test_join_is_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_candidates_hold_every_link(spark, monkeypatch):
+    """Short frequent lines, every document its own group (near_keys off)."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    texts = {}
+    # Lines whose shingles all have low hashes, so that many index them.
+    lines = (" ".join(f"l{k}x{i}" for i in range(12)) for k in range(10000))
+    for k, line in enumerate(x for x, _ in zip((x for x in lines if jaccard.shingle_sets([x])[0].max() < 0), range(3))):
+        words = line.split()
+        texts[len(texts)] = line
+        texts |= {len(texts) + j: f"{line} a{k}x{j} b{k}x{j}" for j in range(6)}
+        texts |= {len(texts) + j: " ".join(words[j % 8:j % 8 + 5]) + f" c{k}x{j}" for j in range(96)}
+    df = materialize(spark.createDataFrame(list(texts.items()), "id long, text string"), "lines")
+    reps = jaccard._summaries(df, 5, 8, 10)
+    cells = jaccard._matrix(reps, spark.createDataFrame([], "node long, root long"), df, 5, 8, 10)
+    got = {(r.a, r.b) for r in jaccard._candidates(cells, 8, 10).collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    want = {(a, b) for a in sets for b in sets if a > b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    assert len(want) == 18 and want <= got
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200))
