@@ -2,7 +2,8 @@
 
 Writers hide words behind look-alike digits and symbols, spacing and repeated
 letters.  Each odd token becomes a lattice of the letters that its characters
-may stand for; Viterbi decoding under a character trigram model of the whole
+may stand for, and so does each stretch of short tokens, whose gaps may be
+kept or dropped; Viterbi decoding under a character trigram model of the whole
 corpus restores the likeliest spelling, and the restored words are scored with
 evidence learned from labelled documents.
 """
@@ -32,10 +33,11 @@ LEAST_EVIDENCE = 2.5
 STEMS = (4, 5, 6)
 #: Tokens that a worker remembers; then it starts anew.
 MEMO = 150_000
-#: Characters of a token that are decoded in one lattice.
+#: Characters of a token that are decoded in one lattice; a longer one is
+#: decoded in windows that overlap by half.
 LATTICE = 256
-#: States kept per step of the lattice.
-BEAM = 12
+#: Characters up to which a token may be a piece of a spaced-out word.
+PIECE = 3
 #: Spellings kept per state, and of a token in the end.
 SPELLINGS = 3
 #: Weight of the character model against the channel.
@@ -49,7 +51,7 @@ LOOKS_LIKE = {
 #: Letters of the character model: boundary, a to z, any other letter.
 CLASSES = 28
 #: Log-probabilities of the channel.
-SUBSTITUTED, DROPPED, DROPPED_DIGIT, SPLIT, SHORTENED, UNDOUBLED = -1.5, -1.5, -6.0, -3.0, -1.0, -4.0
+SUBSTITUTED, DROPPED, DROPPED_DIGIT, SPLIT, SHORTENED, UNDOUBLED, JOINED = -1.5, -1.5, -6.0, -3.0, -1.0, -4.0, -1.0
 
 
 def _class_table() -> np.ndarray:
@@ -109,7 +111,9 @@ class Restorer:
         states = {(0, 0): [(0.0, "")]}
         for c, run in groupby(token):
             n = len(list(run))
-            if c.isalpha():
+            if c == " ":
+                ways = [(" ", 0.0), ("", JOINED)]
+            elif c.isalpha():
                 ways = [(c * min(n, 2), 0.0 if n <= 2 else SHORTENED)]
                 if n > 1:
                     ways.append((c, UNDOUBLED if n == 2 else SHORTENED))
@@ -128,15 +132,19 @@ class Restorer:
                         cost += LANGUAGE * log[x][y][k]
                         x, y = y, k
                     new.setdefault((x, y), []).extend((p + cost, text + out) for p, text in known)
-            kept = sorted(new.items(), key=lambda s: -max(s[1])[0])[:BEAM]
-            states = {k: sorted(set(v), reverse=True)[:SPELLINGS] for k, v in kept}
+            states = {k: sorted(set(v), reverse=True)[:SPELLINGS] for k, v in new.items()}
         last = sorted(((p + LANGUAGE * log[a][b][0], text) for (a, b), v in states.items() for p, text in v),
                       reverse=True)[:SPELLINGS]
         return {w for _, text in last for w in text.split()}
 
     def words(self, token: str) -> set[str]:
         """Words of one token: itself without marks around it, the letter runs
-        in it, and its restored spelling if it looks disguised."""
+        in it, and its restored spelling if it looks disguised.  Of a stretch of
+        short tokens: the words that are none of them."""
+        if " " in token:
+            if not any(map(str.isalpha, token)):
+                return set()
+            return {w for part in _windows(token) for w in self.decode(part)}.difference(token.split())
         core = token.strip(string.punctuation)
         if core.isalpha():
             out = {core}
@@ -147,16 +155,27 @@ class Restorer:
             return set()
         else:
             out = {w for w in _letters(core) if len(w) > 2}
-        for lo in range(0, len(core), LATTICE):
-            out |= self.decode(core[lo:lo + LATTICE])
-        if core != token and not _long_run(token) and len(token) <= LATTICE:
-            out |= self.decode(token)
+        for part in _windows(core):
+            out |= self.decode(part)
+        if core != token and not _long_run(token):
+            for part in _windows(token):
+                out |= self.decode(part)
         return out
 
 
 _long_run = re.compile(r"(.)\1\1", re.DOTALL).search
 
 
+def _windows(token: str) -> list[str]:
+    half = LATTICE // 2
+    return [token[lo:lo + LATTICE] for lo in range(0, max(1, len(token) - half), half)]
+
+
+def _single(word: str) -> str:
+    """``word`` with runs of a letter as one."""
+    return "".join(c for c, _ in groupby(word))
+
+
 def _letters(token: str) -> list[str]:
     return "".join(c if c.isalpha() else " " for c in token).split()
 
@@ -164,20 +183,26 @@ def _letters(token: str) -> list[str]:
 def tokens(text: str) -> list[str]:
     """Lower-cased tokens between white space; a run of single characters
     (spaced-out letters) is one more token, also without its first or last
-    (a one-letter word may stand next to it)."""
+    (a one-letter word may stand next to it), and so is each stretch of tokens
+    of at most PIECE characters, with spaces between."""
     out = text.lower().split()
     lengths = list(map(len, out))
+    stretches, at = [], 0
+    for short, run in groupby(lengths, key=lambda n: n <= PIECE):
+        n = len(list(run))
+        if short and n > 1:
+            stretches.append(" ".join(out[at:at + n]))
+        at += n
     if lengths.count(1) >= 4:
         at, more = 0, []
         for one, run in groupby(lengths, key=lambda n: n == 1):
             n = len(list(run))
             if one and n >= 4:
                 whole = "".join(out[at:at + n])
-                more += [whole, whole[1:], whole[:-1], whole[1:-1]] if n <= LATTICE else [
-                    whole[i:i + LATTICE] for i in range(0, n, LATTICE)]
+                more += [whole, whole[1:], whole[:-1], whole[1:-1]] if n <= LATTICE else _windows(whole)
             at += n
         out += more
-    return out
+    return out + stretches
 
 
 def features(words: set[str]) -> set[str]:
@@ -191,6 +216,10 @@ class Model:
     def __init__(self, restorer: Restorer, evidence: dict[str, float], weights=None):
         self.restorer, self.evidence, self.weights = restorer, evidence, weights
         self.memo: dict[str, float] = {}
+        # What a joined word must be, or begin with, to be evidence.
+        self.whole = {_single(f) for f in evidence if f[0] != "^"}
+        self.stems = {_single(f[1:]) for f in evidence if f[0] == "^"}
+        self.longest = max(map(len, self.whole), default=0)
 
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
@@ -199,6 +228,27 @@ class Model:
         got = [self.evidence[f] for f in features(self.restorer.words(token)) if f in self.evidence]
         return max(got, default=0.0)
 
+    def of_stretch(self, stretch: str) -> float:
+        """As ``of_token``; of plain letters only those pieces are decoded that
+        can give evidence when joined."""
+        pieces = stretch.split()
+        plain = [p.strip(".,;:?\"'") for p in pieces]
+        if not all(p.isalpha() for p in plain):
+            if stretch not in self.memo:
+                self.memo[stretch] = self.of_token(stretch)
+            return self.memo[stretch]
+        best, deepest = 0.0, max(STEMS)
+        for i in range(len(plain) - 1):
+            word = _single(plain[i])
+            for j in range(i + 1, len(plain)):
+                word = _single(word + plain[j])
+                stem = any(word[:k] in self.stems for k in range(1, deepest + 1))
+                if stem or word in self.whole:
+                    best = max(best, self.of_token(" ".join(plain[i:j + 1])))
+                if len(word) > max(self.longest, 2 * deepest):
+                    break
+        return best
+
     def sums(self, text: str) -> list[float]:
         """Of a text: constant, strongest evidence, log of the number of
         tokens with evidence, their share."""
@@ -207,9 +257,9 @@ class Model:
             self.memo = {}
         memo = self.memo
         for t in own:
-            if t not in memo:
+            if t not in memo and " " not in t:
                 memo[t] = self.of_token(t)
-        got = [e for e in map(memo.__getitem__, own) if e]
+        got = [e for e in (self.of_stretch(t) if " " in t else memo[t] for t in own) if e]
         return [1.0, max(got, default=0.0), math.log1p(len(got)), len(got) / max(1, len(own))]
 
     def score(self, text: str) -> float:

@@ -354,6 +354,19 @@ def test_disguised_words_are_restored():
     assert "idiot" in toxicity.tokens("you i d i o t now") and words("2024") == set()
 
 
+def test_spaced_words_are_restored():
+    table = toxicity._class_table()
+    c = table[np.frombuffer(b" you are an idiot and a fool but it is not so bad to ask " * 20, np.uint8)]
+    counts = np.zeros((28, 28, 28))
+    np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
+    model = toxicity.Model(toxicity.Restorer(counts), {"idiot": 3.0, "ass": 3.0, "^idio": 2.0})
+    for text in ("y o u i d i o t", "you a s s", "you id iot", "you 1d i0t", "an i d i0 t, so it is", "y o u " * 200 + "i d i o t"):
+        assert model.sums(text)[1] == 3.0, text
+    assert model.sums("it is as so bad")[1] == 0.0
+    windows = toxicity._windows("".join(chr(0x4E00 + i) for i in range(1000)))
+    assert all(any(chr(0x4E00 + i) in w and chr(0x4E00 + i + 127) in w for w in windows) for i in range(873))
+
+
 def test_toxicity_of_planted_words(spark):
     rng = random.Random(9)
     plain = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "rivers", "stones"]) for _ in range(30))
