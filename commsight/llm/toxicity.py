@@ -25,8 +25,8 @@ from .common import annotate, fold, lowest, read, ready, texts_of
 
 #: Labelled documents that evidence and calibration learn from, at most.
 SAMPLE = {1: 4000, 0: 16000}
-#: Documents that a feature must occur in to count (or this share of them).
-LEAST_DOCS, LEAST_SHARE = 4, 0.02
+#: Toxic documents that a feature must occur in to count.
+LEAST_DOCS = 4
 #: Log-odds from which a feature is evidence.
 LEAST_EVIDENCE = 2.5
 #: Prefix lengths that stand for word stems.
@@ -326,11 +326,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
                     [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["f", "n"])
             return run
 
-        least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * toxic))
-        # Features of at least ``least`` of the sampled toxic documents.
+        # Features of at least LEAST_DOCS of the sampled toxic documents.
         held = {r["f"]: r["n"] for r in early.where("y = 1").select("text").mapInArrow(
             counted(None), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(
-            F.col("n") >= least).collect()}
+            F.col("n") >= LEAST_DOCS).collect()}
         wanted = spark.sparkContext.broadcast(held)
         other = {r["f"]: r["n"] for r in early.where("y = 0").select("text").mapInArrow(
             counted(wanted), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}

@@ -384,6 +384,18 @@ def test_toxicity_of_planted_words(spark):
     assert all((got[i] > 0.5) == bool(t) for i, t in marks)
 
 
+def test_rare_toxic_words_are_learned(spark):
+    """A long tail of words, each in few of many toxic documents."""
+    rng = random.Random(10)
+    letters = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    tail, plain = [letters() for _ in range(75)], ["alpha", "beta", "gamma", "delta", "rivers", "stones"]
+    rows = [(i, " ".join(rng.choices(plain, k=6) + [tail[i % 75]] * (i < 600)), int(i < 600)) for i in range(3600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df, F.lit(True))
+    got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    assert sum(got[i] > 0.5 for i in range(600)) > 400 and not any(got[i] > 0.5 for i in range(600, 3600))
+
+
 def test_int8_tiles_lose_nothing(spark):
     rng = np.random.default_rng(10)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(700, 24)))]
