@@ -1,9 +1,9 @@
 """Personal data: fixed kinds by pattern, further terms by what they reveal.
 
 The kinds (email, ip, card, phone) are protected entities.  How strongly a term
-reveals one is estimated from the whole corpus: with n(e) sightings of an
-entity, n(t) documents that hold a term and n(e, t) sightings of the entity
-beside the term among N documents, the term tells
+reveals one is estimated from the whole corpus: with n(e) documents that hold
+an entity, n(t) that hold a term and n(e, t) that hold both among N documents,
+copies included, the term tells
 log(N n(e,t) / (n(e) n(t))) of the log(N / n(e)) that knowing the entity takes.
 Where that share exceeds a threshold the term is generalised, beyond a second
 one removed, in the documents that hold the entity.  Everything is DataFrame
@@ -19,10 +19,8 @@ from .common import bounded, materialize, read
 
 #: Share of an entity's information from which a term is generalised, removed.
 GENERALISE, REMOVE = 0.6, 0.85
-#: Different contexts in which entity and term must have been seen together.
+#: Documents that must hold both entity and term.
 SUPPORT = 3
-#: Code points on either side of an entity that are its context.
-CONTEXT = 80
 #: Rows of terms up to which they are broadcast.
 BROADCAST_ROWS = 200_000
 #: Entries of an array whose running totals are taken at once.
@@ -117,27 +115,28 @@ def _entity(span: Column) -> Column:
 
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, share): how much of an entity's information the terms
-    beside it reveal, for all that exceed GENERALISE.
+    in its documents reveal, for all that exceed GENERALISE.
 
     ``found`` are the documents with spans (text and ``detect``'s columns);
-    counts of terms cover all of ``docs``.  Equal contexts (copies) count as
-    one sighting.
+    counts of terms cover all of ``docs``.  Equal texts are looked at once and
+    count as often as they occur.
     """
-    seen = found.select("text", F.explode(_base()).alias("span"))
-    lo = F.greatest(F.col("span.start") - CONTEXT, F.lit(0))
-    around = F.concat(F.substring("text", lo + 1, F.col("span.start") - lo), F.lit(" \n "),
-                      F.substring("text", F.col("span.end") + 1, F.lit(CONTEXT)))
-    seen = seen.select(_entity(F.col("span")).alias("entity"), F.lower(around).alias("around")).distinct()
-    # A word cut by the context's edge is no term.
-    inner = F.regexp_replace("around", r"^\p{L}+|\p{L}+$", "")
-    pairs = seen.select("entity", F.explode(F.array_distinct(
-        F.regexp_extract_all(inner, F.lit(_WORD), F.lit(0)))).alias("term"))
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
+    digest = F.sha2("text", 256).alias("digest")
+    seen = materialize(found.select(digest, F.explode(F.array_distinct(F.transform(_base(), _entity))).alias(
+        "entity")).groupBy("digest", "entity").agg(F.count("*").alias("copies")), "seen")
+    each = materialize(seen.groupBy("entity").agg(F.sum("copies").alias("sightings")).where(
+        F.col("sightings") >= SUPPORT), "entities")
+    # Only the texts that hold such an entity are taken apart.
+    seen = seen.join(bounded(each.select("entity"), BROADCAST_ROWS), "entity", "left_semi")
+    wanted = bounded(materialize(seen.select("digest").distinct(), "digests"), BROADCAST_ROWS)
+    words = found.select(digest, "text").join(wanted, "digest", "left_semi").select("digest", F.array_distinct(
+        F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("words")).dropDuplicates(["digest"])
+    both = seen.join(words, "digest").select("entity", "copies", F.explode("words").alias("term")).groupBy(
+        "entity", "term").agg(F.sum("copies").alias("both")).where(F.col("both") >= SUPPORT)
     both = materialize(both, "pairs")
-    each = seen.groupBy("entity").agg(F.count("*").alias("sightings"))
     terms = both.select("term").distinct()
     # Documents that hold each term, counted within a task before anything
-    # moves; then only terms seen beside entities are kept.
+    # moves; then only terms seen with entities are kept.
     held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term")) if both.limit(1).count() else docs.select(
         F.lit("").alias("term")).limit(0)
@@ -172,15 +171,13 @@ def _with_terms(detected: DataFrame, found: DataFrame, docs: DataFrame) -> DataF
     detected = detected.withColumn("digest", F.when(F.size(_base()) > 0, F.sha2("text", 256))).join(
         bounded(materialize(by_text, "terms"), BROADCAST_ROWS), "digest", "left").drop("digest")
     some = F.coalesce(F.size("terms"), F.lit(0)) > 0
-    detected = detected.withColumn("pattern", F.when(some, F.concat(
-        F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit("(?!)")))
-    detected = _located(detected, "term", F.col("pattern"), lambda v: F.lit(True), some)
+    detected = _located(detected, "term", F.lit(_WORD), lambda v: F.array_contains("terms", F.lower(v)), some)
     # A term inside one of the kinds is covered already.
     detected = detected.withColumn("base", _base())
     term = F.filter("term", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     term = F.transform(term, lambda t: F.struct(t["start"], t["end"], t["rank"], F.when(
         F.array_contains("gone", F.lower(t["value"])), F.lit("")).otherwise(t["value"]).alias("value")))
-    return detected.withColumn("term", term).drop("terms", "gone", "pattern", "base")
+    return detected.withColumn("term", term).drop("terms", "gone", "base")
 
 
 def listed(spans: Column) -> Column:

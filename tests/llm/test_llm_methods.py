@@ -286,6 +286,19 @@ def test_terms_that_reveal_are_removed(spark):
     assert {r.doc_id: r.text for r in pii.sanitise(df).collect()}[3] == "w3x  [EMAIL] also the 3   ."
 
 
+def test_terms_count_in_documents(spark):
+    """Copies count like other documents, and terms far from the entity too."""
+    far = " also the plain text of the others" * 10
+    rows = [(i, "quuxar x@copy.org" + far) for i in range(40)]
+    rows += [(50 + i, f"d{i} y@far.org" + far + " blorptar") for i in range(4)]
+    rows += [(100 + i, "also the plain text of the others") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    reveal = pii.disclosing_terms(df, pii.detect(df).where("size(email) > 0"))
+    got = {(r.entity, r.term): r.share for r in reveal.collect()}
+    assert got == {("0:x@copy.org", "quuxar"): pytest.approx(1), ("0:y@far.org", "blorptar"): pytest.approx(1)} | {
+        k: v for k, v in got.items() if k[1] in ("copy", "far", "org")}
+
+
 def test_fingerprints_follow_edits(spark, docs):
     got = {r.doc_id: r for r in queries.QUERIES["op2_fingerprints"](spark, SMALL).collect()}
     text = dict(zip(docs.doc_id, docs.text, strict=True))
