@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, jaccard, langid, neighbours, packing, pii, quality, toxicity, wordpiece
+from . import bpe, fim, fingerprints, jaccard, langid, neighbours, packing, pii, quality, toxicity, wordpiece
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_neighbours": neighbours.OP5_SQL,
     "op10_jaccard_join": jaccard.OP10_SQL,
+    "op11_fill_in_middle": fim.OP11_SQL,
 }
