@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fim, fingerprints, jaccard, langid, neighbours, packing, pii, quality, toxicity, wordpiece
+from . import bpe, decontaminate, fim, fingerprints, jaccard, langid, neighbours, packing, pii, quality, toxicity, wordpiece
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_decontamination": decontaminate.op12_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_neighbours": neighbours.OP5_SQL,
     "op10_jaccard_join": jaccard.OP10_SQL,
     "op11_fill_in_middle": fim.OP11_SQL,
+    "op12_decontamination": decontaminate.OP12_SQL,
 }
