@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fim, fingerprints, jaccard, langid, neighbours, packing, pii, quality, toxicity, wordpiece
+from . import bpe, decontaminate, fim, fingerprints, jaccard, langid, neighbours, packing, pii, prefixtrie, quality, toxicity, wordpiece
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
     "op12_decontamination": decontaminate.op12_decontamination,
+    "op13_prefix_trie": prefixtrie.op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_jaccard_join": jaccard.OP10_SQL,
     "op11_fill_in_middle": fim.OP11_SQL,
     "op12_decontamination": decontaminate.OP12_SQL,
+    "op13_prefix_trie": prefixtrie.OP13_SQL,
 }
