@@ -506,7 +506,7 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey
 
 def q_html_links(spark, d):
     el = H.html_elements(_t(spark, d, "pages"), keep_tags=["a"])
-    a = el.where((F.col("tag") == "a") & F.array_contains("path_tags", "nav"))
+    a = el.where(F.col("tag") == "a")
     from pyspark.sql import Window
 
     w = Window.partitionBy("page_id").orderBy("pos")
@@ -524,10 +524,9 @@ def _decode(x: str) -> str:
 
 
 SQL_HTML_LINKS = f"""
-WITH n AS (SELECT page_id, regexp_extract(html, '<nav>(.*?)</nav>', 1) AS nav FROM pages),
-l AS (SELECT page_id,
-             regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs,
-             regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 2) AS texts FROM n),
+WITH l AS (SELECT page_id,
+             regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs,
+             regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS texts FROM pages),
 e AS (SELECT page_id, hrefs, texts, unnest(range(1, len(hrefs) + 1)) AS i FROM l)
 SELECT page_id, CAST(i AS BIGINT) AS link_pos, {_decode('hrefs[i]')} AS href,
        trim({_decode('texts[i]')}) AS text
@@ -563,7 +562,7 @@ def _table_pages(spark, d) -> DataFrame:
 
 
 def q_html_table_rows(spark, d):
-    el = H.html_elements(_table_pages(spark, d), keep_tags=H.TABLE_TAGS)
+    el = H.html_elements(_table_pages(spark, d), **H.TABLES)
     rows = H.html_table_rows(el, ["MCC", "Network", "Country"], table_id="mncmccTable")
     return rows.select("page_id", "row_idx", "MCC", "Network", "Country")
 
@@ -578,6 +577,79 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
 """
 
 
+def _headed_pages(spark, d) -> DataFrame:
+    """One page per supplier, deep in nested blocks: columns in one of three
+    orders, one of them with a column that nobody knows, every fifth row with
+    a cell too many."""
+    s = _with_country(spark, d, "supplier", "s_nationkey")
+    cells = {"MCC": F.col("s_suppkey").cast("string"), "Network": F.col("s_name"), "Country": F.col("Country"),
+             "Fax": F.lit("none")}
+    kind = F.col("s_suppkey") % 3
+
+    def table(*names):
+        return F.concat(
+            F.lit('<table id="codes"><thead><tr>' + "".join(f"<th>{n}</th>" for n in names) + "</tr></thead><tbody><tr>"),
+            *[F.concat(F.lit("<td>"), cells[n], F.lit("</td>")) for n in names],
+            F.when(F.col("s_suppkey") % 5 == 0, F.lit("<td>extra</td>")).otherwise(F.lit("")),
+            F.lit("</tr></tbody></table>"))
+
+    body = F.when(kind == 0, table("MCC", "Network", "Country")).when(
+        kind == 1, table("Country", "Fax", "MCC", "Network")).otherwise(table("Network", "MCC"))
+    depth = (F.col("s_suppkey") % 400).cast("int")
+    return s.select(F.col("s_suppkey").alias("page_id"), F.concat(F.repeat(F.lit("<div>"), depth), body).alias("html"))
+
+
+_HEADED = {"MCC": "mcc", "Network": "network", "Country": "country"}
+
+
+def q_table_by_header(spark, d):
+    """S3 + P1: columns by each page's own header, on deeply nested pages."""
+    el = H.html_elements(_headed_pages(spark, d), **H.TABLES)
+    return H.html_table_by_header(el, _HEADED, table_id="codes").select("page_id", "row_idx", "mcc", "network", "country")
+
+
+SQL_TABLE_BY_HEADER = """
+SELECT s_suppkey AS page_id, CAST(0 AS BIGINT) AS row_idx, CAST(s_suppkey AS VARCHAR) AS mcc, s_name AS network,
+       CASE WHEN s_suppkey % 3 < 2 THEN n_name END AS country
+FROM supplier JOIN nation ON s_nationkey = n_nationkey
+"""
+
+
+def q_cell_rejects(spark, d):
+    """S3: the cells of those pages that no column takes, with the reason."""
+    el = H.html_elements(_headed_pages(spark, d), **H.TABLES)
+    return H.html_cell_rejects(el, _HEADED, table_id="codes").select(
+        "page_id", F.col("col_idx").cast("long").alias("col_idx"), "name", "text", "reason")
+
+
+SQL_CELL_REJECTS = """
+SELECT s_suppkey AS page_id, CAST(1 AS BIGINT) AS col_idx, 'Fax' AS name, 'none' AS text, 'unknown header' AS reason
+FROM supplier WHERE s_suppkey % 3 = 1
+UNION ALL
+SELECT s_suppkey, CAST(CASE s_suppkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 2 END AS BIGINT), NULL, 'extra',
+       'beyond the header'
+FROM supplier WHERE s_suppkey % 5 = 0
+"""
+
+
+def q_table_versions(spark, d):
+    """K2: a table is replaced, then a writer dies before it publishes; what
+    readers see is the last published version."""
+    from commsight.session import staging_path
+    from commsight.sources.tables import read_table, write_table
+
+    path = staging_path(spark, "versions")
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    write_table(orders, path)
+    write_table(orders.where("o_orderstatus <> 'F'"), path, partition_by=["o_orderstatus"])
+    write_table(orders.where("false"), path)
+    orders.write.parquet(f"{path}/version=3-dead")  # died before the manifest
+    return read_table(spark, path).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+SQL_TABLE_VERSIONS = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'F'"
+
+
 # ---------------------------------------------------------------- P7, P2, P8
 
 def _addresses(spark, d) -> DataFrame:
@@ -869,7 +941,7 @@ def _operator_pages(spark, d) -> DataFrame:
 
 
 def q_operator_list_ingest(spark, d):
-    el = H.html_elements(_operator_pages(spark, d), keep_tags=H.TABLE_TAGS)
+    el = H.html_elements(_operator_pages(spark, d), **H.TABLES)
     t = H.html_table_rows(el, ["Country", "Operator", "Network Code", "Display Text"],
                           container_class="entry-content", header="first_row")
     # Rows of one page are a bounded group (one input row): plain windows.
@@ -909,7 +981,7 @@ def _card_pages(spark, d) -> DataFrame:
 
 def q_datacenter_listing(spark, d):
     pages = _card_pages(spark, d)
-    cards = H.html_cards(H.html_elements(pages, keep_tags=H.CARD_TAGS), pages)
+    cards = H.html_cards(H.html_elements(pages, keep_tags=H.CARD_TAGS, url="url"))
     cards = cards.join(pages.select("page_id", "keyword", "keyword_pos"), "page_id")
     kept = C.filter_by_country_key(cards, "Address", F.col("keyword"))
     dedup = R.dedup_keep_first(kept.withColumn("error", F.lit(None).cast("string")),
@@ -1107,7 +1179,7 @@ def q_report(spark, d):
         F.array(*[F.lit(t) for t in ("click", "error", "purchase", "refund")]).alias("test_names"),
         (F.col("c_mktsegment") == "BUILDING").alias("only_anomalies"), F.lit(HORIZON).alias("horizon"))
     pages = _card_pages(spark, d)
-    cards = H.html_cards(H.html_elements(pages, keep_tags=H.CARD_TAGS), pages).join(
+    cards = H.html_cards(H.html_elements(pages, keep_tags=H.CARD_TAGS, url="url")).join(
         pages.select("page_id", "keyword", "keyword_pos"), "page_id")
     ev = _user_country_events(spark, d)
     dim = _nation_dim(spark, d)
@@ -1198,7 +1270,7 @@ def q_question_dc_totals(spark, d):
     nat = _t(spark, d, "nation").select(F.col("n_name").alias("Country"))
     selection = selection_for(_questions(spark, d), [("nations", nat)])
     pages = _card_pages(spark, d)
-    cards = H.html_cards(H.html_elements(pages, keep_tags=H.CARD_TAGS), pages).join(
+    cards = H.html_cards(H.html_elements(pages, keep_tags=H.CARD_TAGS, url="url")).join(
         pages.select("page_id", "keyword", "keyword_pos"), "page_id")
     return dc_totals(selection, dc_listing(cards)).select("query_id", F.col("n_ok").alias("n_data_centers"))
 
@@ -1329,6 +1401,9 @@ QUERIES = {
     "html_links": (q_html_links, SQL_HTML_LINKS),
     "html_title": (q_html_title, SQL_HTML_TITLE),
     "html_table_rows": (q_html_table_rows, SQL_HTML_TABLE_ROWS),
+    "table_by_header": (q_table_by_header, SQL_TABLE_BY_HEADER),
+    "cell_rejects": (q_cell_rejects, SQL_CELL_REJECTS),
+    "table_versions": (q_table_versions, SQL_TABLE_VERSIONS),
     "last_token": (q_last_token, SQL_LAST_TOKEN),
     "filter_by_country_key": (q_filter_by_country_key, SQL_FILTER_BY_COUNTRY_KEY),
     "top_k": (q_top_k, SQL_TOP_K),
