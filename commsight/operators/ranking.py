@@ -46,14 +46,24 @@ def limit_results(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     return top_n(df, keys, order, n)
 
 
-def sort_by_first(df: DataFrame, first: str, tie: Sequence[str]) -> DataFrame:
-    """Order by one column descending (nulls last), then ``tie``."""
-    return df.orderBy(F.col(first).desc_nulls_last(), *[F.col(t) for t in tie])
+def sort_by_first(df: DataFrame, first: str, tie: Sequence[str], position: str | None = None,
+                  width="auto") -> DataFrame:
+    """Order by one column descending (nulls last), then ``tie``.
+
+    With ``position`` the rows are not moved into that order but get their
+    1-based place in it, which survives being stored (an ordered scan over
+    ranges: no task sorts everything).
+    """
+    order = [F.col(first).desc_nulls_last(), *[F.col(t) for t in tie]]
+    return ordered_row_number(df, [], order, width=width, out=position) if position else df.orderBy(*order)
 
 
-def sort_by_country(df: DataFrame, country: str = "country", tie: Sequence[str] = ("Name", "Link")) -> DataFrame:
-    """Listings alphabetically by country, then a stable tie-break."""
-    return df.orderBy(F.col(country), *[F.col(t) for t in tie])
+def sort_by_country(df: DataFrame, country: str = "country", tie: Sequence[str] = ("Name", "Link"),
+                    position: str | None = None, width="auto") -> DataFrame:
+    """Listings alphabetically by country, then a stable tie-break;
+    ``position`` as in ``sort_by_first``."""
+    order = [country, *tie]
+    return ordered_row_number(df, [], order, width=width, out=position) if position else df.orderBy(*order)
 
 
 def union_sources(frames: Sequence[DataFrame]) -> DataFrame:

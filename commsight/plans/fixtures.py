@@ -209,7 +209,7 @@ FROM (SELECT *, CASE WHEN value >= 35.0 THEN event_type ELSE '' END AS cell FROM
 
 
 def q_forward_fill_global(spark, d):
-    ff = forward_fill(_cells(spark, d, 60.0), "cell", ["event_id"], keys=[], width=500, out="filled")
+    ff = forward_fill(_cells(spark, d, 60.0), "cell", ["event_id"], keys=[], width="500 rows", out="filled")
     return ff.select("event_id", "filled")
 
 
@@ -226,7 +226,7 @@ FROM (SELECT *, CASE WHEN value >= 60.0 THEN event_type ELSE '' END AS cell FROM
 def q_pair_heading_body(spark, d):
     conv = _t(spark, d, "conversations")
     return H.pair_heading_body(conv, F.col("role") == "user", F.col("role") == "assistant",
-                               keys=["conv_id"], order=["turn"], width=2)
+                               keys=["conv_id"], order=["turn"], width="100 rows")
 
 
 SQL_PAIR_HEADING_BODY = """
@@ -311,7 +311,7 @@ FROM ({_SQL_COUNTS})
 
 def q_every_other_row(spark, d):
     ev = _t(spark, d, "events").select("event_id", "user_id", "ts")
-    return R.every_other_row(ev, ["user_id"], ["ts", "event_id"], width="1 day", keep_rn="rn") \
+    return R.every_other_row(ev, ["user_id"], ["ts", "event_id"], width="2000 rows", keep_rn="rn") \
         .select("event_id", "user_id", "rn")
 
 
@@ -362,7 +362,7 @@ FROM ({_SQL_SHARES}) GROUP BY category
 def q_providers_by_country(spark, d):
     sup = _with_country(spark, d, "supplier", "s_nationkey")
     return K.markdown_rows(sup, ["Country"], ["s_suppkey", "s_name"], ["s_suppkey"],
-                           block_rows=500, width=10_000)
+                           block_rows=500, width="40 rows")
 
 
 SQL_PROVIDERS_BY_COUNTRY = """
