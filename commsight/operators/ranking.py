@@ -100,3 +100,9 @@ def error_rows(spark, source: str, message: str, columns: Sequence[str]) -> Data
     """A failed source becomes one row with ``error`` set and blank fields."""
     schema = ", ".join(f"`{c}` string" for c in columns) + ", source string, error string"
     return spark.createDataFrame([tuple([""] * len(columns)) + (source, message)], schema)
+
+
+def failed_sources(failures: DataFrame, source: Column, message: Column, blank: Sequence[str]) -> DataFrame:
+    """U2 for any number of failures at once: each row keeps its columns, has
+    ``blank`` fields empty, and tells ``source`` and ``error``."""
+    return failures.select("*", *[F.lit("").alias(c) for c in blank], source.alias("source"), message.alias("error"))

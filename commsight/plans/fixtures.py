@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commsight.functions.text import strip_suffix, strip_text, title_case, words
+from commsight.functions.text import normalize_text, percent_text, percent_value, strip_suffix, strip_text, title_case
 from commsight.operators import aggregates as A
 from commsight.operators import clean as C
 from commsight.operators import entities as E
@@ -134,19 +134,279 @@ SELECT sel.query_id, sel.Country, prov.kind, prov.provider FROM sel JOIN prov ON
 
 # ---------------------------------------------------------------- E1 on whole documents
 
-def q_match_entities(spark, d):
+def _phrases(spark, d) -> DataFrame:
+    """Every benchmark text, and every sentence of one."""
     b = _t(spark, d, "benchmark")
-    openings = b.select(F.array_join(F.slice(words("text"), 1, 3), " ").alias("opening"))
+    return b.select(F.col("text").alias("phrase")).unionByName(
+        b.select(F.explode(F.split("text", r"[.!?]+")).alias("phrase")))
+
+
+def q_match_entities(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "text")
-    return E.match_entities(docs, openings, "opening", "doc_id", "text", out="opening")
+    phrases = _phrases(spark, d).select(normalize_text("phrase").alias("phrase"))
+    return E.match_entities(docs, phrases, "phrase", "doc_id", "text", out="phrase")
+
+
+def _sql_longest(texts: str, phrases: str) -> str:
+    """Leftmost-longest spans (id, s, e, p) of phrases in texts: (id, w) and
+    (p, k), words as lists; one span after the other, by recursion."""
+    return f"""
+hits AS (
+  SELECT t.id, t.s, max(len(x.k)) AS n
+  FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS s FROM ({texts})) t
+  JOIN (SELECT DISTINCT k FROM ({phrases}) WHERE len(k) > 0) x
+  ON t.w[t.s] = x.k[1] AND t.w[t.s:t.s + len(x.k) - 1] = x.k GROUP BY t.id, t.s),
+walk(id, s, e) AS (
+  SELECT id, min(s), arg_min(s + n, s) FROM hits GROUP BY id
+  UNION ALL
+  SELECT r.id, min(h.s), arg_min(h.s + h.n, h.s) FROM walk r JOIN hits h ON h.id = r.id AND h.s >= r.e GROUP BY r.id, r.e),
+spans AS (
+  SELECT DISTINCT walk.id, s, e, t.w[s:e - 1] AS k FROM walk JOIN ({texts}) t ON t.id = walk.id)"""
 
 
 SQL_MATCH_ENTITIES = f"""
-WITH b AS (
-  SELECT DISTINCT array_to_string(string_split({_norm('text')}, ' ')[1:3], ' ') AS opening FROM benchmark),
-d AS (SELECT doc_id, ' ' || {_norm('text')} || ' ' AS t FROM documents)
-SELECT DISTINCT d.doc_id, b.opening FROM d JOIN b ON contains(d.t, ' ' || b.opening || ' ')
-WHERE b.opening <> ''
+WITH RECURSIVE b AS (
+  SELECT text AS phrase FROM benchmark
+  UNION ALL SELECT unnest(regexp_split_to_array(text, '[.!?]+')) FROM benchmark),
+p AS (SELECT DISTINCT string_split({_norm('phrase')}, ' ') AS k FROM b WHERE {_norm('phrase')} <> ''),
+d AS (SELECT doc_id AS id, string_split({_norm('text')}, ' ') AS w FROM documents),
+{_sql_longest('SELECT id, w FROM d', 'SELECT k FROM p')}
+SELECT DISTINCT id AS doc_id, array_to_string(k, ' ') AS phrase FROM spans
+"""
+
+
+# ---------------------------------------------------------------- E1: names inside names, regions
+
+def _nested_names(spark, d) -> DataFrame:
+    """Nations, regions, and names made of both in either order."""
+    n = _t(spark, d, "nation")
+    r = _t(spark, d, "region")
+    both = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return both.select(F.explode(F.array("n_name", "r_name", F.concat_ws(" ", "n_name", "r_name"), F.concat_ws(
+        " ", "r_name", "n_name"))).alias("Country")).distinct()
+
+
+def _nested_questions(spark, d) -> DataFrame:
+    """One question per customer whose names overlap one another."""
+    c = _t(spark, d, "customer")
+    n = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    text = F.when(F.col("c_custkey") % 3 == 0, F.concat_ws(" ", "n_name", "r_name", "n_name")).when(
+        F.col("c_custkey") % 3 == 1, F.concat_ws(" ", "r_name", "r_name", "n_name", "r_name")).otherwise(
+        F.concat_ws(" and ", "n_name", "r_name"))
+    return c.join(n, c.c_nationkey == n.n_nationkey).select(
+        F.col("c_custkey").alias("query_id"), F.concat(F.lit("Operators in "), text, F.lit("?")).alias("user_query"))
+
+
+def q_nested_entities(spark, d):
+    return E.match_entities(_nested_questions(spark, d), _nested_names(spark, d))
+
+
+SQL_NESTED_ENTITIES = f"""
+WITH RECURSIVE nr AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey),
+v AS (
+  SELECT n_name AS v FROM nr UNION SELECT r_name FROM nr UNION SELECT n_name || ' ' || r_name FROM nr
+  UNION SELECT r_name || ' ' || n_name FROM nr),
+p AS (SELECT v, string_split({_norm('v')}, ' ') AS k FROM v),
+q AS (
+  SELECT c_custkey AS id, 'Operators in ' || CASE c_custkey % 3 WHEN 0 THEN n_name || ' ' || r_name || ' ' || n_name
+    WHEN 1 THEN r_name || ' ' || r_name || ' ' || n_name || ' ' || r_name ELSE n_name || ' and ' || r_name END || '?' AS t
+  FROM customer JOIN nr ON c_nationkey = n_nationkey),
+d AS (SELECT id, string_split({_norm('t')}, ' ') AS w FROM q),
+{_sql_longest('SELECT id, w FROM d', 'SELECT k FROM p')}
+SELECT DISTINCT spans.id AS query_id, p.v AS Country FROM spans JOIN p ON p.k = spans.k
+"""
+
+
+def q_region_questions(spark, d):
+    """E1 over regions: questions name a region, or one of two halves of the
+    world that regions belong to."""
+    r = _t(spark, d, "region")
+    n = _t(spark, d, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    half = F.concat(F.lit("Hemisphere "), (F.col("r_regionkey") % 2).cast("string"))
+    members = n.select(F.col("r_name").alias("region"), F.col("n_name").alias("member")).unionByName(
+        r.select(half.alias("region"), F.col("r_name").alias("member")))
+    c = _t(spark, d, "customer")
+    asked = F.when(F.col("c_custkey") % 4 == 0, half).when(F.col("c_custkey") % 4 == 1, F.concat_ws(
+        " and ", "n_name", "r_name")).otherwise(F.col("r_name"))
+    questions = c.join(n, c.c_nationkey == n.n_nationkey).select(
+        F.col("c_custkey").alias("query_id"), F.concat(F.lit("Tell me about the "), asked).alias("user_query"))
+    return E.match_entities(questions, n.select(F.col("n_name").alias("Country")), members=members)
+
+
+SQL_REGION_QUESTIONS = """
+WITH nr AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey),
+q AS (SELECT c_custkey, r_regionkey AS k FROM customer JOIN nr ON c_nationkey = n_nationkey)
+SELECT c_custkey AS query_id, n_name AS Country FROM q JOIN nr
+ON CASE WHEN c_custkey % 4 = 0 THEN q.k % 2 = nr.r_regionkey % 2 ELSE q.k = nr.r_regionkey END
+"""
+
+
+# ---------------------------------------------------------------- S1 + E3: a list of tables per request
+
+def _routed(spark, d):
+    """Requests with four kinds of table lists, and the tables: one of them
+    empty, one with the nations of even regions only."""
+    sup = _with_country(spark, d, "supplier", "s_nationkey").select("Country", F.col("s_name").alias("who"))
+    cus = _with_country(spark, d, "customer", "c_nationkey").select("Country", F.col("c_name").alias("who"))
+    n = _t(spark, d, "nation")
+    even = n.where("n_regionkey % 2 = 0").select(F.col("n_name").alias("Country"), F.lit("even").alias("who"))
+    tables = [("suppliers", sup), ("customers", cus), ("even", even), ("nothing", sup.where("false"))]
+    kind = F.col("query_id") % 4
+    lists = F.when(kind == 0, F.array(F.lit("nothing"), F.lit("even"), F.lit("suppliers"))).when(
+        kind == 1, F.array(F.lit("suppliers"), F.lit("even"), F.lit("suppliers"))).when(
+        kind == 2, F.array(F.lit("users; --"), F.lit("nothing")))
+    return _questions(spark, d).withColumn("sql_tables", lists), tables
+
+
+def q_requests_by_table(spark, d):
+    """Per request, the rows of its own tables for the countries that its
+    own first table with rows selects."""
+    requests, tables = _routed(spark, d)
+    routes, _ = E.request_routes(requests, tables)
+    selection = E.selection_by_request(requests, tables, routes)
+    parts = E.propagate_by_request(tables, selection, routes)
+    per = [t.groupBy("query_id", "Country").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("table", F.lit(name))
+           for name, t in parts.items()]
+    return R.union_sources(per).select("query_id", "table", "Country", "n_rows")
+
+
+SQL_REQUESTS_BY_TABLE = """
+WITH t AS (
+  SELECT 'suppliers' AS tab, n_name, count(*) AS n, any_value(n_regionkey) AS rk
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name
+  UNION ALL SELECT 'customers', n_name, count(*), any_value(n_regionkey)
+  FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name
+  UNION ALL SELECT 'even', n_name, 1, n_regionkey FROM nation WHERE n_regionkey % 2 = 0),
+q AS (SELECT c_custkey AS query_id, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT q.query_id, t.tab AS "table", t.n_name AS Country, t.n AS n_rows FROM q JOIN t USING (n_name)
+WHERE CASE query_id % 4
+  WHEN 0 THEN t.tab IN ('even', 'suppliers') AND t.rk % 2 = 0
+  WHEN 1 THEN t.tab IN ('even', 'suppliers') AND n_name IN (SELECT n_name FROM t WHERE tab = 'suppliers')
+  WHEN 3 THEN n_name IN (SELECT n_name FROM t WHERE tab = 'suppliers') ELSE false END
+"""
+
+
+def q_unknown_tables(spark, d):
+    """The names in requests that are no table."""
+    requests, tables = _routed(spark, d)
+    return E.request_routes(requests, tables)[1]
+
+
+SQL_UNKNOWN_TABLES = """SELECT c_custkey AS query_id, 'users; --' AS "table" FROM customer WHERE c_custkey % 4 = 2"""
+
+
+# ---------------------------------------------------------------- P15, P17, E3, W4, W5, U1, U2, K3
+
+def q_percent_format(spark, d):
+    li = _t(spark, d, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", percent_value("l_discount", 1).alias("discount_pct"),
+                     percent_text(F.col("l_tax"), 2).alias("tax_text"))
+
+
+SQL_PERCENT_FORMAT = """
+SELECT l_orderkey, l_linenumber, round(l_discount * 100.0, 1) AS discount_pct, printf('%.2f%%', l_tax * 100.0) AS tax_text
+FROM lineitem
+"""
+
+
+def q_typed_empty(spark, d):
+    """A source without results still has its columns, so it can be
+    joined and united with the others."""
+    from commsight.sources.tables import ISP_LIST_SCHEMA
+
+    sup = _with_country(spark, d, "supplier", "s_nationkey")
+    empty = C.default_typed_empty(spark, ISP_LIST_SCHEMA)
+    got = sup.select("Country", F.col("s_name").alias("Providers")).unionByName(empty)
+    return got.join(empty.select("Country"), "Country", "left_anti").groupBy("Country").agg(
+        F.count("Providers").alias("n"))
+
+
+SQL_TYPED_EMPTY = "SELECT n_name AS Country, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1"
+
+
+def q_propagate_selection(spark, d):
+    """The selection of each question applied to two tables."""
+    nation = _t(spark, d, "nation").select(F.col("n_name").alias("Country"))
+    sel = E.match_entities(_questions(spark, d), nation)
+    tables = [("supplier", _with_country(spark, d, "supplier", "s_nationkey").select("Country", "s_acctbal")),
+              ("customer", _with_country(spark, d, "customer", "c_nationkey").select("Country", F.col("c_acctbal").alias("s_acctbal")))]
+    out = [t.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("s_acctbal").alias("least")).withColumn(
+        "table", F.lit(name)) for name, t in E.propagate_selection(tables, sel).items()]
+    return R.union_sources(out)
+
+
+SQL_PROPAGATE_SELECTION = """
+WITH t AS (
+  SELECT 'supplier' AS tab, s_nationkey AS k, count(*) AS n, min(s_acctbal) AS least FROM supplier GROUP BY 2
+  UNION ALL SELECT 'customer', c_nationkey, count(*), min(c_acctbal) FROM customer GROUP BY 2)
+SELECT c_custkey AS query_id, n AS n_rows, least, tab AS "table" FROM customer JOIN t ON c_nationkey = t.k
+"""
+
+
+def q_sort_by_first(spark, d):
+    """Each order's place by price, dearest first; orders without status F
+    have none and come last."""
+    o = _t(spark, d, "orders").select("o_orderkey", F.when(
+        F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("price"))
+    return R.sort_by_first(o, "price", ["o_orderkey"], position="place", width="1000 rows")
+
+
+SQL_SORT_BY_FIRST = """
+SELECT *, row_number() OVER (ORDER BY price DESC NULLS LAST, o_orderkey) AS place
+FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS price FROM orders)
+"""
+
+
+def q_sort_by_country(spark, d):
+    """Customers alphabetically by country, then name."""
+    c = _with_country(spark, d, "customer", "c_nationkey").select("Country", "c_name", "c_custkey")
+    return R.sort_by_country(c, "Country", ["c_name", "c_custkey"], position="place", width="300 rows")
+
+
+SQL_SORT_BY_COUNTRY = """
+SELECT n_name AS Country, c_name, c_custkey, row_number() OVER (ORDER BY n_name, c_name, c_custkey) AS place
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+"""
+
+
+def q_union_sources(spark, d):
+    """U1 + U2: results of two sources whose columns differ, and a row for
+    each nation whose search gave none."""
+    sup = _with_country(spark, d, "supplier", "s_nationkey").where("s_acctbal > 5000").select("Country", F.col("s_name").alias("Name"))
+    cus = _with_country(spark, d, "customer", "c_nationkey").select("Country", F.col("c_mktsegment").alias("Segment"))
+    missing = _t(spark, d, "nation").select(F.col("n_name").alias("Country")).join(sup, "Country", "left_anti")
+    failed = R.failed_sources(missing, F.lit("supplier"), F.concat(F.lit("no listing for "), "Country"), ["Name", "Segment"])
+    return R.union_sources([sup, cus, failed]).select("Country", "Name", "Segment", "source", "error")
+
+
+SQL_UNION_SOURCES = """
+SELECT n_name AS Country, s_name AS Name, NULL AS Segment, NULL AS source, NULL AS error
+FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000
+UNION ALL SELECT n_name, NULL, c_mktsegment, NULL, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT n_name, '', '', 'supplier', 'no listing for ' || n_name FROM nation
+WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)
+"""
+
+
+def q_table_payload(spark, d):
+    """K3: the raw-table view as files, read back: every row, in the columns
+    that the view lists."""
+    from commsight.session import staging_path
+    from commsight.sources.tables import table_payload
+
+    path = staging_path(spark, "payload")
+    table_payload(_t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "nation", path)
+    body = spark.read.text(f"{path}/nation/rows").select(F.from_json("value", "map<string,string>").alias("row"))
+    columns = spark.read.json(f"{path}/nation/columns").select(F.posexplode("columns").alias("pos", "column"))
+    return body.select(F.posexplode(F.map_entries("row")).alias("at", "cell")).join(
+        F.broadcast(columns), F.col("cell.key") == F.col("column")).select(
+        F.col("pos").cast("long").alias("pos"), "column", F.col("cell.value").alias("value"))
+
+
+SQL_TABLE_PAYLOAD = """
+SELECT CAST(0 AS BIGINT) AS pos, 'n_nationkey' AS "column", CAST(n_nationkey AS VARCHAR) AS value FROM nation
+UNION ALL SELECT 1, 'n_name', n_name FROM nation
+UNION ALL SELECT 2, 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM nation
 """
 
 
@@ -1403,6 +1663,17 @@ QUERIES = {
     "html_table_rows": (q_html_table_rows, SQL_HTML_TABLE_ROWS),
     "table_by_header": (q_table_by_header, SQL_TABLE_BY_HEADER),
     "cell_rejects": (q_cell_rejects, SQL_CELL_REJECTS),
+    "nested_entities": (q_nested_entities, SQL_NESTED_ENTITIES),
+    "region_questions": (q_region_questions, SQL_REGION_QUESTIONS),
+    "requests_by_table": (q_requests_by_table, SQL_REQUESTS_BY_TABLE),
+    "unknown_tables": (q_unknown_tables, SQL_UNKNOWN_TABLES),
+    "percent_format": (q_percent_format, SQL_PERCENT_FORMAT),
+    "typed_empty": (q_typed_empty, SQL_TYPED_EMPTY),
+    "propagate_selection": (q_propagate_selection, SQL_PROPAGATE_SELECTION),
+    "sort_by_first": (q_sort_by_first, SQL_SORT_BY_FIRST),
+    "sort_by_country": (q_sort_by_country, SQL_SORT_BY_COUNTRY),
+    "union_sources": (q_union_sources, SQL_UNION_SOURCES),
+    "table_payload": (q_table_payload, SQL_TABLE_PAYLOAD),
     "table_versions": (q_table_versions, SQL_TABLE_VERSIONS),
     "last_token": (q_last_token, SQL_LAST_TOKEN),
     "filter_by_country_key": (q_filter_by_country_key, SQL_FILTER_BY_COUNTRY_KEY),
