@@ -8,9 +8,10 @@ single value here (see ``report.markdown_rows`` for bounded rendering).
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commsight.operators.joins import bounded_broadcast
@@ -112,6 +113,32 @@ def metric_pivot(metrics: DataFrame, countries: Sequence[str], metric: str = "me
     return p.orderBy(F.col(metric), F.col(first).desc_nulls_last(), F.col(category))
 
 
+def pivot_by_group(cells: DataFrame, group: Sequence[str], table: str, row: str, column: str, value: str,
+                   order: str) -> DataFrame:
+    """A7 with columns of each group's own: (group..., table, columns array,
+    row, position, cells array).
+
+    ``cells`` are long rows of a text ``value`` per (group, table, row,
+    column).  A group's columns are the distinct ``column`` values it has in
+    any table, sorted; a row's cells follow them, blank where it has none.
+    Rows are numbered per table by ``order`` descending (nulls last), then by
+    name.  No list of columns ever reaches the driver: names are gathered per
+    group and cells per row, and both meet on the group.
+    """
+    group = list(group)
+    one = cells.groupBy(*group, table, row, column).agg(F.max(value).alias("__v"), F.max(order).alias("__o"))
+    names = one.groupBy(*group).agg(F.sort_array(F.collect_set(column)).alias("columns"))
+    rows = one.groupBy(*group, table, row).agg(F.map_from_entries(F.collect_list(F.struct(column, "__v"))).alias("__m"),
+                                               F.max("__o").alias("__o"))
+    w = Window.partitionBy(*group, table).orderBy(F.col("__o").desc_nulls_last(), row)
+    rows = rows.withColumn("position", F.row_number().over(w).cast("long"))
+    for g in group:
+        names = names.withColumnRenamed(g, f"__g_{g}")
+    on = reduce(lambda x, y: x & y, [rows[g].eqNullSafe(names[f"__g_{g}"]) for g in group])
+    return rows.join(names, on).select(*group, table, "columns", row, "position", F.transform(
+        "columns", lambda c: F.coalesce(F.col("__m")[c], F.lit(""))).alias("cells"))
+
+
 def completeness_check(tagged: DataFrame, expected: DataFrame, source: str = "source",
                        expected_col: str = "expected_rows") -> DataFrame:
     """Rows per source against expectations -> status ``empty``/``short``/``ok``.

@@ -8,6 +8,7 @@ may still turn it into a broadcast join from measured runtime sizes.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,7 +139,7 @@ def country_aliases(countries: DataFrame) -> DataFrame:
     common = countries.select(F.col("common_name").alias("alias"), F.col("name").alias("canonical"))
     official = countries.select(F.col("official_name").alias("alias"), F.col("name").alias("canonical"))
     short = spark.createDataFrame(SHORT_ALIASES, "alias string, alpha_2 string") \
-        .join(F.broadcast(countries.select("alpha_2", "name")), "alpha_2") \
+        .join(bounded_broadcast(countries.select("alpha_2", "name")), "alpha_2") \
         .select("alias", F.col("name").alias("canonical"))
     return common.unionByName(official).unionByName(short).where(F.col("alias").isNotNull())
 
@@ -228,3 +229,30 @@ def zip_results(requests: DataFrame, results: DataFrame, keys: Sequence[str]) ->
     A request with no result keeps null result columns (a failed fetch).
     """
     return requests.join(results, list(keys), "left")
+
+
+def zip_outcomes(requests: DataFrame, results: DataFrame, failures: DataFrame | None, keys: Sequence[str],
+                 reason: str = "reason") -> DataFrame:
+    """J6 + S12: each request with its result, and how its fetch ended.
+
+    ``outcome`` is ``rows`` (there is a result), ``failed`` (no result, and
+    ``failures`` has the keys: ``reason`` says why) or ``empty`` (the fetch
+    went well and found nothing), so that a failure is never read as a zero.
+    Keys are compared with nulls equal; of several reasons the first in text
+    order is told.  A request with a result has no reason.
+    """
+    keys = list(keys)
+    other = [c for c in results.columns if c not in keys]
+    found = results.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *other, F.lit(True).alias("__hit"))
+    on = lambda right, p: reduce(lambda x, y: x & y, [
+        F.col(k).eqNullSafe(right[f"{p}{i}"]) for i, k in enumerate(keys)])
+    out = requests.join(found, on(found, "__k"), "left").drop(*[f"__k{i}" for i in range(len(keys))])
+    if failures is None:
+        out = out.withColumn(reason, F.lit(None).cast("string"))
+    else:
+        why = failures.groupBy(*[F.col(k).alias(f"__f{i}") for i, k in enumerate(keys)]).agg(
+            F.min(F.coalesce(reason, F.lit("unknown"))).alias("__why"))
+        out = out.join(why, on(why, "__f"), "left").drop(*[f"__f{i}" for i in range(len(keys))])
+        out = out.withColumn(reason, F.when(F.col("__hit").isNull(), F.col("__why"))).drop("__why")
+    return out.withColumn("outcome", F.when(F.col("__hit"), "rows").when(
+        F.col(reason).isNotNull(), "failed").otherwise("empty")).drop("__hit")

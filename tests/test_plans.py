@@ -62,14 +62,16 @@ def test_report_end_to_end(spark):
     assert "### Peru: Mobile Network Operators\n| provider |\n|---|\n| Claro |\n| Entel |" in t1
     assert "### Peru: Internet Service Providers\n| provider |\n|---|\n| Bitel |\n| Movistar |" in t1
     assert "Total data centers: 1" in t1 and "[Lima DC](https://dc/1)" in t1 and "Miami" not in t1
-    assert "### Peru\n| Name | Type | Address |" in t1
+    assert "Total data centers: 1\n\n| Name | Type | Address | Link |\n|---|---|---|---|\n| [Lima DC](https://dc/1) |" in t1
     assert "| Peru | Whatsapp | 1 | 1 |" in t1 and "| Peru | Signal | 0 | 0 |" in t1
     assert "**High-anomaly alerts**\n- Peru / Whatsapp: 50.00% anomalies" in t1
-    assert "| Device Type | mobile | Peru | 60.00% |" in t1
+    assert "| Device Type | Peru |\n|---|---|\n| mobile | 60.00% |\n| desktop | 40.00% |" in t1
+    assert "Category" not in t1 and "Value" not in t1
     assert t1.count(".pe |") == 20  # top 20 domains
     t2 = text[2]
     assert "| Chile | Whatsapp | 1 | 0 |" in t2 and "| United States | Whatsapp | 0 | 0 |" in t2
     assert "Total data centers: 1" in t2 and "Failed searches: 1" in t2
+    assert "**Failed fetches**\n- Chile: timeout" in t2
     assert t2.index("## Telecommunications") < t2.index("## Data Centers") < t2.index("## Communications Tests")
     t3 = text[3]
     assert "No SQL data found." in t3 and "No OONI data found." in t3 and "No Radar data found." in t3
