@@ -1313,18 +1313,25 @@ def _user_country_events(spark, d) -> DataFrame:
     return ev.join(cus, ev.user_id == cus.c_custkey).drop("c_custkey")
 
 
+def _all_tests(spark, d):
+    """Every event type there is, and one that never occurs: a scalar."""
+    return _t(spark, d, "events").agg(F.sort_array(F.array_union(F.collect_set("event_type"), F.array(
+        F.lit("refund"))))).scalar()
+
+
+_SQL_TESTS = "(SELECT DISTINCT event_type FROM events UNION SELECT 'refund') t(test)"
+
+
 def q_zip_results(spark, d):
     grid = _t(spark, d, "nation").select(F.col("n_name").alias("Country"),
-                                         F.array(*[F.lit(t) for t in ("click", "error", "purchase", "refund")])
-                                         .alias("tests")) \
-        .select("Country", F.explode("tests").alias("test"))
+                                         F.explode(_all_tests(spark, d)).alias("test"))
     ev = _user_country_events(spark, d).withColumnRenamed("event_type", "test")
     counts = A.status_counts(ev, ["Country", "test"], F.col("value") >= 100.0)
     return J.zip_results(grid, counts, ["Country", "test"])
 
 
-SQL_ZIP_RESULTS = """
-WITH g AS (SELECT n_name AS Country, t.test FROM nation, (VALUES ('click'), ('error'), ('purchase'), ('refund')) t(test)),
+SQL_ZIP_RESULTS = f"""
+WITH g AS (SELECT n_name AS Country, t.test FROM nation, {_SQL_TESTS}),
 c AS (SELECT n_name AS Country, event_type AS test, count(*) FILTER (WHERE value >= 100.0) AS anomalies,
              count(*) FILTER (WHERE NOT value >= 100.0) AS accessible
       FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
@@ -1436,7 +1443,7 @@ def q_report(spark, d):
     c = _t(spark, d, "customer").select("c_custkey", "c_mktsegment")
     requests = _questions(spark, d).join(c, F.col("query_id") == c.c_custkey).select(
         "query_id", "user_query",
-        F.array(*[F.lit(t) for t in ("click", "error", "purchase", "refund")]).alias("test_names"),
+        _all_tests(spark, d).alias("test_names"),
         (F.col("c_mktsegment") == "BUILDING").alias("only_anomalies"), F.lit(HORIZON).alias("horizon"))
     pages = _card_pages(spark, d)
     cards = H.html_cards(H.html_elements(pages, keep_tags=H.CARD_TAGS, url="url")).join(
@@ -1455,8 +1462,115 @@ def q_report(spark, d):
     ranking = _with_country(spark, d, "supplier", "s_nationkey").join(code_of, "Country").select(
         F.col("alpha_2").alias("country"), F.col("s_suppkey").cast("int").alias("rank"),
         F.lower("s_name").alias("domain"), F.lit("telecom").alias("categories"))
+    # Fetches of the test that never occurs fail for every third nation.
+    failures = _t(spark, d, "nation").where("n_nationkey % 3 = 0").select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("alpha_2"), F.lit("refund").alias("test_name"),
+        F.concat(F.lit("http "), (F.col("n_nationkey") + 500).cast("string")).alias("reason"))
     return report_rows(requests, tables, dim, AS_OF, cards=cards, measurements=meas, metrics=metrics,
-                       ranking=ranking, threshold=ALERT_THRESHOLD, provider_columns=provider_columns)
+                       ranking=ranking, threshold=ALERT_THRESHOLD, provider_columns=provider_columns,
+                       failures=failures)
+
+
+def _sql_block(rows: str, head: str, groups: str) -> str:
+    """Blocks of 500 lines: ``rows`` has groups, title, rn and line; a title
+    heads the first block, the table's head every one."""
+    return f"""
+SELECT {groups}, CAST(floor((rn - 1) / 500) AS BIGINT) AS b,
+  CASE WHEN min(rn) = 1 THEN '### ' || any_value(title) || chr(10) ELSE '' END || {head} || chr(10)
+  || string_agg(line, chr(10) ORDER BY rn) AS text FROM ({rows}) GROUP BY ALL"""
+
+
+def _sql_head(*names: str) -> str:
+    return "'| " + " | ".join(names) + " |' || chr(10) || '|" + "---|" * len(names) + "'"
+
+
+def _sql_sections(sections) -> str:
+    return "(VALUES " + ", ".join(f"({o}, '{s}', '{h}', '{e}')" for o, s, h, e in sections) + ") s(ord, section, h, e)"
+
+
+def _sql_report(ids: str, body: str, sections) -> str:
+    """All rows of a report, from the blocks of its sections."""
+    return f"""
+SELECT i.query_id, s.ord, s.section, CAST(-1 AS BIGINT) AS block, s.h AS text FROM ({ids}) i, {_sql_sections(sections)}
+UNION ALL
+SELECT i.query_id, s.ord, s.section, coalesce(b.block, 0), coalesce(b.text, s.e)
+FROM ({ids}) i CROSS JOIN {_sql_sections(sections)}
+LEFT JOIN ({body}) b ON b.query_id = i.query_id AND b.section = s.section
+"""
+
+
+SQL_REPORT = f"""
+WITH q AS (
+  SELECT c_custkey AS query_id, n_nationkey AS k, n_name AS n, c_mktsegment = 'BUILDING' AS bad_only
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+prov AS (
+  SELECT DISTINCT n_name AS n, 'Mobile Network Operators' AS kind, s_name AS p
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION SELECT DISTINCT n_name, 'Internet Service Providers', c_mktsegment
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+sqlb AS (
+  {_sql_block("SELECT n, kind, n || ': ' || kind AS title, row_number() OVER (PARTITION BY n, kind ORDER BY p) AS rn,"
+              " '| ' || p || ' |' AS line FROM prov", _sql_head("provider"), "n, kind")}),
+card AS (
+  SELECT n_name AS n, '[' || s_name || '](https://dc.example.com/dc/s-' || s_suppkey || ')' AS name, 'Colocation' AS kind,
+    'Street ' || s_suppkey || ', ' || n_name AS a, 'https://dc.example.com/dc/s-' || s_suppkey AS link
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 0
+  UNION SELECT n_name, '[Hub ' || n_name || '](https://dc.example.com/dc/hub-' || n_nationkey || ')', 'Hub',
+    'Hub road, ' || n_name, 'https://dc.example.com/dc/hub-' || n_nationkey
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+dcl AS (
+  SELECT n, row_number() OVER (PARTITION BY n ORDER BY name, link) AS rn,
+    '| ' || name || ' | ' || kind || ' | ' || a || ' | ' || link || ' |' AS line FROM card),
+dcb AS (
+  SELECT n, CAST(floor((rn - 1) / 500) AS BIGINT) AS b, CASE WHEN min(rn) = 1
+    THEN {_sql_head("Name", "Type", "Address", "Link")} || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY rn) AS text
+  FROM dcl GROUP BY ALL),
+m AS (
+  SELECT n_name AS n, event_type AS test, value >= 100.0 AS bad FROM events JOIN customer ON user_id = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey
+  WHERE CAST(ts AS DATE) >= DATE '2024-01-16' AND CAST(ts AS DATE) < DATE '2024-01-31'),
+cnt AS (SELECT n, test, count(*) FILTER (WHERE bad) AS bad, count(*) FILTER (WHERE NOT bad) AS good FROM m GROUP BY ALL),
+t AS (
+  SELECT q.query_id, q.n, q.k, t.test, upper(t.test[1]) || t.test[2:] AS title, coalesce(bad, 0) AS bad,
+    CASE WHEN bad_only THEN 0 ELSE coalesce(good, 0) END AS good
+  FROM q CROSS JOIN {_SQL_TESTS} LEFT JOIN cnt ON cnt.n = q.n AND cnt.test = t.test),
+failed AS (SELECT * FROM t WHERE test = 'refund' AND k % 3 = 0),
+ooni AS (
+  SELECT query_id, 0 AS part, {_sql_head("Country", "Test", "Anomalies", "Accessible")} || chr(10) || string_agg(
+    '| ' || n || ' | ' || title || ' | ' || bad || ' | ' || good || ' |', chr(10) ORDER BY test) AS text
+  FROM t WHERE (query_id, test) NOT IN (SELECT (query_id, test) FROM failed) GROUP BY query_id
+  UNION ALL
+  SELECT query_id, 1, '**High-anomaly alerts**' || chr(10) || string_agg('- ' || n || ' / ' || title || ': ' ||
+    printf('%.2f%%', round(100.0 * bad / (bad + good), 2)) || ' anomalies', chr(10) ORDER BY test)
+  FROM t WHERE bad + good > 0 AND CAST(bad AS DOUBLE) / (bad + good) > {ALERT_THRESHOLD} GROUP BY query_id
+  UNION ALL
+  SELECT query_id, 2, '**Failed fetches**' || chr(10) || '- ' || n || ' / ' || title || ': http ' || (500 + k) FROM failed),
+seg AS (
+  SELECT n_name AS n, c_mktsegment AS c, count(*) / sum(count(*)) OVER (PARTITION BY n_name) AS share
+  FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, c_mktsegment),
+met AS (
+  SELECT n, '| Segment Share | ' || n || ' |' || chr(10) || '|---|---|' || chr(10) || string_agg(
+    '| ' || c || ' | ' || printf('%.2f%%', round(share * 100, 2)) || ' |', chr(10) ORDER BY share DESC, c) AS text
+  FROM seg GROUP BY n),
+rk AS (
+  SELECT n_name AS n, s_suppkey AS r, lower(s_name) AS dom,
+    row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey, lower(s_name)) AS rn
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey QUALIFY rn <= 20),
+dom AS (
+  SELECT n, '### ' || n || ': top domains' || chr(10) || {_sql_head("Rank", "Domain", "Categories")} || chr(10) ||
+    string_agg('| ' || r || ' | ' || dom || ' | telecom |', chr(10) ORDER BY rn) AS text FROM rk GROUP BY n),
+parts AS (
+  SELECT query_id, 'sql' AS section, kind AS part, b, text FROM q JOIN sqlb USING (n)
+  UNION ALL SELECT query_id, 'dc', '0', 0, 'Total data centers: ' || (SELECT count(*) FROM card WHERE card.n = q.n) FROM q
+  UNION ALL SELECT query_id, 'dc', '1', b, text FROM q JOIN dcb USING (n)
+  UNION ALL SELECT query_id, 'ooni', CAST(part AS VARCHAR), 0, text FROM ooni
+  UNION ALL SELECT query_id, 'radar', '0', 0, text FROM q JOIN met USING (n)
+  UNION ALL SELECT query_id, 'radar', '1', 0, text FROM q JOIN dom USING (n)),
+body AS (
+  SELECT query_id, section, row_number() OVER (PARTITION BY query_id, section ORDER BY part, b) - 1 AS block, text
+  FROM parts)
+{_sql_report("SELECT query_id FROM q", "SELECT * FROM body", K.SECTIONS)}
+"""
 
 
 def q_table_report(spark, d):
@@ -1470,10 +1584,111 @@ def q_table_report(spark, d):
     return table_report_rows(requests, [("nations", nat), ("suppliers", sup), ("customers", cus)])
 
 
-# ---------------------------------------------------------------- report piece with an oracle
+def _sql_listing(name: str, source: str, cols: tuple[str, ...], order: int) -> str:
+    line = " || ' | ' || ".join(cols)
+    return f"SELECT n, {order} AS src, b, text FROM (" + _sql_block(
+        f"SELECT n_name AS n, '{name}: ' || n_name AS title, row_number() OVER (PARTITION BY n_name ORDER BY "
+        f"{', '.join(cols)}) AS rn, '| ' || {line} || ' |' AS line FROM {source}", _sql_head(*cols), "n") + ")"
 
-_TESTS = ("click", "error", "purchase", "refund")
 
+_SQL_STORED = {
+    "nations": ("nation", ("n_nationkey",)),
+    "suppliers": ("supplier JOIN nation ON s_nationkey = n_nationkey", ("s_suppkey", "s_name")),
+    "customers": ("customer JOIN nation ON c_nationkey = n_nationkey", ("c_custkey", "c_mktsegment")),
+}
+
+
+def _sql_table_report() -> str:
+    from commsight.plans.report import TABLE_SECTIONS
+
+    counts = " UNION ALL ".join(f"SELECT n_name AS n, '{k}' AS src, count(*) AS c FROM {t} GROUP BY 1"
+                                for k, (t, _) in _SQL_STORED.items())
+    listings = " UNION ALL ".join(_sql_listing(k, t, cols, i) for i, (k, (t, cols)) in enumerate(_SQL_STORED.items()))
+    has = {k: f"CAST(coalesce(max(1) FILTER (WHERE src = '{k}'), 0) AS VARCHAR)" for k in _SQL_STORED}
+    return f"""
+WITH q AS (SELECT c_custkey AS query_id, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey),
+cnt AS ({counts}),
+lst AS ({listings}),
+cov AS (
+  SELECT n, {_sql_head("Country", *_SQL_STORED, "n_sources")} || chr(10) || '| ' || n || ' | ' ||
+    {" || ' | ' || ".join(has.values())} || ' | ' || count(DISTINCT src) || ' |' AS text FROM cnt GROUP BY n),
+parts AS (
+  SELECT query_id, 'summary' AS section, 0 AS part, '' AS src, 0 AS b, 'Total rows: ' || sum(c) || ' across 1 countries' AS text
+  FROM q JOIN cnt USING (n) GROUP BY query_id
+  UNION ALL SELECT query_id, 'summary', 1, src, 0, '- ' || src || ': ' || c || ' rows, 1 countries' FROM q JOIN cnt USING (n)
+  UNION ALL SELECT query_id, 'tables', src, '', b, text FROM q JOIN lst USING (n)
+  UNION ALL SELECT query_id, 'insights', 0, '', 0, text FROM q JOIN cov USING (n)),
+body AS (
+  SELECT query_id, section, row_number() OVER (PARTITION BY query_id, section ORDER BY part, src, b) - 1 AS block, text
+  FROM parts)
+{_sql_report("SELECT query_id FROM q", "SELECT * FROM body", TABLE_SECTIONS)}
+"""
+
+
+SQL_TABLE_REPORT = _sql_table_report()
+
+
+# ---------------------------------------------------------------- A7 per question, J6 + S12 outcomes
+
+def q_pivot_by_question(spark, d):
+    """A7 with each question's own columns: questions name one region or two,
+    the columns are its nations, the rows market segments."""
+    n = _t(spark, d, "nation")
+    c = _t(spark, d, "customer")
+    shares = c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_regionkey", "n_name", "c_mktsegment").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("c_acctbal").alias("bal"))
+    asked = c.select("c_custkey", F.explode(F.array_distinct(F.array(
+        F.col("c_custkey") % 5, (F.col("c_custkey") * 3) % 5))).alias("__r"))
+    cells = asked.join(shares, F.col("__r") == F.col("n_regionkey")).select(
+        "c_custkey", F.lit("segments").alias("metric"), "c_mktsegment", "n_name", F.col("n").cast("string").alias("cell"),
+        F.col("n").alias("order"))
+    out = A.pivot_by_group(cells, ["c_custkey"], "metric", "c_mktsegment", "n_name", "cell", "order")
+    return out.select("c_custkey", "c_mktsegment", "position", F.array_join("columns", ",").alias("columns"),
+                      F.array_join("cells", ",").alias("cells"))
+
+
+SQL_PIVOT_BY_QUESTION = """
+WITH s AS (
+  SELECT n_regionkey AS r, n_name, c_mktsegment AS seg, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey
+  GROUP BY ALL),
+a AS (SELECT c_custkey, c_custkey % 5 AS r FROM customer UNION SELECT c_custkey, (c_custkey * 3) % 5 FROM customer),
+c AS (SELECT c_custkey, n_name, seg, n FROM a JOIN s USING (r)),
+cols AS (SELECT DISTINCT c_custkey, n_name FROM c),
+rws AS (SELECT c_custkey, seg, max(n) AS o FROM c GROUP BY ALL)
+SELECT rws.c_custkey, seg AS c_mktsegment, any_value(position) AS position, string_agg(n_name, ',' ORDER BY n_name) AS columns,
+       string_agg(coalesce(CAST(n AS VARCHAR), ''), ',' ORDER BY n_name) AS cells
+FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY o DESC, seg) AS position FROM rws) rws
+JOIN cols USING (c_custkey) LEFT JOIN c USING (c_custkey, seg, n_name) GROUP BY rws.c_custkey, seg
+"""
+
+
+def q_fetch_outcomes(spark, d):
+    """J6 + S12: per nation and test the counts, or that there were none, or
+    that the fetch failed and why; a failure beside rows is not told."""
+    grid = _t(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("Country"),
+                                         F.explode(_all_tests(spark, d)).alias("test"))
+    ev = _user_country_events(spark, d).withColumnRenamed("event_type", "test")
+    counts = A.status_counts(ev, ["Country", "test"], F.col("value") >= 100.0)
+    failures = grid.where((F.col("n_nationkey") + F.length("test")) % 4 == 0).select("Country", "test", F.concat_ws(
+        " ", F.lit("http"), (F.length("test") + 500).cast("string")).alias("reason"))
+    return J.zip_outcomes(grid, counts, failures, ["Country", "test"])
+
+
+SQL_FETCH_OUTCOMES = f"""
+WITH g AS (SELECT n_nationkey, n_name AS Country, t.test FROM nation, {_SQL_TESTS}),
+c AS (SELECT n_name AS Country, event_type AS test, count(*) FILTER (WHERE value >= 100.0) AS anomalies,
+             count(*) FILTER (WHERE NOT value >= 100.0) AS accessible
+      FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey
+      GROUP BY ALL),
+j AS (SELECT g.*, c.anomalies, c.accessible, (n_nationkey + length(g.test)) % 4 = 0 AS bad FROM g LEFT JOIN c USING (Country, test))
+SELECT n_nationkey, Country, test, anomalies, accessible,
+       CASE WHEN anomalies IS NULL AND bad THEN 'http ' || (500 + length(test)) END AS reason,
+       CASE WHEN anomalies IS NOT NULL THEN 'rows' WHEN bad THEN 'failed' ELSE 'empty' END AS outcome
+FROM j
+"""
+
+
+# ---------------------------------------------------------------- report piece with an oracle
 
 def q_question_test_counts(spark, d):
     """The report's measurement counts per (question, country, test): E1
@@ -1483,7 +1698,7 @@ def q_question_test_counts(spark, d):
 
     c = _t(spark, d, "customer").select("c_custkey", "c_mktsegment")
     requests = _questions(spark, d).join(c, F.col("query_id") == c.c_custkey).select(
-        "query_id", "user_query", F.array(*[F.lit(t) for t in _TESTS]).alias("test_names"),
+        "query_id", "user_query", _all_tests(spark, d).alias("test_names"),
         (F.col("c_mktsegment") == "BUILDING").alias("only_anomalies"), F.lit(HORIZON).alias("horizon"))
     nat = _t(spark, d, "nation").select(F.col("n_name").alias("Country"))
     selection = selection_for(requests, [("nations", nat)])
@@ -1506,7 +1721,7 @@ WITH q AS (
 sel AS (
   SELECT DISTINCT q.query_id, q.only_anomalies, v.n_name AS Country FROM q JOIN nation v
   ON contains(' ' || {_norm('q.user_query')} || ' ', ' ' || {_norm('v.n_name')} || ' ')),
-grid AS (SELECT sel.*, t.test FROM sel, (VALUES {', '.join(f"('{t}')" for t in _TESTS)}) t(test)),
+grid AS (SELECT sel.*, t.test FROM sel, {_SQL_TESTS}),
 m AS (
   SELECT n.n_name AS Country, e.event_type AS test, CAST(e.ts AS DATE) AS day, e.value >= 100.0 AS anomaly
   FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey)
@@ -1674,6 +1889,8 @@ QUERIES = {
     "sort_by_country": (q_sort_by_country, SQL_SORT_BY_COUNTRY),
     "union_sources": (q_union_sources, SQL_UNION_SOURCES),
     "table_payload": (q_table_payload, SQL_TABLE_PAYLOAD),
+    "pivot_by_question": (q_pivot_by_question, SQL_PIVOT_BY_QUESTION),
+    "fetch_outcomes": (q_fetch_outcomes, SQL_FETCH_OUTCOMES),
     "table_versions": (q_table_versions, SQL_TABLE_VERSIONS),
     "last_token": (q_last_token, SQL_LAST_TOKEN),
     "filter_by_country_key": (q_filter_by_country_key, SQL_FILTER_BY_COUNTRY_KEY),
@@ -1704,6 +1921,6 @@ QUERIES = {
     "question_dc_totals": (q_question_dc_totals, SQL_QUESTION_DC_TOTALS),
     "question_top_domains": (q_question_top_domains, SQL_QUESTION_TOP_DOMAINS),
     "question_metric_shares": (q_question_metric_shares, SQL_QUESTION_METRIC_SHARES),
-    "report": (q_report, None),
-    "table_report": (q_table_report, None),
+    "report": (q_report, SQL_REPORT),
+    "table_report": (q_table_report, SQL_TABLE_REPORT),
 }
