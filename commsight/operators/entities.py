@@ -27,19 +27,6 @@ from commsight.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 from commsight.session import materialize, spread
 
 
-def _grams(w: Column, n: int) -> Column:
-    """All contiguous ``n``-word phrases of the word array ``w``.
-
-    Built from ``n`` shifted slices zipped together, so the lambda only sees
-    the zipped struct: the word array is computed a fixed number of times
-    per text, not once per position.
-    """
-    m = F.size(w) - n + 1
-    zipped = F.arrays_zip(*[F.slice(w, k + 1, F.greatest(m, F.lit(0))).alias(f"w{k}") for k in range(n)])
-    joined = F.transform(zipped, lambda x: F.concat_ws(" ", *[x[f"w{k}"] for k in range(n)]))
-    return F.when(m >= 1, joined).otherwise(F.array().cast("array<string>"))
-
-
 def entity_keys(values: DataFrame, value_col: str, aliases: DataFrame | None = None,
                 alias_col: str = "alias", canonical_col: str = "canonical") -> DataFrame:
     """(key, n_words, value) for every value and every alias of a present value."""
@@ -98,14 +85,20 @@ def phrase_spans(questions: DataFrame, phrases: DataFrame, query_id: str = "quer
         F.count(F.lit(1)).alias("keys"), F.max("n_words").alias("longest")).collect()
     if not stats:
         return _empty(questions, query_id, "start int, end int, key string")
+    firsts = heads.select(F.substring_index("__head", " ", 1).alias("__first")).distinct()
     if sum(r["keys"] for r in stats) <= DEFAULT_BROADCAST_ROWS:
-        heads = F.broadcast(heads)
-    # Tokenise once into a column; every n-gram length reads that column.
+        heads, firsts = F.broadcast(heads), F.broadcast(firsts)
+    # Tokenise once; a word that no phrase starts with goes no further.
     q = spread(questions.select(query_id, text_col)).select(
         query_id, F.xxhash64(query_id, text_col).alias("__t"), words(text_col).alias("__w"))
-    grams = F.flatten(F.array(*[F.transform(_grams(F.col("__w"), r["n"]), lambda g, i: F.struct(
-        i.alias("start"), g.alias("__head"))) for r in sorted(stats, key=lambda r: r["n"])]))
-    hits = q.select(query_id, "__t", F.inline(grams)).join(heads, "__head").drop("__head")
+    n = F.greatest(F.size("__w"), F.lit(1))
+    ahead = F.arrays_zip(*[F.slice("__w", k + 1, n).alias(f"__{k}") for k in range(HEAD_WORDS)])
+    at = q.select(query_id, "__t", F.posexplode(ahead).alias("start", "__a")).select(query_id, "__t", "start", "__a.*")
+    at = at.join(firsts, F.col("__0") == F.col("__first"), "left_semi")
+    # (A head that the text's end cuts off is null and joins nothing.)
+    grams = [F.concat(*[x for k in range(r["n"]) for x in ([F.lit(" ")] if k else []) + [F.col(f"__{k}")]])
+             for r in sorted(stats, key=lambda r: r["n"])]
+    hits = at.select(query_id, "__t", "start", F.explode(F.array(*grams)).alias("__head")).join(heads, "__head").drop("__head")
     if max(r["longest"] for r in stats) > HEAD_WORDS:
         short, long = hits.where(F.col("n_words") <= HEAD_WORDS), hits.where(F.col("n_words") > HEAD_WORDS)
         texts = q.select(F.col("__t").alias("__q"), "__w").dropDuplicates(["__q"])

@@ -469,7 +469,7 @@ FROM (SELECT *, CASE WHEN value >= 35.0 THEN event_type ELSE '' END AS cell FROM
 
 
 def q_forward_fill_global(spark, d):
-    ff = forward_fill(_cells(spark, d, 60.0), "cell", ["event_id"], keys=[], width="500 rows", out="filled")
+    ff = forward_fill(_cells(spark, d, 60.0), "cell", ["event_id"], keys=[], width="3000 rows", out="filled")
     return ff.select("event_id", "filled")
 
 
@@ -571,7 +571,7 @@ FROM ({_SQL_COUNTS})
 
 def q_every_other_row(spark, d):
     ev = _t(spark, d, "events").select("event_id", "user_id", "ts")
-    return R.every_other_row(ev, ["user_id"], ["ts", "event_id"], width="2000 rows", keep_rn="rn") \
+    return R.every_other_row(ev, ["user_id"], ["ts", "event_id"], width="4000 rows", keep_rn="rn") \
         .select("event_id", "user_id", "rn")
 
 
