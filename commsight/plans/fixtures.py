@@ -132,6 +132,56 @@ SELECT sel.query_id, sel.Country, prov.kind, prov.provider FROM sel JOIN prov ON
 """
 
 
+# ---------------------------------------------------------------- the same answers, in factors
+
+def _factored(spark, d):
+    from commsight.operators.factored import factorise
+
+    nation = _t(spark, d, "nation").select(F.col("n_name").alias("Country"))
+    selection = E.match_entities(_questions(spark, d), nation, "Country", "query_id", "user_query")
+    prov = A.providers_by_country([("supplier", _with_country(spark, d, "supplier", "s_nationkey"), "Country", "s_name"),
+                                   ("segment", _with_country(spark, d, "customer", "c_nationkey"), "Country", "c_mktsegment")])
+    return factorise(selection, prov)
+
+
+def q_provider_blocks(spark, d):
+    """A4 in factors: each country's providers once, with how many questions
+    refer to them."""
+    return _factored(spark, d).blocks.select("Country", "kind", "provider", "n_refs")
+
+
+SQL_PROVIDER_BLOCKS = """
+WITH refs AS (SELECT n_name AS Country, count(*) AS n_refs FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
+prov AS (
+  SELECT DISTINCT n_name AS Country, 'supplier' AS kind, s_name AS provider FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION SELECT DISTINCT n_name, 'segment', c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT Country, kind, provider, n_refs FROM prov JOIN refs USING (Country)
+"""
+
+
+def q_factored_answers(spark, d):
+    """A4 in factors, stored and read back: how many providers of each kind a
+    reader gets for each question."""
+    from commsight.operators.factored import expand, read_factored, write_factored
+    from commsight.session import staging_path
+
+    path = staging_path(spark, "factored")
+    write_factored(_factored(spark, d), path)
+    asked = _t(spark, d, "customer").select(F.col("c_custkey").alias("query_id"))
+    got = expand(read_factored(spark, path), questions=asked)
+    return got.groupBy("query_id", "Country", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("provider").alias("first"))
+
+
+SQL_FACTORED_ANSWERS = """
+WITH prov AS (
+  SELECT DISTINCT n_name AS Country, 'supplier' AS kind, s_name AS provider FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION SELECT DISTINCT n_name, 'segment', c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey),
+per AS (SELECT Country, kind, count(*) AS n, min(provider) AS first FROM prov GROUP BY ALL)
+SELECT c_custkey AS query_id, Country, kind, n, first FROM customer JOIN nation ON c_nationkey = n_nationkey
+JOIN per ON Country = n_name
+"""
+
+
 # ---------------------------------------------------------------- E1 on whole documents
 
 def _phrases(spark, d) -> DataFrame:
@@ -1891,6 +1941,8 @@ QUERIES = {
     "table_payload": (q_table_payload, SQL_TABLE_PAYLOAD),
     "pivot_by_question": (q_pivot_by_question, SQL_PIVOT_BY_QUESTION),
     "fetch_outcomes": (q_fetch_outcomes, SQL_FETCH_OUTCOMES),
+    "provider_blocks": (q_provider_blocks, SQL_PROVIDER_BLOCKS),
+    "factored_answers": (q_factored_answers, SQL_FACTORED_ANSWERS),
     "table_versions": (q_table_versions, SQL_TABLE_VERSIONS),
     "last_token": (q_last_token, SQL_LAST_TOKEN),
     "filter_by_country_key": (q_filter_by_country_key, SQL_FILTER_BY_COUNTRY_KEY),

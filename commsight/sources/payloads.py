@@ -92,6 +92,10 @@ def _variant(body: str) -> Column:
     return F.try_parse_json(F.col(body))
 
 
+def _succeeded(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$.success", "boolean"), F.lit(False))
+
+
 def parse_summary(payloads: DataFrame, body: str = "body",
                   keys: Sequence[str] = ("country", "metric")) -> DataFrame:
     """``result.summary_0`` in either shape -> long rows.
@@ -137,13 +141,14 @@ def parse_ranking(payloads: DataFrame, body: str = "body",
     The list is ``result.top`` unless that is null or empty, else
     ``result.top_0``.  Category names are joined with ``', '``.  An entry
     without a rank goes to ``rejected`` (the reference crashed mid-section).
+    Payloads whose ``success`` is not true give no rows.
     """
     keys = list(keys)
     v = _variant(body)
     top = F.try_variant_get(v, "$.result.top", "array<variant>")
     top0 = F.try_variant_get(v, "$.result.top_0", "array<variant>")
     lst = F.when(F.size(top) > 0, top).otherwise(top0)
-    items = spread(payloads).select(*keys, F.posexplode(lst).alias("pos", "__i"))
+    items = spread(payloads).where(_succeeded(v)).select(*keys, F.posexplode(lst).alias("pos", "__i"))
     cats = F.coalesce(F.try_variant_get("__i", "$.categories", "array<variant>"), F.array())
     names = F.transform(cats, lambda c: F.coalesce(F.try_variant_get(c, "$.name", "string"), F.lit("")))
     rows = items.select(
@@ -167,6 +172,9 @@ def unknown_shape_dump(payloads: DataFrame, body: str = "body", metric: str = "m
     * the ranking metric without a usable ``top``/``top_0`` list;
     * any other metric without ``summary_0``: its ``top`` if it has one, else
       the whole result.
+
+    Payloads whose ``success`` is not true are failures, not shapes: they are
+    left to ``split_ok_rejected``.
     """
     keys = list(keys)
     v = _variant(body)
@@ -183,7 +191,7 @@ def unknown_shape_dump(payloads: DataFrame, body: str = "body", metric: str = "m
     other_top = F.try_variant_get(v, "$.result.top", "variant")
     dumped = (F.when(has_s, F.to_json(s)).when(~is_rank & other_top.isNotNull(), F.to_json(other_top))
               .otherwise(F.to_json(res)))
-    return spread(payloads).where(v.isNotNull() & unknown).select(*keys, dumped.alias("raw"))
+    return spread(payloads).where(v.isNotNull() & _succeeded(v) & unknown).select(*keys, dumped.alias("raw"))
 
 
 def request_grid(selection: DataFrame, requests: DataFrame, countries: DataFrame,
