@@ -14,6 +14,7 @@ No window is padded but the last.
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
 import os
 import struct
@@ -21,11 +22,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, read, ready, texts_of
+from .common import bounded, materialize, read, ready
 
 #: Distinct white-space-separated chunks, and words in them, whose ids a task
 #: remembers; then it starts anew.
@@ -91,13 +93,29 @@ class Chunks:
         """Ids as little-endian bytes."""
         return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Packed ids of each text (null: empty).
+
+        Arrow splits the texts, numbers their distinct chunks and lines up the
+        chunks' ids; only the distinct ones are looked up here.  A text's ids
+        are then one slice of all."""
         if len(self.memo) > MEMO:
             self.memo = _Memo(self.chunk)
         if len(self.words) > WORDS:
             self.words = {}
-        get = self.memo.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+        column = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(
+            pa.large_string()), "")
+        split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        numbered = split.flatten().dictionary_encode()
+        made = pa.array(map(self.memo.__getitem__, numbered.dictionary.to_pylist()), pa.large_binary(),
+                        size=len(numbered.dictionary))
+        lined = made.take(numbered.indices)
+        if not len(lined):
+            return [b""] * len(column)
+        ends = np.frombuffer(lined.buffers()[1], np.int64)[lined.offset:lined.offset + len(lined) + 1]
+        whole = memoryview(lined.buffers()[2] or b"")
+        at = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [bytes(whole[a:b]) for a, b in itertools.pairwise(at)]
 
 
 class _Memo(dict):
@@ -215,7 +233,7 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         c, part, used = chunks(path), TaskContext.get().partitionId(), {}
         end = b"" if end_id is None else np.array([end_id], c.kind).tobytes()
         for b in batches:
-            ids = [i + end for i in c.ids(texts_of(b.column(1)))]
+            ids = [i + end for i in c.ids(b.column(1))]
             sources = b.column(2).to_pylist()
             starts = []
             for s, i in zip(sources, ids, strict=True):
