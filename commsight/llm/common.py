@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from functools import lru_cache
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from commsight.session import materialize, ship_package
 
-__all__ = ["ready", "read", "fold", "materialize", "bounded", "ByteHash", "mix64", "texts_of", "annotate", "lowest"]
+__all__ = ["ready", "read", "give_back", "fold", "materialize", "bounded", "ByteHash", "mix64", "texts_of", "annotate", "lowest"]
 
 # Arrow batches to Python hold at most so many rows and bytes, whichever comes
 # first; one longer text is a batch of its own.
@@ -108,9 +110,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(base), np.cumprod(inv)
 
 
-def annotate(docs: DataFrame, text_col: str, fields: str, fn) -> DataFrame:
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive tasks and
+    stages, and the next stage's executor counts what they still hold."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def annotate(docs: DataFrame, text_col: str, fields: str, fn, done=None) -> DataFrame:
     """(row struct of all columns of ``docs``, then ``fields``): ``fn`` maps a
-    list of texts (null read as empty) to one Arrow array per field.  Rows
+    list of texts (null read as empty) to one Arrow array per field; ``done``
+    is called at the end of a task, to forget what it has remembered.  Rows
     keep their columns whatever their names, and repeats stay repeats."""
     ready(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
@@ -118,7 +130,12 @@ def annotate(docs: DataFrame, text_col: str, fields: str, fn) -> DataFrame:
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), *fn(texts_of(b.column(1)))], names=["row", *names])
+        try:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), *fn(texts_of(b.column(1)))], names=["row", *names])
+        finally:
+            if done:
+                done()
+                give_back()
 
     return rows.mapInArrow(run, f"row {docs.schema.simpleString()}, {fields}")

@@ -27,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, read, ready
+from .common import bounded, give_back, materialize, read, ready
 
 #: Distinct white-space-separated chunks, and words in them, whose ids a task
 #: remembers; then it starts anew.
 MEMO, WORDS = 300_000, 500_000
 MEMO_CHARS = 64
-#: With more sources than this, sources share this many queues (by hash), so
-#: that a plan of the mixture stays small.
+#: With more sources than this, sources without a target share this many queues
+#: (by hash), so that a plan of the mixture stays small.
 MAX_QUEUES = 1024
 #: Rows of partial sums (partition x queue) up to which they are broadcast.
 BROADCAST_ROWS = 200_000
@@ -244,6 +244,7 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                  pa.array(starts, pa.int64()), pa.array([len(i) // c.kind.itemsize for i in ids], pa.int64()),
                  pa.array(ids, pa.binary())], names=["id", "source", "part", "start", "n", "ids"])
         chunks(path).forget()
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
@@ -275,22 +276,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     sources = staged.select("source").distinct()
     many = sources.limit(MAX_QUEUES + 1).count() > MAX_QUEUES
+    wanted = {"s" + k if k is not None else "": v for k, v in (targets or {}).items()}
     queue = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
-    if many:
-        queue = F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string")
+    if many:  # a source with a target keeps a queue of its own
+        queue = F.when(queue.isin(list(wanted)), queue).otherwise(
+            F.concat(F.lit("h"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string")))
     sums = staged.groupBy("source", "part").agg(F.sum("n").alias("tokens"), F.first(queue).alias("queue"))
     ahead = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialize(sums.select("source", "part", "queue", "tokens", F.coalesce(
         F.sum("tokens").over(ahead), F.lit(0)).alias("base")), "bases")
-    # One row per queue, at most MAX_QUEUES.
+    # One row per queue: at most MAX_QUEUES and one per target.
     totals = sorted((r["queue"], r["t"]) for r in bases.groupBy("queue").agg(
         F.sum("tokens").alias("t")).collect() if r["t"])
     names = [q for q, _ in totals]
-    wanted = {"s" + k if k is not None else "": v for k, v in (targets or {}).items()}
     unit = 1 << 20
     named = sum(t for q, t in totals if q in wanted)
     share = sum(v for k, v in wanted.items() if k in names) or 1
-    weights = [max(1, round(wanted[q] / share * named * unit)) if q in wanted and not many else t * unit
+    weights = [max(1, round(wanted[q] / share * named * unit)) if q in wanted else t * unit
                for q, t in totals]
     if not targets:
         weights = [t for _, t in totals]

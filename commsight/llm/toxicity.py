@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, fold, lowest, read, ready, texts_of
+from .common import annotate, fold, give_back, lowest, read, ready, texts_of
 
 #: Labelled documents that evidence and calibration learn from, at most.
 SAMPLE = {1: 4000, 0: 16000}
@@ -324,6 +324,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
                         seen.update(set().union(*map(memo.__getitem__, own)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["f", "n"])
+                seen, memo = Counter(), {}
+                give_back()
             return run
 
         # Features of at least LEAST_DOCS of the sampled toxic documents.
@@ -347,6 +349,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
             for b in batches:
                 got = [shipped.value.sums(t) for t in texts_of(b.column(1))]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.float64()))], names=["y", "x"])
+            shipped.value.memo.clear()
 
         got = rows.where("late").select("y", "text").mapInArrow(sums, "y int, x array<double>").collect()
         model.weights = _logistic(np.array([r["x"] for r in got]).reshape(-1, 4), np.array([r["y"] for r in got]))
@@ -361,7 +364,7 @@ def annotated(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
     each give a row, equal texts equal scores."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     return annotate(docs, text_col, "score double", lambda texts: [
-        pa.array(list(map(shipped.value.score, texts)), pa.float64())])
+        pa.array(list(map(shipped.value.score, texts)), pa.float64())], lambda: shipped.value.memo.clear())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
