@@ -19,8 +19,8 @@ def test_no_cartesian_products(spark, name):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
-def test_every_query_has_an_oracle_or_is_a_report_plan():
-    assert set(fixtures.QUERIES) - set(entry.oracle_sql()) == {"report", "table_report"}
+def test_every_query_has_an_oracle():
+    assert set(fixtures.QUERIES) - set(entry.oracle_sql()) == set()
 
 
 def test_partial_aggregation_before_shuffle(spark):
