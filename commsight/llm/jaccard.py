@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ByteHash, bounded, materialize, mix64, read, ready, texts_of
+from .common import ByteHash, bounded, give_back, materialize, mix64, read, ready, texts_of
 from .components import components
 
 #: A token that more groups hold is frequent: it goes to the end of the order.
@@ -32,7 +32,7 @@ REFINE = 3
 #: Seeds of the hash orders whose least hashes put similar documents together.
 SEEDS = 4
 #: Bytes of text that are hashed at once (a longer text at once by itself).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Rows of ids or tokens up to which a side is broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Frequent tokens (the most frequent first) that the order may move back;
@@ -110,6 +110,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(texts_of(part.column(1)), words)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "tokens"])
+        give_back()
 
     return docs.select("id", "text").mapInArrow(run, "id long, tokens binary")
 
@@ -137,6 +138,7 @@ def _summaries(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                      pa.array([s[:prefix_size(len(s), num, den)] if len(s) else s for s in sets],
                               pa.list_(pa.int64()))],
                     names=["id", "n", "key", "minima", "prefix"])
+        give_back()
 
     return docs.select("id", "text").mapInArrow(
         run, "id long, n long, key binary, minima array<long>, prefix array<long>")
@@ -175,13 +177,49 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space separates, A-Z lower-cased; a text of fewer words than a shingle is
     one shingle; a null or blank text has no shingle and no link, its component
     is its own id.  A row without id takes the component of an equal text that
-    has one, else null.  Repeated rows each give a row; an empty table gives
-    none; other columns are ignored.  Sets are compared as 64-bit hashes.
+    has one, else null.  Repeated rows each give a row, and so does every text
+    of an id that several texts share: each has its own set, links and
+    component.  An empty table gives none; other columns are ignored.  Sets are
+    compared as 64-bit hashes.
     """
+    ready(docs.sparkSession)
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if not ids_clash(named, "id", "text"):
+        out = _joined(named, words, threshold)
+    else:
+        # Every row goes by a number of its own; ids are its label.
+        rows = numbered(named)
+        plain = rows.select(F.when(F.col("row.id").isNotNull(), F.col("number")).alias("id"), "row.text")
+        found = materialize(_joined(plain, words, threshold), "rows")
+        own = rows.select("number", F.col("row.id").alias("label"))
+        found = found.join(own, F.col("id") == F.col("number"), "left")
+        least = found.where("label IS NOT NULL").groupBy(F.col("component").alias("c")).agg(F.min("label").alias("least"))
+        out = found.join(least, F.col("component") == F.col("c"), "left").select(
+            F.col("label").alias("id"), "n", F.col("least").alias("component"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                      F.col("component").alias("component_id"))
+
+
+def ids_clash(docs: DataFrame, id_col: str, text_col: str) -> bool:
+    """Whether an id of ``docs`` stands for different texts (null and empty
+    are the same)."""
+    h = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    found = docs.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("i")).agg(
+        F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi")
+    return found.limit(1).count() > 0
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row: all columns of ``docs``, number long), written once, so that a
+    row keeps its number."""
+    return materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                                   F.monotonically_increasing_id().alias("number")), "numbered")
+
+
+def _joined(docs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """(id, n, component) of ``docs`` (id, text), whose ids each stand for one
+    text."""
     num, den = threshold
-    spark = docs.sparkSession
-    ready(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = materialize(_summaries(docs, words, num, den), "summaries")
     # Equal sets are one class; its smallest id stands for it from here on.
     classes = materialize(rows.where("key IS NOT NULL").groupBy("key").agg(
@@ -205,12 +243,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.join(bounded(roots, BROADCAST_ROWS), F.col("rep") == F.col("node"), "left").select(
         F.col("key").alias("k"), F.coalesce("root", "rep").alias("c"))
     return rows.select("id", "n", "key").join(named, F.col("key") == F.col("k"), "left").select(
-        F.col("id").cast(_kind(docs)).alias(id_col), F.col("n").alias("n_shingles"),
-        F.coalesce("c", "id").alias("component_id"))
-
-
-def _kind(docs: DataFrame) -> str:
-    return docs.schema["id"].dataType.simpleString()
+        "id", "n", F.coalesce("c", "id").alias("component"))
 
 
 def _sizes_fit(n: str, m: str, num: int, den: int):
@@ -233,7 +266,7 @@ def _matrix(reps, groups, docs, words, num, den) -> DataFrame:
         "id", F.coalesce("root", "id").alias("grp"), "n", F.explode("prefix").alias("token"))
     known = materialize(_shared(index), "shared")
     cells = materialize(index.join(bounded(known, BROADCAST_ROWS), "token", "left_semi"), "cells")
-    moved = np.empty(0, np.int64)
+    moved, stored = np.empty(0, np.int64), None
     for _ in range(REFINE):
         held = cells.select("token", "grp").distinct().groupBy("token").agg(F.count("*").alias("held")).where(
             F.col("held") > FREQUENT)
@@ -244,10 +277,27 @@ def _matrix(reps, groups, docs, words, num, den) -> DataFrame:
         new = np.sort(new.to_numpy(np.int64))
         if not len(new):
             break
+        touched = materialize(cells.join(F.broadcast(_column(spark, new)), "token", "left_semi").select(
+            "id", "grp", "n").distinct(), "touched")
+        # Where one token of a passage is frequent its others mostly are, too:
+        # all tokens of the documents touched are counted, so that the passage
+        # moves back at once and not a prefix a round.
+        unstored = touched.select("id") if stored is None else touched.select("id").join(stored, "id", "left_anti")
+        more = materialize(_sets(docs.join(bounded(unstored, BROADCAST_ROWS), "id", "left_semi"), words)
+                           .dropDuplicates(["id"]), "sets")
+        stored = more if stored is None else stored.unionAll(more)
+        ahead = _often(touched.join(stored, "id")).join(F.broadcast(_column(spark, np.concatenate((moved, new)))),
+                                                        "token", "left_anti")
+        ahead = ahead.orderBy(F.desc("held"), "token").limit(MOVED - len(moved) - len(new)).select("token").toPandas()
+        new = np.sort(np.concatenate((new, ahead["token"].to_numpy(np.int64))))
         late = F.broadcast(_column(spark, new))
+        # Documents that the tokens ahead touch besides have them in front.
         touched = materialize(cells.join(late, "token", "left_semi").select("id", "grp", "n").distinct(), "touched")
+        unstored = touched.select("id").join(stored, "id", "left_anti")
+        stored = stored.unionAll(materialize(_sets(docs.join(bounded(unstored, BROADCAST_ROWS), "id", "left_semi"),
+                                                   words).dropDuplicates(["id"]), "sets"))
         now = np.sort(np.concatenate((moved, new)))
-        fresh = materialize(_reordered(touched, moved, now, docs, words, num, den), "fresh")
+        fresh = materialize(_reordered(touched.join(stored, "id"), moved, now, num, den), "fresh")
         # What other documents hold of tokens that are new to the matrix.
         unseen = materialize(fresh.select("token").distinct().join(known, "token", "left_anti"), "unseen")
         others = index.join(bounded(unseen, 2 * BROADCAST_ROWS), "token", "left_semi")
@@ -287,12 +337,46 @@ def _in_order(s: np.ndarray, late: np.ndarray) -> np.ndarray:
     return np.concatenate((s[~back], s[back]))
 
 
-def _reordered(touched: DataFrame, before: np.ndarray, now: np.ndarray, docs: DataFrame, words,
-               num, den) -> DataFrame:
-    """What the index tokens of the ``touched`` documents gain, and which of
-    the tokens moved back they keep, as the tokens in ``now`` instead of those
-    in ``before`` come last."""
-    shared = docs.sparkSession.sparkContext.broadcast((before, now))
+def _member(s: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of ``s`` stand in ``of`` (sorted)."""
+    if not len(of):
+        return np.zeros(len(s), bool)
+    return of[np.minimum(np.searchsorted(of, s), len(of) - 1)] == s
+
+
+def _often(sets: DataFrame) -> DataFrame:
+    """(token, held) of all tokens of ``sets`` (grp, tokens) that more than
+    FREQUENT of its documents and more than one group hold.  Tasks count what
+    a batch holds before the shuffle."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                sets = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+                grp = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
+                tokens = np.concatenate(sets)
+                if not len(tokens):
+                    continue
+                order = np.argsort(tokens, kind="stable")
+                tokens, grp = tokens[order], grp[order]
+                first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tokens[first]), pa.array(np.diff(first, append=len(tokens))),
+                     pa.array(np.minimum.reduceat(grp, first)), pa.array(np.maximum.reduceat(grp, first))],
+                    names=["token", "c", "lo", "hi"])
+        give_back()
+
+    return sets.select("grp", "tokens").mapInArrow(run, "token long, c long, lo long, hi long").groupBy("token").agg(
+        F.sum("c").alias("held"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(
+        (F.col("held") > FREQUENT) & (F.col("lo") != F.col("hi"))).select("token", "held")
+
+
+def _reordered(touched: DataFrame, before: np.ndarray, now: np.ndarray, num, den) -> DataFrame:
+    """What the index tokens of the ``touched`` documents (id, grp, n, tokens)
+    gain, and which of the tokens moved back they keep, as the tokens in
+    ``now`` instead of those in ``before`` come last."""
+    shared = touched.sparkSession.sparkContext.broadcast((before, now))
 
     def run(batches):
         before, now = shared.value
@@ -300,18 +384,19 @@ def _reordered(touched: DataFrame, before: np.ndarray, now: np.ndarray, docs: Da
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 out = []
-                for s in shingle_sets(texts_of(part.column(3)), words):
+                for x in part.column(3).to_pylist():
+                    s = np.frombuffer(x, np.int64)
                     size = prefix_size(len(s), num, den)
                     old, new = _in_order(s, before)[:size], _in_order(s, now)[:size]
-                    out.append(new[~np.isin(new, old) | np.isin(new, now) & ~np.isin(new, before)])
+                    out.append(new[~_member(new, np.sort(old)) | _member(new, now) & ~_member(new, before)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(2), pa.array(out, pa.list_(pa.int64()))],
                     names=["id", "grp", "n", "prefix"])
+        give_back()
 
-    rows = docs.join(bounded(touched, BROADCAST_ROWS), "id").select("id", "grp", "n", "text")
-    # Repeated rows of a document give their tokens once.
-    return rows.mapInArrow(run, "id long, grp long, n long, prefix array<long>").select(
-        "id", "grp", "n", F.explode("prefix").alias("token")).distinct()
+    return touched.select("id", "grp", "n", "tokens").mapInArrow(
+        run, "id long, grp long, n long, prefix array<long>").select(
+        "id", "grp", "n", F.explode("prefix").alias("token"))
 
 
 def _candidates(cells: DataFrame, num: int, den: int) -> DataFrame:

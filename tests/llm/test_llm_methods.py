@@ -219,6 +219,41 @@ def test_join_is_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_rows_of_one_id_keep_their_links(spark):
+    """Ids that stand for several texts: every row has its own component,
+    named by the smallest id in it."""
+    rng = random.Random(9)
+    a, b, c = ([f"{k}{rng.randrange(300)}" for _ in range(40)] for k in "abc")
+    near = lambda w: " ".join([*w[:-1], "end"])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (3, near(a)), (2, near(b)), (9, " ".join(c)), (9, ""), (9, None),
+            (7, " ".join(b)), (None, near(c)), (None, "else")]
+    got = jaccard.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(7, 36, 3), (7, 36, 2), (3, 36, 3), (2, 36, 2), (9, 36, 9), (9, 0, 9), (9, 0, 9), (7, 36, 2)]
+    assert sorted(tuple(r) for r in got if r.doc_id is not None) == sorted(want)
+    assert [r.component_id for r in got if r.doc_id is None] == [None, None]
+
+
+def test_one_id_for_all(spark):
+    """All rows under one id: no pair of rows is made for it."""
+    rows = [(1, " ".join(f"t{k}w{i}" for i in range(12))) for k in range(300)]
+    got = jaccard.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(1, 8, 1)] * 300
+
+
+def test_passages_move_back_at_once(spark, monkeypatch):
+    """A long passage that most share: unlinked documents of many groups make
+    few candidates, whatever its shingles' hashes."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    passage = " ".join(f"p{i}" for i in range(300))
+    texts = {k: f"{passage} " + " ".join(f"o{k}x{i}" for i in range(100)) for k in range(60)}
+    texts |= {100 + k: texts[k] + " tail" for k in range(0, 60, 6)}
+    df = materialize(spark.createDataFrame(list(texts.items()), "id long, text string"), "lines")
+    reps = jaccard._summaries(df, 5, 8, 10)
+    cells = jaccard._matrix(reps, spark.createDataFrame([], "node long, root long"), df, 5, 8, 10)
+    got = {(r.a, r.b) for r in jaccard._candidates(cells, 8, 10).collect()}
+    assert got == {(100 + k, k) for k in range(0, 60, 6)}
+
+
 def test_candidates_hold_every_link(spark, monkeypatch):
     """Short frequent lines, every document its own group (near_keys off)."""
     monkeypatch.setattr(jaccard, "FREQUENT", 3)
