@@ -37,20 +37,43 @@ def toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near
-    duplicates; rows without id stay unless their text is another's."""
-    groups = materialize(jaccard.similarity_join(docs), "classes")
-    firsts = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    repeated = firsts.where("rows > 1").limit(1).count() > 0
-    kept = docs.join(bounded(firsts.select("doc_id"), BROADCAST_ROWS), "doc_id", "left_semi")
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
-    if groups.where("doc_id IS NULL").limit(1).count():
+    duplicates; rows without id stay unless their text is another's.  An id
+    may stand for several texts: each is a document of its own, and of a
+    group's rows under its smallest id the least text (by hash) stays.
+    Repeated rows stay once; an empty table gives none."""
+    ready(spark)
+    if jaccard.ids_clash(docs, "doc_id", "text"):
+        kept = _of_clashing_ids(docs)
+    else:
+        groups = materialize(jaccard.similarity_join(docs), "classes")
+        firsts = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+        repeated = firsts.where("rows > 1").limit(1).count() > 0
+        kept = docs.join(bounded(firsts.select("doc_id"), BROADCAST_ROWS), "doc_id", "left_semi")
+        if repeated:
+            kept = kept.dropDuplicates(["doc_id"])
+    if docs.where("doc_id IS NULL").limit(1).count():
         named = docs.where("doc_id IS NOT NULL").select("text").distinct()
         lone = docs.where("doc_id IS NULL").dropDuplicates(["text"])
         kept = kept.unionByName(lone.join(named, lone.text.eqNullSafe(named.text), "left_anti"))
     return kept.select(docs.columns)
 
 
+def _of_clashing_ids(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with an id that stay, if rows go by numbers of
+    their own instead of by their ids."""
+    rows = jaccard.numbered(docs.where("doc_id IS NOT NULL"))
+    plain = rows.select("number", F.col("row.text").alias("text"))
+    groups = materialize(jaccard.similarity_join(plain, id_col="number"), "classes")
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    # Texts without words are linked with nothing: repeats of one id and text
+    # are one document all the same.
+    group = F.when(F.col("n_shingles") == 0, F.xxhash64("row.doc_id", text)).otherwise(F.col("component_id"))
+    ranked = rows.join(groups, "number").select("number", group.alias("g"), (F.col("n_shingles") == 0).alias("blank"),
+                                                F.struct("row.doc_id", F.xxhash64(text).alias("h"), "number").alias("o"))
+    firsts = ranked.groupBy("g", "blank").agg(F.min("o").alias("o")).select(F.col("o.number").alias("number"))
+    return rows.join(bounded(materialize(firsts, "firsts"), BROADCAST_ROWS), "number", "left_semi").select("row.*")
+
+
 def personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced."""
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long"))
