@@ -74,6 +74,20 @@ def test_rows_without_id(spark, planted):
     assert got == [(False, "one two three four five six"), (True, "else")]
 
 
+def test_texts_under_one_id(spark, planted):
+    """Different texts under one id are different documents."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(7, a), (7, b), (7, a), (3, a + " end"), (2, c), (7, ""), (7, ""), (8, None), (None, b), (None, "else")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, planted).collect()), key=str)
+    assert got == sorted([(7, b), (3, a + " end"), (2, c), (7, ""), (8, None), (None, "else")], key=str)
+
+
+def test_near_duplicates_of_nothing(spark, planted):
+    none = spark.createDataFrame([], SCHEMA)
+    assert cp.near_duplicates(spark, none, planted).collect() == []
+
+
 def test_queries_are_registered():
     names = entry.queries()
     for n in range(1, 11):
