@@ -266,7 +266,7 @@ def _matrix(reps, groups, docs, words, num, den) -> DataFrame:
         "id", F.coalesce("root", "id").alias("grp"), "n", F.explode("prefix").alias("token"))
     known = materialize(_shared(index), "shared")
     cells = materialize(index.join(bounded(known, BROADCAST_ROWS), "token", "left_semi"), "cells")
-    moved, stored = np.empty(0, np.int64), None
+    moved = np.empty(0, np.int64)
     for _ in range(REFINE):
         held = cells.select("token", "grp").distinct().groupBy("token").agg(F.count("*").alias("held")).where(
             F.col("held") > FREQUENT)
@@ -277,27 +277,20 @@ def _matrix(reps, groups, docs, words, num, den) -> DataFrame:
         new = np.sort(new.to_numpy(np.int64))
         if not len(new):
             break
-        touched = materialize(cells.join(F.broadcast(_column(spark, new)), "token", "left_semi").select(
-            "id", "grp", "n").distinct(), "touched")
         # Where one token of a passage is frequent its others mostly are, too:
-        # all tokens of the documents touched are counted, so that the passage
-        # moves back at once and not a prefix a round.
-        unstored = touched.select("id") if stored is None else touched.select("id").join(stored, "id", "left_anti")
-        more = materialize(_sets(docs.join(bounded(unstored, BROADCAST_ROWS), "id", "left_semi"), words)
-                           .dropDuplicates(["id"]), "sets")
-        stored = more if stored is None else stored.unionAll(more)
-        ahead = _often(touched.join(stored, "id")).join(F.broadcast(_column(spark, np.concatenate((moved, new)))),
-                                                        "token", "left_anti")
+        # each document touched shows as many tokens past its prefix as it may
+        # need instead, so that a passage moves back in a round or two.
+        touched = materialize(cells.join(F.broadcast(_column(spark, new)), "token", "left_semi").groupBy(
+            "id", "grp").agg(F.count("*").alias("f")), "touched")
+        ahead = _often(docs.join(bounded(touched, BROADCAST_ROWS), "id"), moved, words, num, den).join(
+            F.broadcast(_column(spark, np.concatenate((moved, new)))), "token", "left_anti")
         ahead = ahead.orderBy(F.desc("held"), "token").limit(MOVED - len(moved) - len(new)).select("token").toPandas()
         new = np.sort(np.concatenate((new, ahead["token"].to_numpy(np.int64))))
         late = F.broadcast(_column(spark, new))
-        # Documents that the tokens ahead touch besides have them in front.
+        # Some documents have the tokens ahead in front.
         touched = materialize(cells.join(late, "token", "left_semi").select("id", "grp", "n").distinct(), "touched")
-        unstored = touched.select("id").join(stored, "id", "left_anti")
-        stored = stored.unionAll(materialize(_sets(docs.join(bounded(unstored, BROADCAST_ROWS), "id", "left_semi"),
-                                                   words).dropDuplicates(["id"]), "sets"))
         now = np.sort(np.concatenate((moved, new)))
-        fresh = materialize(_reordered(touched.join(stored, "id"), moved, now, num, den), "fresh")
+        fresh = materialize(_reordered(touched, moved, now, docs, words, num, den), "fresh")
         # What other documents hold of tokens that are new to the matrix.
         unseen = materialize(fresh.select("token").distinct().join(known, "token", "left_anti"), "unseen")
         others = index.join(bounded(unseen, 2 * BROADCAST_ROWS), "token", "left_semi")
@@ -344,18 +337,27 @@ def _member(s: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, s), len(of) - 1)] == s
 
 
-def _often(sets: DataFrame) -> DataFrame:
-    """(token, held) of all tokens of ``sets`` (grp, tokens) that more than
-    FREQUENT of its documents and more than one group hold.  Tasks count what
-    a batch holds before the shuffle."""
+def _ahead(s: np.ndarray, f: int, late: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Tokens of a sorted set past its index tokens, of which ``f`` will move
+    back: half as many again as take their places if tokens go on to be
+    frequent at that rate."""
+    s, size = _in_order(s, late), prefix_size(len(s), num, den)
+    return s[size:] if f >= size else s[size:size + 2 + f * size * 3 // (2 * (size - f))]
+
+
+def _often(touched: DataFrame, moved: np.ndarray, words: int, num: int, den: int) -> DataFrame:
+    """(token, held) of the tokens ahead of ``touched`` (id, text, grp, f) that
+    more than FREQUENT of its rows and more than one group show.  Tasks count
+    what a batch shows before the shuffle."""
+    shared = touched.sparkSession.sparkContext.broadcast(moved)
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                sets = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
-                grp = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
-                tokens = np.concatenate(sets)
+                sets = [_ahead(s, f, shared.value, num, den) for s, f in zip(
+                    shingle_sets(texts_of(part.column(2)), words), part.column(1).to_pylist(), strict=True)]
+                grp, tokens = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets]), np.concatenate(sets)
                 if not len(tokens):
                     continue
                 order = np.argsort(tokens, kind="stable")
@@ -367,16 +369,17 @@ def _often(sets: DataFrame) -> DataFrame:
                     names=["token", "c", "lo", "hi"])
         give_back()
 
-    return sets.select("grp", "tokens").mapInArrow(run, "token long, c long, lo long, hi long").groupBy("token").agg(
-        F.sum("c").alias("held"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(
+    return touched.select("grp", "f", "text").mapInArrow(run, "token long, c long, lo long, hi long").groupBy(
+        "token").agg(F.sum("c").alias("held"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(
         (F.col("held") > FREQUENT) & (F.col("lo") != F.col("hi"))).select("token", "held")
 
 
-def _reordered(touched: DataFrame, before: np.ndarray, now: np.ndarray, num, den) -> DataFrame:
-    """What the index tokens of the ``touched`` documents (id, grp, n, tokens)
-    gain, and which of the tokens moved back they keep, as the tokens in
-    ``now`` instead of those in ``before`` come last."""
-    shared = touched.sparkSession.sparkContext.broadcast((before, now))
+def _reordered(touched: DataFrame, before: np.ndarray, now: np.ndarray, docs: DataFrame, words,
+               num, den) -> DataFrame:
+    """What the index tokens of the ``touched`` documents gain, and which of
+    the tokens moved back they keep, as the tokens in ``now`` instead of those
+    in ``before`` come last."""
+    shared = docs.sparkSession.sparkContext.broadcast((before, now))
 
     def run(batches):
         before, now = shared.value
@@ -384,8 +387,7 @@ def _reordered(touched: DataFrame, before: np.ndarray, now: np.ndarray, num, den
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 out = []
-                for x in part.column(3).to_pylist():
-                    s = np.frombuffer(x, np.int64)
+                for s in shingle_sets(texts_of(part.column(3)), words):
                     size = prefix_size(len(s), num, den)
                     old, new = _in_order(s, before)[:size], _in_order(s, now)[:size]
                     out.append(new[~_member(new, np.sort(old)) | _member(new, now) & ~_member(new, before)])
@@ -394,9 +396,10 @@ def _reordered(touched: DataFrame, before: np.ndarray, now: np.ndarray, num, den
                     names=["id", "grp", "n", "prefix"])
         give_back()
 
-    return touched.select("id", "grp", "n", "tokens").mapInArrow(
-        run, "id long, grp long, n long, prefix array<long>").select(
-        "id", "grp", "n", F.explode("prefix").alias("token"))
+    rows = docs.join(bounded(touched, BROADCAST_ROWS), "id").select("id", "grp", "n", "text")
+    # Repeated rows of a document give their tokens once.
+    return rows.mapInArrow(run, "id long, grp long, n long, prefix array<long>").select(
+        "id", "grp", "n", F.explode("prefix").alias("token")).distinct()
 
 
 def _candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
