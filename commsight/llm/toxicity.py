@@ -14,6 +14,7 @@ import math
 import re
 import string
 from collections import Counter
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -54,24 +55,27 @@ CLASSES = 28
 SUBSTITUTED, DROPPED, DROPPED_DIGIT, SPLIT, SHORTENED, UNDOUBLED, JOINED = -1.5, -1.5, -6.0, -3.0, -1.0, -4.0, -1.0
 
 
+@lru_cache(1)
 def _class_table() -> np.ndarray:
-    t = np.zeros(256, np.int32)
+    """Class of every code point, as the decoder reads it."""
+    t = np.fromiter((27 * chr(k).isalpha() for k in range(0x110000)), np.int8, 0x110000)
     for i, c in enumerate(string.ascii_lowercase):
         t[ord(c)] = t[ord(c.upper())] = i + 1
-    t[128:] = 27
     return t
 
 
 def char_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Trigram counts of letter classes over every whole text."""
+    """Trigram counts of characters' classes over every whole text; no texts
+    give zeros."""
     ready(docs.sparkSession)
 
     def run(batches):
         table, total = _class_table(), np.zeros(CLASSES ** 3, np.int64)
         for b in batches:
-            raw = ("\n\n".join(texts_of(b.column(0))) + "\n\n").encode()
-            for lo in range(0, len(raw), 1 << 20):
-                c = table[np.frombuffer(raw[max(0, lo - 2):lo + (1 << 20)], np.uint8)]
+            whole = "\n\n".join(texts_of(b.column(0))) + "\n\n"
+            for lo in range(0, len(whole), 1 << 18):
+                c = table[np.frombuffer(whole[max(0, lo - 2):lo + (1 << 18)].encode("utf-32-le"), np.uint32)].astype(
+                    np.int32)
                 if len(c) > 2:
                     total += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=len(total))
         at = np.flatnonzero(total)

@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -404,6 +405,90 @@ def test_boosting_finds_an_interaction():
     assert model.pairs[0][:2] == (0, 1)
 
 
+def test_additive_scores_are_brute_force():
+    """Each score is the start and one table entry a feature and pair."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.uniform(-1, 1, (600, 4)), 1)  # many ties with the cuts
+    model = quality.boost(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    place = lambda cuts, v: sum(v >= c for c in cuts)
+    for row, got in zip(x, model.predict(x), strict=True):
+        z = model.start + sum(t[place(e, v)] for e, t, v in zip(model.edges, model.tables, row, strict=True))
+        z += sum(t[place(model.pair_edges[i], row[i]), place(model.pair_edges[j], row[j])] for i, j, t in model.pairs)
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+    assert model.pairs
+
+
+def test_decoding_is_brute_force():
+    """Bits of a text are means over its trigrams with a letter, whatever
+    texts stand beside it; the codeword of the least loss wins."""
+    rng = np.random.default_rng(4)
+    code = langid.code_matrix(4)
+    model = langid.Model(list("wxyz"), code, rng.normal(size=(code.shape[1], langid.BUCKETS)),
+                         rng.uniform(0.1, 2, code.shape[1]))
+    texts = ["One two, three", "", "été 12 漢字", "a", "12 -", "x" * 50, "One two, three"]
+    for t, bits, (lang, _, _) in zip(texts, model.bits(texts), model.predict(texts), strict=True):
+        raw = [k if 97 <= k <= 122 or k > 127 else 32 for k in (" " + t.lower() + " ").encode()]
+        sums, n = np.zeros(code.shape[1]), 0
+        for a, b, c in zip(raw, raw[1:], [*raw[2:], 32], strict=False):
+            if a != 32 or b != 32:
+                h = (a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35) % (1 << 32) >> 16
+                sums, n = sums + model.tables[:, h], n + 1
+        assert bits == pytest.approx(sums / max(n, 1)), t
+        losses = [sum(w * np.log1p(np.exp(-8 * m * k)) for w, m, k in zip(model.trust, bits, row, strict=True))
+                  for row in code]
+        assert lang == ("wxyz"[int(np.argmin(losses))] if any(map(str.isalpha, t)) else "und")
+
+
+def test_classes_are_the_decoders(spark):
+    """The character model counts characters as the decoder reads them."""
+    texts = ["éé", "Straße – naïve “quoted” 漢字 x1", "", None, "a" * 300_000]
+    want = np.zeros((toxicity.CLASSES,) * 3)
+    whole = [0, 0]
+    for t in texts:
+        whole += [*map(toxicity._class, (t or "").lower()), 0, 0]
+    for a, b, c in zip(whole[2:], whole[3:], whole[4:], strict=False):
+        want[a, b, c] += 1
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    got = toxicity.char_counts(df)
+    assert got[1, 1, 1] == 299_998 and got[27, 27, 27] == 0 and got[27, 27, 0] >= 2
+    assert np.array_equal(got, want)
+    assert not toxicity.char_counts(df.where("false")).any()
+
+
+def every_spelling(restorer, token):
+    """Likeliest spellings by going through all paths of the lattice."""
+    paths = [("", 0.0)]
+    for c, run in groupby(token):
+        n = len(list(run))
+        if c.isalpha():
+            ways = [(c * min(n, 2), 0.0 if n <= 2 else toxicity.SHORTENED)]
+            ways += [(c, toxicity.UNDOUBLED if n == 2 else toxicity.SHORTENED)] if n > 1 else []
+        else:
+            ways = [("", toxicity.DROPPED_DIGIT if c.isdigit() or c in "@$" else toxicity.DROPPED), (" ", toxicity.SPLIT)]
+            for x in toxicity.LOOKS_LIKE.get(c, ""):
+                ways += [(x, toxicity.SUBSTITUTED + (toxicity.SHORTENED if n > 1 else 0))]
+                ways += [(x * 2, toxicity.SUBSTITUTED)] if n > 1 else []
+        paths = [(text + out, cost + more) for text, cost in paths for out, more in ways]
+
+    def score(text, cost):
+        k = [0, 0, *map(toxicity._class, text), 0]
+        return cost + toxicity.LANGUAGE * sum(restorer.log[a][b][c] for a, b, c in zip(k, k[1:], k[2:], strict=False))
+
+    best = {}
+    for text, cost in paths:
+        best[text] = max(best.get(text, -1e9), score(text, cost))
+    return sorted(best, key=best.get, reverse=True)
+
+
+def test_viterbi_is_brute_force():
+    """The likeliest spelling of all paths is among those decoded."""
+    rng = np.random.default_rng(5)
+    restorer = toxicity.Restorer(rng.integers(0, 200, (28, 28, 28)).astype(float))
+    for _ in range(200):
+        token = "".join(rng.choice(list("abeo01!@3$.")) for _ in range(rng.integers(1, 8)))
+        assert set(every_spelling(restorer, token)[0].split()) <= restorer.decode(token), token
+
+
 def test_disguised_words_are_restored():
     counts = np.ones((28, 28, 28))
     words = toxicity.Restorer(counts).words
