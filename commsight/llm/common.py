@@ -8,12 +8,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from commsight.session import materialize, ship_package
 
-__all__ = ["ready", "read", "give_back", "fold", "materialize", "bounded", "ByteHash", "mix64", "texts_of", "annotate", "lowest"]
+__all__ = ["ready", "read", "give_back", "fold", "materialize", "bounded", "ByteHash", "mix64", "texts_of", "runs_of", "annotate", "lowest"]
 
 # Arrow batches to Python hold at most so many rows and bytes, whichever comes
 # first; one longer text is a batch of its own.
@@ -61,6 +62,17 @@ def lowest(rows: DataFrame, key: str, id_col: str, k: int | dict) -> DataFrame:
         "__r", F.row_number().over(rank)).where(F.col("__r") <= most).drop("__h", "__r")
 
 
+def runs_of(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 1 << 20):
+    """Slices of a batch, in order, of at most ``rows`` rows and ``size`` bytes
+    of text in ``column``; one longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    lo, before = 0, 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(lo, hi - lo)
+        lo, before = hi, int(ends[hi - 1])
+
+
 def texts_of(column) -> list[str]:
     """Texts of an Arrow column, null read as empty."""
     return [t if t is not None else "" for t in column.to_pylist()]
@@ -112,8 +124,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def give_back() -> None:
     """Return freed memory to the system: Python workers outlive tasks and
-    stages, and the next stage's executor counts what they still hold."""
+    stages, and the next stage's executor counts what they still hold.  Arrow
+    keeps what it frees in a pool of its own."""
+    _powers.cache_clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

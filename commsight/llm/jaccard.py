@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ByteHash, bounded, give_back, materialize, mix64, read, ready, texts_of
+from .common import ByteHash, bounded, give_back, materialize, mix64, read, ready, runs_of, texts_of
 from .components import components
 
 #: A token that more groups hold is frequent: it goes to the end of the order.
@@ -105,8 +105,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in runs_of(b, 1):
                 sets = shingle_sets(texts_of(part.column(1)), words)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "tokens"])
@@ -126,8 +125,7 @@ def _summaries(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in runs_of(b, 1):
                 sets = shingle_sets(texts_of(part.column(1)), words)
                 minima = [near_keys(s) if len(s) else [] for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -353,8 +351,7 @@ def _often(touched: DataFrame, moved: np.ndarray, words: int, num: int, den: int
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in runs_of(b, 2):
                 sets = [_ahead(s, f, shared.value, num, den) for s, f in zip(
                     shingle_sets(texts_of(part.column(2)), words), part.column(1).to_pylist(), strict=True)]
                 grp, tokens = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets]), np.concatenate(sets)
@@ -384,8 +381,7 @@ def _reordered(touched: DataFrame, before: np.ndarray, now: np.ndarray, docs: Da
     def run(batches):
         before, now = shared.value
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in runs_of(b, 3):
                 out = []
                 for s in shingle_sets(texts_of(part.column(3)), words):
                     size = prefix_size(len(s), num, den)

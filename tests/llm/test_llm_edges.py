@@ -1,10 +1,12 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing
 column names, for every operator."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from commsight.llm import bpe, fingerprints, jaccard, langid, neighbours, packing, pii, quality, toxicity, wordpiece
+from commsight.llm.common import runs_of
 
 LONG = "lorem ipsum dolor sit amet consectetur " * 4000
 ROWS = [(1, "The quick brown fox jumps over the lazy dog", "en", "a"), (2, None, None, None), (3, "", "en", "a"),
@@ -163,3 +165,12 @@ def test_neighbours(spark):
     assert ranks[100] == [(1, 8, round((2 / 3) ** 0.5, 12))]
     assert neighbours.nearest(df, df.where("false")).collect() == []
     assert neighbours.nearest(df.where("false"), df.where("vec_id = 0")).collect() == []
+
+
+def test_slices_of_a_batch_hold_all_rows_in_order():
+    texts = ["a" * 10, None, "b" * 500, "", "c" * 40, "d" * 60, "e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = [p.column(0).to_pylist() for p in runs_of(batch, 0, rows=3, size=100)]
+    assert sum(parts, []) == texts
+    assert all(len(p) <= 3 and (len(p) == 1 or sum(len(t or "") for t in p) <= 100) for p in parts)
+    assert not list(runs_of(batch.slice(0, 0), 0))
