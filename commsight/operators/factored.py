@@ -9,9 +9,10 @@ questions that refer to them.  Readers expand what they look at.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commsight.operators.joins import bounded_broadcast
@@ -51,6 +52,15 @@ def expand(answer: Factored, key: str = "Country", refs: str = "n_refs", questio
         c for c in answer.blocks.columns if c not in (key, refs)])
 
 
+def condense(answer: Factored, by: Sequence[str], *measures: Column, key: str = "Country",
+             refs: str = "n_refs") -> Factored:
+    """The same answers over one row per key and ``by`` with ``measures`` of its
+    block rows.  All questions share a block, so its measures are taken once;
+    ``expand`` then gives what grouping the expanded rows by question, key and
+    ``by`` would, without the rows."""
+    return Factored(answer.answers, answer.blocks.groupBy(key, *by, refs).agg(*measures))
+
+
 def write_factored(answer: Factored, path: str) -> tuple[int, int]:
     """Both factors as tables under ``path``; returns their row counts."""
     return write_table(answer.answers, f"{path}/answers", min_rows=0), write_table(answer.blocks, f"{path}/blocks", min_rows=0)
