@@ -373,6 +373,9 @@ def _cells(elements: DataFrame, table_id: str | None, container_class: str | Non
         if container_class is not None:
             el = el.withColumn("__in", inside((tag == "div") & F.array_contains("classes", container_class)))
             wanted &= F.col("__in")
+        # (Past the containers only these count; the rest, most of a deep
+        # page's elements, is not shuffled or sorted.)
+        el = el.where(tag.isin("table", "tbody", "td", "th"))
         # The first such table, and its first body (cells outside any body
         # count where it has none).
         el = el.withColumn("__t", F.min(F.when(wanted, F.col("pos"))).over(page)).where(F.col("in_table") == F.col("__t"))
