@@ -114,3 +114,23 @@ def test_tables_shuffle_no_elements_around_them(spark):
     assert rows(H.html_table_by_header(el, {"A": "a"}, table_id="t"), "page_id", "row_idx", "a") == [(1, 0, "1")]
     plan = H._cells(el, "t", None, "thead")._jdf.queryExecution().optimizedPlan().toString()
     assert "tag#" in plan and "IN (table,tbody,td,th)" in plan
+
+
+def test_a_country_is_one_row_of_a_question(spark):
+    """However many blocks a country has; their texts are looked up last."""
+    from commsight.plans import report
+
+    sel = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "none"), (4, None)], "query_id long, Country string")
+    listing = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 7), (None, 8)], "Country string, x int")
+    blocks = report.country_blocks(listing, ["x"], ["x"], 2)
+    runs, shelf = report.attach_blocks(sel, blocks, "s", lead="L\n")
+    assert rows(runs, "query_id", "at", "n") == [(1, 0, 3), (2, 0, 3), (2, 1, 1)]
+    heads = spark.createDataFrame([(2, "s", 0, 0, "head"), (5, "s", 0, 0, "alone")],
+                                  "query_id long, section string, part int, at long, text string")
+    got = report._told(report._joined([heads, runs]), [shelf])
+    top = "| x |\n|---|\n"
+    a = [f"### a\n{top}| 0 |\n| 1 |", f"{top}| 2 |\n| 3 |", f"{top}| 4 |"]
+    first = ["L\n" + a[0], *a[1:]]
+    want = [(1, "s", i, t) for i, t in enumerate(first)] + [
+        (2, "s", i, t) for i, t in enumerate(["head", *first, f"### b\n{top}| 7 |"])] + [(5, "s", 0, "alone")]
+    assert rows(got, "query_id", "section", "block", "text") == sorted(want, key=repr)
