@@ -27,12 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, give_back, materialize, read, ready
+from .common import bounded, give_back, materialize, read, ready, runs_of
 
 #: Distinct white-space-separated chunks, and words in them, whose ids a task
-#: remembers; then it starts anew.
-MEMO, WORDS = 300_000, 500_000
+#: remembers; then it forgets the oldest.
+MEMO, WORDS = 200_000, 400_000
 MEMO_CHARS = 64
+#: Texts that are Python objects at a time, and least size of a memo's parts.
+SLICE = 8_192
+#: Texts that are tokenised at a time.
+ROWS = 512
 #: With more sources than this, sources without a target share this many queues
 #: (by hash), so that a plan of the mixture stays small.
 MAX_QUEUES = 1024
@@ -59,8 +63,7 @@ class Chunks:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo = _Memo(self.chunk)
-        self.words: dict[str, bytes] = {}
+        self.forget()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -70,24 +73,34 @@ class Chunks:
         self.latin = regex.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]*").fullmatch
 
     def word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            text = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LEVEL)
-            got = self.packed([t.id for t in self.model.tokenize(text)])
-            if len(word) <= MEMO_CHARS:
-                self.words[word] = got
-        return got
-
-    def chunk(self, text: str) -> bytes:
-        if self.split and self.latin(text):
-            if text.isalpha():
-                return self.word(text.lower())
-            return b"".join(map(self.word, self.split(text.lower())))
-        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if word.startswith(" "):  # a whole chunk that is not split here
+            return self.packed(self.tokenizer.encode(word[1:], add_special_tokens=False).ids)
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return self.packed([t.id for t in self.model.tokenize(text)])
+
+    def words_of(self, chunk: str) -> tuple[str] | list[str]:
+        if self.split and self.latin(chunk):
+            return (chunk.lower(),) if chunk.isalpha() else self.split(chunk.lower())
+        return (" " + chunk,)
+
+    def of_words(self, words: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array(map(self.word, part), pa.large_binary(), size=len(part))
+                                 for part in _listed(words)])
+
+    def of_chunks(self, texts: pa.Array) -> pa.Array:
+        flat, counts = [], [0]
+        for part in _listed(texts):
+            split = [self.words_of(t) for t in part]
+            counts += map(len, split)
+            flat.append(pa.array(itertools.chain.from_iterable(split), pa.large_string()))
+        words = pa.concat_arrays(flat).dictionary_encode()
+        ends, whole = _spans(self.words(words.dictionary).take(words.indices))
+        return pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(texts), [None, pa.py_buffer(ends[np.cumsum(counts)]), whole])
 
     def forget(self) -> None:
         """Give the memory back: workers outlive tasks and stages."""
-        self.memo, self.words = _Memo(self.chunk), {}
+        self.memo, self.words = Memo(self.of_chunks, MEMO), Memo(self.of_words, WORDS)
 
     def packed(self, ids: list[int]) -> bytes:
         """Ids as little-endian bytes."""
@@ -99,37 +112,64 @@ class Chunks:
         Arrow splits the texts, numbers their distinct chunks and lines up the
         chunks' ids; only the distinct ones are looked up here.  A text's ids
         are then one slice of all."""
-        if len(self.memo) > MEMO:
-            self.memo = _Memo(self.chunk)
-        if len(self.words) > WORDS:
-            self.words = {}
         column = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(
             pa.large_string()), "")
         split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
         numbered = split.flatten().dictionary_encode()
-        made = pa.array(map(self.memo.__getitem__, numbered.dictionary.to_pylist()), pa.large_binary(),
-                        size=len(numbered.dictionary))
-        lined = made.take(numbered.indices)
-        if not len(lined):
+        if not len(numbered):
             return [b""] * len(column)
-        ends = np.frombuffer(lined.buffers()[1], np.int64)[lined.offset:lined.offset + len(lined) + 1]
-        whole = memoryview(lined.buffers()[2] or b"")
+        ends, whole = _spans(self.memo(numbered.dictionary).take(numbered.indices))
+        whole = memoryview(whole)
         at = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
         return [bytes(whole[a:b]) for a, b in itertools.pairwise(at)]
 
 
-class _Memo(dict):
-    """Remembers what ``make`` gives, but for very long keys."""
+class Memo:
+    """Remembers what ``make`` gives for texts, but for very long ones; of more
+    than ``size`` the oldest go.  Arrow arrays hold them in less memory than a
+    dict of Python objects."""
 
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
+    def __init__(self, make, size: int):
+        self.make, self.size = make, size
+        self.parts: list[tuple[pa.Array, pa.Array]] = []
 
-    def __missing__(self, key: str) -> bytes:
-        out = self.make(key)
-        if len(key) <= MEMO_CHARS:
-            self[key] = out
-        return out
+    def __len__(self) -> int:
+        return sum(len(keys) for keys, _ in self.parts)
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        """Values of distinct ``texts``."""
+        place, left, before = np.empty(len(texts), np.int64), np.arange(len(texts)), 0
+        new, values = texts, [v for _, v in self.parts]
+        for keys, _ in self.parts:
+            at = pc.fill_null(pc.index_in(new, value_set=keys), -1).to_numpy()
+            place[left[at >= 0]] = before + at[at >= 0]
+            left, new, before = left[at < 0], new.filter(pa.array(at < 0)), before + len(keys)
+        if len(new):
+            place[left] = before + np.arange(len(new))
+            values.append(self.make(new))
+            self.add(new, values[-1])
+        return pa.concat_arrays(values).take(pa.array(place)) if values else pa.array([], pa.large_binary())
+
+    def add(self, keys: pa.Array, values: pa.Array) -> None:
+        short = pc.less_equal(pc.utf8_length(keys), MEMO_CHARS)
+        part = (keys.filter(short), values.filter(short))
+        if self.parts and len(self.parts[-1][0]) < SLICE:
+            part = tuple(map(pa.concat_arrays, zip(self.parts.pop(), part, strict=True)))
+        self.parts.append(part)
+        while len(self) > self.size:
+            self.parts.pop(0)
+
+
+def _listed(texts: pa.Array):
+    """Lists of the texts, SLICE at a time."""
+    return (texts.slice(i, SLICE).to_pylist() for i in range(0, len(texts), SLICE))
+
+
+def _spans(values: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """Where binary values end (the first: where all begin) in which buffer."""
+    _, ends, whole = values.buffers()
+    return (np.frombuffer(ends, np.int64)[values.offset:values.offset + len(values) + 1],
+            whole if whole is not None else pa.py_buffer(b""))
 
 
 def _byte_level() -> dict[int, str]:
@@ -145,7 +185,9 @@ _BYTE_LEVEL = _byte_level()
 
 @lru_cache(2)
 def chunks(path: str) -> Chunks:
-    return Chunks(path)
+    c = Chunks(path)
+    give_back()  # what reading the file took
+    return c
 
 
 class Mixture:
@@ -232,7 +274,7 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         c, part, used = chunks(path), TaskContext.get().partitionId(), {}
         end = b"" if end_id is None else np.array([end_id], c.kind).tobytes()
-        for b in batches:
+        for b in itertools.chain.from_iterable(runs_of(b, 1, ROWS) for b in batches):
             ids = [i + end for i in c.ids(b.column(1))]
             sources = b.column(2).to_pylist()
             starts = []
@@ -243,6 +285,7 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 [b.column(0), pa.array(sources, pa.string()), pa.array([part] * len(ids), pa.int32()),
                  pa.array(starts, pa.int64()), pa.array([len(i) // c.kind.itemsize for i in ids], pa.int64()),
                  pa.array(ids, pa.binary())], names=["id", "source", "part", "start", "n", "ids"])
+            pa.default_memory_pool().release_unused()
         chunks(path).forget()
         give_back()
 
@@ -312,6 +355,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             kinds = [b.column(0).type, *[pa.int64()] * 2, pa.binary(), *[pa.int64()] * 3]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     near = bounded(bases.select(F.col("source").alias("s"), F.col("part").alias("p"), "queue", "base"),

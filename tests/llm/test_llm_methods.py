@@ -8,6 +8,7 @@ import zlib
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,50 @@ def test_chunks_are_the_tokenizer():
     assert [np.frombuffer(i, c.kind).tolist() for i in c.ids(texts)] == [e.ids for e in want]
 
 
+def test_what_chunks_remember_is_small():
+    import gc
+    import tracemalloc
+
+    import public_tokenizers as p
+
+    c = packing.Chunks(p.path("word_bpe_49k.json"))
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(100)) for _ in range(200)]
+    gc.collect()
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        c.ids(texts)
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    finally:
+        tracemalloc.stop()
+    # 20,000 distinct chunks, each a word too; two dicts of Python objects hold more.
+    assert held < 120 * 20_000
+
+
+def test_memo_forgets_the_oldest(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 4)
+    made = []
+
+    def make(texts):
+        made.extend(texts.to_pylist())
+        return pa.array([t.encode() * 2 for t in texts.to_pylist()], pa.large_binary())
+
+    memo = packing.Memo(make, 10)
+    rng = random.Random(7)
+    for _ in range(300):
+        texts = rng.sample([str(i) for i in range(30)] + ["", "x" * 65], rng.randrange(9))
+        assert memo(pa.array(texts, pa.large_string())).to_pylist() == [t.encode() * 2 for t in texts]
+        assert len(memo) <= 10 and len(memo.parts) <= 4
+    n = len(made)
+    memo(pa.array(["a", "b", "c"], pa.large_string()))
+    memo(pa.array(["c", "b", "d", "a"], pa.large_string()))
+    assert made[n:] == ["a", "b", "c", "d"]
+    memo(pa.array(["x" * 65], pa.large_string()))
+    assert made[-1] == "x" * 65
+
+
 def test_mixture_is_deficit_round_robin():
     rng = random.Random(4)
     for _ in range(40):
