@@ -17,7 +17,6 @@ import bisect
 import itertools
 import json
 import os
-import struct
 from functools import lru_cache
 
 import numpy as np
@@ -29,14 +28,17 @@ from pyspark.sql import functions as F
 
 from .common import bounded, give_back, materialize, read, ready, runs_of
 
-#: Distinct white-space-separated chunks, and words in them, whose ids a task
-#: remembers; then it forgets the oldest.
-MEMO, WORDS = 200_000, 400_000
+#: Distinct words whose ids a task remembers; then it forgets the oldest.
+WORDS = 400_000
 MEMO_CHARS = 64
-#: Texts that are Python objects at a time, and least size of a memo's parts.
+#: Words that are Python objects at a time, and least size of a memo's parts.
 SLICE = 8_192
-#: Texts that are tokenised at a time.
-ROWS = 512
+#: Texts that are tokenised at a time, and their bytes that are split at a time.
+ROWS, SPLIT_BYTES = 512, 1 << 19
+#: The words of ``word_bpe_49k.json``, which are split here.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What a byte belongs to; an odd one's chunk is not split here.
+GAP, LETTER, NUMBER, MARK, ODD = range(5)
 #: With more sources than this, sources without a target share this many queues
 #: (by hash), so that a plan of the mixture stays small.
 MAX_QUEUES = 1024
@@ -47,81 +49,130 @@ BROADCAST_ROWS = 200_000
 class Chunks:
     """Token ids of texts by a ``tokenizers`` file that drops white space.
 
-    No token spans white space, so a text's ids are its chunks' ids in a row;
-    each distinct chunk is encoded once.  Where the file lower-cases, splits by
-    a pattern and maps bytes (as ``word_bpe_49k.json`` does), chunks of plain
-    Latin letters and marks are lower-cased and split here and only their
-    distinct words go to the tokenizer's model; other chunks go through the
-    whole tokenizer."""
+    No token spans white space, so a text's ids are its chunks' ids in a row.
+    Where the file lower-cases, splits by ``PATTERN`` and maps bytes (as
+    ``word_bpe_49k.json`` does), chunks of plain Latin letters and marks are
+    lower-cased and split here, by the bytes of many texts at once; only their
+    distinct words go to the tokenizer's model.  Other chunks go through the
+    whole tokenizer, each distinct one once."""
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.forget()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        plain = before == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in split] == ["Split", "ByteLevel"]
-        self.split = regex.compile(split[0]["pattern"]["Regex"]).findall if plain else None
+        self.plain = (before == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in split] == ["Split", "ByteLevel"]
+                      and split[0]["pattern"] == {"Regex": PATTERN}
+                      and not split[1]["add_prefix_space"] and not split[1].get("use_regex", True))
+        # The model alone, of words with a space between.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.split = regex.compile(PATTERN).findall
         self.latin = regex.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]*").fullmatch
-
-    def word(self, word: str) -> bytes:
-        if word.startswith(" "):  # a whole chunk that is not split here
-            return self.packed(self.tokenizer.encode(word[1:], add_special_tokens=False).ids)
-        text = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LEVEL)
-        return self.packed([t.id for t in self.model.tokenize(text)])
-
-    def words_of(self, chunk: str) -> tuple[str] | list[str]:
-        if self.split and self.latin(chunk):
-            return (chunk.lower(),) if chunk.isalpha() else self.split(chunk.lower())
-        return (" " + chunk,)
+        # Of characters up to U+017F, which have at most two bytes: what they
+        # belong to and their lower case, which has as many bytes.
+        letter, number = regex.compile(r"\p{L}").match, regex.compile(r"\p{N}").match
+        text = list(map(chr, range(0x180)))
+        self.kinds = np.array([GAP if c in " \n" else ODD if not self.plain or c == "'" or not self.latin(c) else
+                               LETTER if letter(c) else NUMBER if number(c) else MARK for c in text], np.uint8)
+        self.lower = np.array([ord(c.lower()) if self.latin(c) else ord(c) for c in text], np.uint16)
+        # The same of bytes; those after a character's first are as the first.
+        self.byte_kinds = np.concatenate([self.kinds[:128], np.full(64, MARK, np.uint8), np.full(64, ODD, np.uint8)])
+        self.byte_lower = np.concatenate([self.lower[:128], np.arange(128, 256)]).astype(np.uint8)
+
+    def words_of(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts in a row (an odd chunk is one, with a space
+        before it), and how many of them lie before each text's end (the first:
+        its start)."""
+        gap, end = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+        ends, whole = _spans(pc.binary_join_element_wise(gap, texts, end))
+        raw, ends = np.frombuffer(whole, np.uint8)[ends[0]:ends[-1]], ends - ends[0]
+        kinds, lower = self.byte_kinds[raw], self.byte_lower[raw]
+        two = np.flatnonzero((raw >= 0xC2) & (raw <= 0xC5))
+        if len(two):
+            code = (raw[two] & 0x1F).astype(np.uint16) << 6 | raw[two + 1] & 0x3F
+            kinds[two] = kinds[two + 1] = self.kinds[code]
+            lower[two], lower[two + 1] = 0xC0 | self.lower[code] >> 6, 0x80 | self.lower[code] & 0x3F
+        odd, firsts = np.flatnonzero(kinds == ODD), np.empty(0, np.int64)
+        if len(odd):
+            gaps = np.append(np.flatnonzero(kinds == GAP), len(raw))
+            after = np.unique(np.searchsorted(gaps, odd))
+            firsts = gaps[after - 1]
+            inside = np.zeros(len(raw) + 1, np.int8)
+            inside[firsts] += 1
+            inside[gaps[after]] -= 1
+            inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+            kinds[inside], lower[inside] = ODD, raw[inside]
+            lower[firsts] = ord(" ")
+        starts = kinds == NUMBER
+        starts[0] |= kinds[0] != GAP
+        starts[1:] |= kinds[1:] != kinds[:-1]
+        starts[two + 1] = False
+        kept = kinds != GAP
+        starts &= kept
+        starts[firsts] = True
+        at = np.flatnonzero(starts)
+        bounds = np.append(np.cumsum(kept, dtype=np.int64)[at] - 1, np.count_nonzero(kept))
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(lower[kept])), \
+            np.searchsorted(at, ends)
 
     def of_words(self, words: pa.Array) -> pa.Array:
-        return pa.concat_arrays([pa.array(map(self.word, part), pa.large_binary(), size=len(part))
-                                 for part in _listed(words)])
-
-    def of_chunks(self, texts: pa.Array) -> pa.Array:
-        flat, counts = [], [0]
-        for part in _listed(texts):
-            split = [self.words_of(t) for t in part]
-            counts += map(len, split)
-            flat.append(pa.array(itertools.chain.from_iterable(split), pa.large_string()))
-        words = pa.concat_arrays(flat).dictionary_encode()
-        ends, whole = _spans(self.words(words.dictionary).take(words.indices))
+        """Packed ids of words."""
+        whole, sizes = [], []
+        for part in _listed(words):
+            odd = np.array([w[0] == " " for w in part])
+            got = self.model.encode(" ".join(itertools.compress(part, ~odd)), add_special_tokens=False)
+            chunks = [self.of_chunk(w[1:]) for w in itertools.compress(part, odd)]
+            n = np.empty(len(part), np.int64)
+            n[odd] = list(map(len, chunks))
+            n[~odd] = np.bincount(np.array(got.word_ids, np.int64), minlength=np.count_nonzero(~odd))
+            ids, own = np.empty(n.sum(), self.kind), np.repeat(odd, n)
+            ids[own], ids[~own] = list(itertools.chain.from_iterable(chunks)), got.ids
+            whole.append(ids)
+            sizes.append(n)
+        ends = np.append(0, np.cumsum(np.concatenate(sizes))) * self.kind.itemsize
         return pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(texts), [None, pa.py_buffer(ends[np.cumsum(counts)]), whole])
+            pa.large_binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(whole))])
+
+    def of_chunk(self, chunk: str) -> list[int]:
+        if self.plain and self.latin(chunk):
+            return self.model.encode(" ".join(self.split(chunk.lower())), add_special_tokens=False).ids
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
 
     def forget(self) -> None:
         """Give the memory back: workers outlive tasks and stages."""
-        self.memo, self.words = Memo(self.of_chunks, MEMO), Memo(self.of_words, WORDS)
-
-    def packed(self, ids: list[int]) -> bytes:
-        """Ids as little-endian bytes."""
-        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
+        self.words = Memo(self.of_words, WORDS)
 
     def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Packed ids of each text (null: empty).
 
-        Arrow splits the texts, numbers their distinct chunks and lines up the
-        chunks' ids; only the distinct ones are looked up here.  A text's ids
-        are then one slice of all."""
+        Arrow numbers the distinct words of all texts and lines up their ids;
+        only the distinct ones are looked up here.  A text's ids are then one
+        slice of all."""
         column = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(
             pa.large_string()), "")
-        split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
-        numbered = split.flatten().dictionary_encode()
+        split = [self.words_of(b.column(0)) for b in runs_of(
+            pa.RecordBatch.from_arrays([column], names=["text"]), 0, ROWS, SPLIT_BYTES)]
+        if not split:
+            return []
+        numbered = pa.concat_arrays([words for words, _ in split]).dictionary_encode()
         if not len(numbered):
             return [b""] * len(column)
-        ends, whole = _spans(self.memo(numbered.dictionary).take(numbered.indices))
-        whole = memoryview(whole)
-        at = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
-        return [bytes(whole[a:b]) for a, b in itertools.pairwise(at)]
+        ends, whole = _spans(self.words(numbered.dictionary).take(numbered.indices))
+        whole, out, before = memoryview(whole), [], 0
+        for words, at in split:
+            out += [bytes(whole[a:b]) for a, b in itertools.pairwise(ends[before + at].tolist())]
+            before += len(words)
+        return out
 
 
 class Memo:
@@ -172,17 +223,6 @@ def _spans(values: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
             whole if whole is not None else pa.py_buffer(b""))
 
 
-def _byte_level() -> dict[int, str]:
-    """The byte-level alphabet: printable bytes stand for themselves, the rest
-    for the letters from U+0100 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-
-_BYTE_LEVEL = _byte_level()
-
-
 @lru_cache(2)
 def chunks(path: str) -> Chunks:
     c = Chunks(path)

@@ -131,6 +131,40 @@ def test_chunks_are_the_tokenizer():
     assert [np.frombuffer(i, c.kind).tolist() for i in c.ids(texts)] == [e.ids for e in want]
 
 
+def test_chunks_split_many_texts_at_once(monkeypatch):
+    """Words of plain Latin letters and marks, in any case and between any
+    others, in slices of few bytes; no word costs calls of its own."""
+    import sys
+
+    import public_tokenizers as p
+
+    monkeypatch.setattr(packing, "SPLIT_BYTES", 40, raising=False)
+    c = packing.Chunks(p.path("word_bpe_49k.json"))
+    rng = random.Random(8)
+    some = [*map(chr, range(0x180)), "'s", "''s", "'LL", "I'VE", "x²y", "½", "\r\n", "\u212a", "H\u0331", "e\u0301", "Ÿ",
+            "漢字", "😀", " ", " ", " ", "\n", "Abc", "dÉf", "9", "10", "?!", "\u2019"]
+    texts = ["", "\n", " '", *some, *("".join(rng.choices(some, k=rng.randrange(40))) for _ in range(600))]
+    texts += [f"a{x}B {x}'s {x}" for x in some]
+    want = c.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(i, c.kind).tolist() for i in c.ids(texts)] == [e.ids for e in want]
+    assert [np.frombuffer(i, c.kind).tolist() for i in c.ids(texts[::-1])] == [e.ids for e in want[::-1]]
+    assert c.ids([]) == [] and c.ids([None, ""]) == [b"", b""]
+
+    monkeypatch.undo()
+    texts = [" ".join("".join(rng.choices("abcdéfghij", k=9)) + "," for _ in range(100)) for _ in range(100)]
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        c.ids(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 5_000  # 10,000 distinct chunks
+
+
 def test_what_chunks_remember_is_small():
     import gc
     import tracemalloc
