@@ -175,6 +175,10 @@ def _windows(token: str) -> list[str]:
     return [token[lo:lo + LATTICE] for lo in range(0, max(1, len(token) - half), half)]
 
 
+#: Marks around a piece that do not make it odd.
+_EDGES = ".,;:?\"'"
+
+
 def _single(word: str) -> str:
     """``word`` with runs of a letter as one."""
     return "".join(c for c, _ in groupby(word))
@@ -184,19 +188,15 @@ def _letters(token: str) -> list[str]:
     return "".join(c if c.isalpha() else " " for c in token).split()
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-cased tokens between white space; a run of single characters
-    (spaced-out letters) is one more token, also without its first or last
-    (a one-letter word may stand next to it), and so is each stretch of tokens
-    of at most PIECE characters, with spaces between."""
+#: Stretches of at least two tokens of at most PIECE characters.
+_stretches = re.compile(f"(?<![^ ])[^ ]{{1,{PIECE}}}(?: [^ ]{{1,{PIECE}}}(?![^ ]))+").findall
+
+
+def _tokens(text: str) -> tuple[list[str], list[str]]:
+    """Tokens without spaces, and stretches."""
     out = text.lower().split()
+    stretches = _stretches(" ".join(out))
     lengths = list(map(len, out))
-    stretches, at = [], 0
-    for short, run in groupby(lengths, key=lambda n: n <= PIECE):
-        n = len(list(run))
-        if short and n > 1:
-            stretches.append(" ".join(out[at:at + n]))
-        at += n
     if lengths.count(1) >= 4:
         at, more = 0, []
         for one, run in groupby(lengths, key=lambda n: n == 1):
@@ -206,7 +206,23 @@ def tokens(text: str) -> list[str]:
                 more += [whole, whole[1:], whole[:-1], whole[1:-1]] if n <= LATTICE else _windows(whole)
             at += n
         out += more
-    return out + stretches
+    return out, stretches
+
+
+def tokens(text: str) -> list[str]:
+    """Lower-cased tokens between white space; a run of single characters
+    (spaced-out letters) is one more token, also without its first or last
+    (a one-letter word may stand next to it), and so is each stretch of tokens
+    of at most PIECE characters, with spaces between."""
+    own, stretches = _tokens(text)
+    return own + stretches
+
+
+@lru_cache(1 << 14)
+def _joint(piece: str) -> str:
+    """A piece of a stretch as it is joined; empty if it is not of plain letters."""
+    plain = piece.strip(_EDGES)
+    return _single(plain) if plain.isalpha() else ""
 
 
 def features(words: set[str]) -> set[str]:
@@ -224,6 +240,12 @@ class Model:
         self.whole = {_single(f) for f in evidence if f[0] != "^"}
         self.stems = {_single(f[1:]) for f in evidence if f[0] == "^"}
         self.longest = max(map(len, self.whole), default=0)
+        # What a joined word must begin with to become one, and the least of it.
+        self.starts = {w[:k] for w in self.whole | self.stems for k in range(len(w) + 1)}
+        self.least = min(map(len, self.whole | self.stems), default=0)
+        self.depths = sorted(set(map(len, self.stems)))
+        # How any feature begins, of a word or its stems.
+        self.heads = {f.removeprefix("^")[:min(STEMS)] for f in evidence} | {f[:min(STEMS)] for f in evidence}
 
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
@@ -236,35 +258,47 @@ class Model:
         """As ``of_token``; of plain letters only those pieces are decoded that
         can give evidence when joined."""
         pieces = stretch.split()
-        plain = [p.strip(".,;:?\"'") for p in pieces]
-        if not all(p.isalpha() for p in plain):
+        joints = list(map(_joint, pieces))
+        if not all(joints):
             if stretch not in self.memo:
                 self.memo[stretch] = self.of_token(stretch)
             return self.memo[stretch]
-        best, deepest = 0.0, max(STEMS)
-        for i in range(len(plain) - 1):
-            word = _single(plain[i])
-            for j in range(i + 1, len(plain)):
-                word = _single(word + plain[j])
-                stem = any(word[:k] in self.stems for k in range(1, deepest + 1))
-                if stem or word in self.whole:
-                    best = max(best, self.of_token(" ".join(plain[i:j + 1])))
-                if len(word) > max(self.longest, 2 * deepest):
+        best, limit = 0.0, max(self.longest, 2 * max(STEMS))
+        starts, least = self.starts, self.least
+        for i, word in enumerate(joints[:-1]):
+            if word[:least] not in starts:
+                continue
+            for j in range(i + 1, len(joints)):
+                word += joints[j][joints[j][0] == word[-1]:]
+                if word in self.whole or any(word[:k] in self.stems for k in self.depths):
+                    best = max(best, self.of_token(" ".join(p.strip(_EDGES) for p in pieces[i:j + 1])))
+                elif word not in starts:
+                    break
+                if len(word) > limit:
                     break
         return best
 
+    def learn(self, own: set[str]) -> None:
+        """Remember the evidence of tokens without spaces."""
+        memo, heads, least = self.memo, self.heads, min(STEMS)
+        for t in own:
+            core = t.strip(string.punctuation)
+            if core[:least] not in heads and core.isalpha() and not _long_run(core) and (
+                    core == t or t[0] not in "$@(" and t[-1] not in "$@"):
+                memo[t] = 0.0  # a plain word, and how no feature begins
+            else:
+                memo[t] = self.of_token(t)
+
     def sums(self, text: str) -> list[float]:
         """Of a text: constant, strongest evidence, log of the number of
         tokens with evidence, their share."""
-        own = tokens(text)
+        own, stretches = _tokens(text)
         if len(self.memo) > MEMO:
             self.memo = {}
-        memo = self.memo
-        for t in own:
-            if t not in memo and " " not in t:
-                memo[t] = self.of_token(t)
-        got = [e for e in (self.of_stretch(t) if " " in t else memo[t] for t in own) if e]
-        return [1.0, max(got, default=0.0), math.log1p(len(got)), len(got) / max(1, len(own))]
+        self.learn(set(own).difference(self.memo))
+        got = [e for e in map(self.memo.__getitem__, own) if e]
+        got += [e for e in map(self.of_stretch, stretches) if e]
+        return [1.0, max(got, default=0.0), math.log1p(len(got)), len(got) / max(1, len(own) + len(stretches))]
 
     def score(self, text: str) -> float:
         z = float(np.dot(self.weights, self.sums(text)))

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, a round trip or held-out rows."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -590,6 +591,60 @@ def test_spaced_words_are_restored():
     assert all(any(chr(0x4E00 + i) in w and chr(0x4E00 + i + 127) in w for w in windows) for i in range(873))
 
 
+def plain_sums(model, text):
+    """As ``Model.sums``, token by token and of every pair of pieces."""
+    out = text.lower().split()
+    own = [w for w in toxicity.tokens(text) if " " not in w]
+    runs = [list(g) for short, g in groupby(out, key=lambda w: len(w) <= toxicity.PIECE) if short]
+    assert [w for w in toxicity.tokens(text) if " " in w] == [" ".join(r) for r in runs if len(r) > 1]
+    got = [model.of_token(w) for w in own]
+    for pieces in (r for r in runs if len(r) > 1):
+        joined = [p.strip(".,;:?\"'") for p in pieces]
+        if not all(map(str.isalpha, joined)):
+            got.append(model.of_token(" ".join(pieces)))
+            continue
+        got.append(0.0)
+        for i in range(len(joined) - 1):
+            for j in range(i + 1, len(joined)):
+                word = toxicity._single("".join(joined[i:j + 1]))
+                if word in model.whole or any(word[:k] in model.stems for k in range(1, 7)):
+                    got[-1] = max(got[-1], model.of_token(" ".join(joined[i:j + 1])))
+                if len(word) > max(model.longest, 2 * max(toxicity.STEMS)):
+                    break
+    n, got = len(got), [e for e in got if e]
+    return [1.0, max(got, default=0.0), math.log1p(len(got)), len(got) / max(1, n)]
+
+
+def test_toxicity_sums_are_those_of_all_tokens():
+    """Also those of plain words and stretches that cannot be evidence, which
+    cost no more than a few calls."""
+    import sys
+
+    rng = random.Random(12)
+    counts = np.random.default_rng(12).integers(0, 200, (28, 28, 28)).astype(float)
+    some = ["id", "iot", "i", "d", "io", "t", "a", "s", "ss", "as", "fo", "ool", "ol", "o", "lo", "l", "l.", "\"as", "f00l",
+            "foool", "$fool", "(fool)", "fool!", "idiots", "Idiotic,", "asses", "assay", "1d", "i0t", "...", "été", "漢",
+            "İd", "ein", "of", "to", "th,", "plainly", "zzzebra", "^idio", "don't", "\x1c", "\n", "lolly", "folly"]
+    for evidence in ({"idiot": 3.0, "ass": 4.0, "^idio": 2.75, "fool": 2.5, "^fooli": 5.0, "lo": 2.6}, {"^asse": 3.0}, {}):
+        model = toxicity.Model(toxicity.Restorer(counts), evidence)
+        for _ in range(150):
+            text = " ".join(rng.choices(some, k=rng.randrange(30)))
+            assert model.sums(text) == plain_sums(model, text), text
+    model = toxicity.Model(toxicity.Restorer(counts), {"idiot": 3.0, "^foolis": 2.5})
+    text = " ".join("".join(rng.sample("abceghkmno", 9)) + rng.choice([" of to an,", ""]) for _ in range(3000))
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        model.sums(text)
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 10 * 3000, calls
+
+
 def test_toxicity_of_planted_words(spark):
     rng = random.Random(9)
     plain = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "rivers", "stones"]) for _ in range(30))
