@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from commsight.session import materialize, ship_package
 
-__all__ = ["ready", "read", "give_back", "fold", "materialize", "bounded", "ByteHash", "mix64", "texts_of", "runs_of", "annotate", "lowest"]
+__all__ = ["ready", "read", "give_back", "fold", "materialize", "bounded", "among", "ByteHash", "mix64", "texts_of", "runs_of", "annotate", "lowest"]
 
 # Arrow batches to Python hold at most so many rows and bytes, whichever comes
 # first; one longer text is a batch of its own.
 BATCH_ROWS = 1024
 BATCH_BYTES = 8 << 20
+#: Keys per row of a broadcast that holds keys alone.
+PACKED = 32
 
 
 def ready(spark: SparkSession) -> None:
@@ -44,6 +46,37 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def among(rows: DataFrame, column: str, keys: DataFrame | np.ndarray, limit: int | None = None,
+          how: str = "left_semi") -> DataFrame:
+    """The rows whose ``column`` is one of ``keys`` (a column of longs without
+    nulls, or an array of hashes); with ``how`` "left_anti", the others.
+
+    At most ``limit`` keys (any number of an array's) are broadcast, PACKED to
+    a row: about ten bytes a key in the driver and the executors, where a row
+    for each key takes some seventy.  More are left to the planner (a shuffle
+    join).
+    """
+    value = F.col(f"`{column}`").cast("long")
+    if isinstance(keys, np.ndarray):
+        # Hashes are spread evenly as they are.
+        n = max(1, len(keys) // PACKED)
+        at = keys % n
+        order = np.argsort(at, kind="stable")
+        places, first = np.unique(at[order], return_index=True)
+        packed = rows.sparkSession.createDataFrame(pa.table({"__b": places, "__k": pa.ListArray.from_arrays(
+            pa.array(np.append(first, len(keys)), pa.int32()), pa.array(keys[order]))}))
+        place = F.pmod(value, F.lit(n).cast("long"))
+    else:
+        key = keys.select(F.col(keys.columns[0]).cast("long").alias("__k"))
+        count = key.count()
+        if count > limit:
+            return rows.join(key, value == F.col("__k"), how)
+        n = F.lit(max(1, count // PACKED)).cast("long")
+        packed = key.groupBy(F.pmod(F.xxhash64("__k"), n).alias("__b")).agg(F.collect_list("__k").alias("__k"))
+        place = F.pmod(F.xxhash64(value), n)
+    return rows.join(F.broadcast(packed), (place == F.col("__b")) & F.array_contains("__k", value), how)
+
+
 def lowest(rows: DataFrame, key: str, id_col: str, k: int | dict) -> DataFrame:
     """The ``k`` rows of each ``key`` whose ids hash lowest (``k`` per key if a
     dict; a key that it does not name has none).

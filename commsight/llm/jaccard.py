@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ByteHash, bounded, give_back, materialize, mix64, read, ready, runs_of, texts_of
+from .common import ByteHash, among, bounded, give_back, materialize, mix64, read, ready, runs_of, texts_of
 from .components import components
 
 #: A token that more groups hold is frequent: it goes to the end of the order.
@@ -147,8 +147,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -
     spark = pairs.sparkSession
     pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(_sets(docs.join(bounded(wanted, BROADCAST_ROWS), "id", "left_semi")
-                             .dropDuplicates(["id"]), words), "sets")
+    sets = materialize(_sets(among(docs, "id", wanted, BROADCAST_ROWS).dropDuplicates(["id"]), words), "sets")
 
     def run(batches):
         for b in batches:
@@ -222,7 +221,7 @@ def _joined(docs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFram
     # Equal sets are one class; its smallest id stands for it from here on.
     classes = materialize(rows.where("key IS NOT NULL").groupBy("key").agg(
         F.min("id").alias("rep")).where("rep IS NOT NULL"), "classes")
-    reps = rows.join(bounded(classes.select(F.col("rep").alias("id")), BROADCAST_ROWS), "id", "left_semi")
+    reps = among(rows, "id", classes.select("rep"), BROADCAST_ROWS)
 
     # Groups: documents that share a key of likeness are compared with the
     # first of them; links make the groups.
@@ -258,18 +257,17 @@ def _matrix(reps, groups, docs, words, num, den) -> DataFrame:
     """(token, id, grp, n, hot, pos) of the index tokens that several groups
     hold: ``hot`` counts those of the document that were moved back, ``pos`` is
     such a token's place among all the document's index tokens."""
-    spark = docs.sparkSession
     owner = bounded(groups.select(F.col("node").alias("id"), "root"), BROADCAST_ROWS)
     index = reps.join(owner, "id", "left").select(
         "id", F.coalesce("root", "id").alias("grp"), "n", F.explode("prefix").alias("token"))
     known = materialize(_shared(index), "shared")
-    cells = materialize(index.join(bounded(known, BROADCAST_ROWS), "token", "left_semi"), "cells")
+    cells = materialize(among(index, "token", known, BROADCAST_ROWS), "cells")
     moved = np.empty(0, np.int64)
     for _ in range(REFINE):
         held = cells.select("token", "grp").distinct().groupBy("token").agg(F.count("*").alias("held")).where(
             F.col("held") > FREQUENT)
         if len(moved):
-            held = held.join(F.broadcast(_column(spark, moved)), "token", "left_anti")
+            held = among(held, "token", moved, how="left_anti")
         # At most MOVED numbers of eight bytes each.
         new = held.orderBy(F.desc("held"), "token").limit(MOVED - len(moved)).select("token").toPandas()["token"]
         new = np.sort(new.to_numpy(np.int64))
@@ -278,47 +276,41 @@ def _matrix(reps, groups, docs, words, num, den) -> DataFrame:
         # Where one token of a passage is frequent its others mostly are, too:
         # each document touched shows as many tokens past its prefix as it may
         # need instead, so that a passage moves back in a round or two.
-        touched = materialize(cells.join(F.broadcast(_column(spark, new)), "token", "left_semi").groupBy(
+        touched = materialize(among(cells, "token", new).groupBy(
             "id", "grp").agg(F.count("*").alias("f")), "touched")
-        ahead = _often(docs.join(bounded(touched, BROADCAST_ROWS), "id"), moved, words, num, den).join(
-            F.broadcast(_column(spark, np.concatenate((moved, new)))), "token", "left_anti")
+        ahead = among(_often(docs.join(bounded(touched, BROADCAST_ROWS), "id"), moved, words, num, den), "token",
+                      np.concatenate((moved, new)), how="left_anti")
         ahead = ahead.orderBy(F.desc("held"), "token").limit(MOVED - len(moved) - len(new)).select("token").toPandas()
         new = np.sort(np.concatenate((new, ahead["token"].to_numpy(np.int64))))
-        late = F.broadcast(_column(spark, new))
         # Some documents have the tokens ahead in front.
-        touched = materialize(cells.join(late, "token", "left_semi").select("id", "grp", "n").distinct(), "touched")
+        touched = materialize(among(cells, "token", new).select("id", "grp", "n").distinct(), "touched")
         now = np.sort(np.concatenate((moved, new)))
         fresh = materialize(_reordered(touched, moved, now, docs, words, num, den), "fresh")
         # What other documents hold of tokens that are new to the matrix.
         unseen = materialize(fresh.select("token").distinct().join(known, "token", "left_anti"), "unseen")
-        others = index.join(bounded(unseen, 2 * BROADCAST_ROWS), "token", "left_semi")
-        cells = materialize(cells.join(late, "token", "left_anti").unionByName(fresh).unionByName(others), "cells")
+        others = among(index, "token", unseen, 2 * BROADCAST_ROWS)
+        cells = materialize(among(cells, "token", new, how="left_anti").unionByName(fresh).unionByName(others), "cells")
         known = known.unionAll(unseen)
         moved = now
-    shared = bounded(materialize(_shared(cells), "shared"), BROADCAST_ROWS)
+    shared = materialize(_shared(cells), "shared")
     if not len(moved):
-        return materialize(cells.join(shared, "token", "left_semi").withColumns(
+        return materialize(among(cells, "token", shared, BROADCAST_ROWS).withColumns(
             {"hot": F.lit(0).cast("long"), "pos": F.lit(None).cast("long")}), "matrix")
     # Tokens moved back come after a document's other index tokens, by hash:
     # their places follow from all that it has of them, also those that only
     # its own group holds.
     own = Window.partitionBy("id")
     size = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    late = cells.join(F.broadcast(_column(spark, moved)), "token", "left_semi").select("id", "token", "n").distinct()
+    late = among(cells, "token", moved).select("id", "token", "n").distinct()
     late = late.select("id", "token", (size - F.count("*").over(own) + F.row_number().over(
         own.orderBy("token"))).alias("pos"))
-    late = materialize(late.join(shared, "token", "left_semi"), "late")
+    late = materialize(among(late, "token", shared, BROADCAST_ROWS), "late")
     hot = materialize(late.groupBy("id").agg(F.count("*").alias("hot")), "hot")
-    return materialize(cells.join(shared, "token", "left_semi").join(late, ["id", "token"], "left").join(
+    return materialize(among(cells, "token", shared, BROADCAST_ROWS).join(late, ["id", "token"], "left").join(
         bounded(hot, BROADCAST_ROWS), "id", "left").select(
         "token", "id", "grp", "n", F.coalesce("hot", F.lit(0)).alias("hot"), "pos"), "matrix")
 
 
-def _column(spark, tokens: np.ndarray) -> DataFrame:
-    """A table of one column of at most MOVED tokens."""
-    return spark.createDataFrame(pa.table({"token": tokens}))
-
-
 def _in_order(s: np.ndarray, late: np.ndarray) -> np.ndarray:
     """A sorted set with the tokens of ``late`` (sorted) last."""
     if not len(late):

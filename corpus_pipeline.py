@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commsight.llm import jaccard, langid, packing, pii, toxicity
-from commsight.llm.common import bounded, fold, materialize, read, ready
+from commsight.llm.common import among, fold, materialize, read, ready
 
 #: Toxicity score from which a document is rejected.
 TOXIC = 0.5
@@ -48,7 +48,7 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         groups = materialize(jaccard.similarity_join(docs), "classes")
         firsts = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
         repeated = firsts.where("rows > 1").limit(1).count() > 0
-        kept = docs.join(bounded(firsts.select("doc_id"), BROADCAST_ROWS), "doc_id", "left_semi")
+        kept = among(docs, "doc_id", firsts.select("doc_id"), BROADCAST_ROWS)
         if repeated:
             kept = kept.dropDuplicates(["doc_id"])
     if docs.where("doc_id IS NULL").limit(1).count():
@@ -71,7 +71,7 @@ def _of_clashing_ids(docs: DataFrame) -> DataFrame:
     ranked = rows.join(groups, "number").select("number", group.alias("g"), (F.col("n_shingles") == 0).alias("blank"),
                                                 F.struct("row.doc_id", F.xxhash64(text).alias("h"), "number").alias("o"))
     firsts = ranked.groupBy("g", "blank").agg(F.min("o").alias("o")).select(F.col("o.number").alias("number"))
-    return rows.join(bounded(materialize(firsts, "firsts"), BROADCAST_ROWS), "number", "left_semi").select("row.*")
+    return among(rows, "number", materialize(firsts, "firsts"), BROADCAST_ROWS).select("row.*")
 
 
 def personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

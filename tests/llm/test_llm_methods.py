@@ -13,8 +13,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from commsight.llm import (bpe, components, fingerprints, jaccard, langid, neighbours, packing, pii, quality, queries,
-                           toxicity, wordpiece)
+from commsight.llm import (bpe, common, components, fingerprints, jaccard, langid, neighbours, packing, pii, quality,
+                           queries, toxicity, wordpiece)
 from commsight.llm.common import materialize
 
 SMALL = "/root/testdata/sf0.001"
@@ -686,3 +686,40 @@ def test_int8_tiles_lose_nothing(spark):
         near[q] = -9
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == \
             np.argsort(-near, kind="stable")[:5].tolist()
+
+
+def test_among_is_the_join(spark):
+    """Packed keys find the rows that a join on single keys finds."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, rng.randrange(-500, 500)]), i) for i in range(400)] + [(2**62, 1), (2**62, 1), (-2**63, 2)]
+    df = spark.createDataFrame(rows, "x long, y long")
+    own = sorted({rng.randrange(-500, 500) for _ in range(200)} | {2**62, -2**63})
+    keys = spark.createDataFrame([(k,) for k in [*own, *own[:20]]], "k long")
+    narrow = df.select(F.when(F.col("x").between(-500, 500), F.col("x")).cast("int").alias("x"), "y")
+    for how, hit in (("left_semi", True), ("left_anti", False)):
+        want = sorted(str(r) for r in rows if (r[0] in own) == hit)
+        for given, limit in ((keys, 1000), (keys, 10), (np.array(own, np.int64), None)):
+            got = common.among(df, "x", given, limit, how)
+            assert got.columns == ["x", "y"] and sorted(str(tuple(r)) for r in got.collect()) == want
+        got = common.among(narrow, "x", keys, 1000, how)
+        assert got.count() == sum((r[0] in own and abs(r[0]) <= 500) == hit for r in rows)
+    none = df.select("x").where("false")
+    assert common.among(df, "x", none, 10).count() == 0
+    assert common.among(df, "x", none, 10, "left_anti").count() == len(rows)
+    assert common.among(df, "x", np.empty(0, np.int64), how="left_anti").count() == len(rows)
+
+
+def test_join_broadcasts_no_row_per_token(spark, monkeypatch):
+    """Tokens that many texts share two by two go to the driver and the
+    executors packed: a row each took more memory than the driver had."""
+    rows = []
+    for k in range(40):
+        same = [f"s{k}w{i}" for i in range(200)]
+        rows += [(2 * k + j, " ".join(same + [f"o{k}j{j}w{i}" for i in range(100)])) for j in range(2)]
+    sent, whole, send = [], [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or send(df))
+    shared = jaccard._shared
+    monkeypatch.setattr(jaccard, "_shared", lambda cells: whole.append((out := shared(cells)).count()) or out)
+    got = jaccard.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i) for i, _ in rows]
+    assert max(whole) > 800 and max(sent) < 100
