@@ -202,7 +202,7 @@ def request_grid(selection: DataFrame, requests: DataFrame, countries: DataFrame
     Returns (grid, skipped): grid rows carry the alpha-2 code, the test and
     the date window; names without a code are listed in ``skipped``.
     """
-    from commsight.operators.joins import country_to_alpha2, expand_tests, unresolved_keys
+    from commsight.operators.joins import country_to_alpha2, expand_tests, never_broadcast, unresolved_keys
 
     coded = country_to_alpha2(selection, country, countries, out="alpha_2")
     ok = coded.where(F.col("alpha_2").isNotNull())
@@ -213,6 +213,6 @@ def request_grid(selection: DataFrame, requests: DataFrame, countries: DataFrame
         F.col("as_of").alias("until"),
         F.concat(F.col("horizon").cast("string"), F.lit("d")).alias("date_range"),
     )
-    grid = grid.join(win, query_id, "inner")
+    grid = grid.join(never_broadcast(win), query_id, "inner")
     skipped = unresolved_keys(selection, country, countries)
     return grid, skipped

@@ -134,3 +134,51 @@ def test_a_country_is_one_row_of_a_question(spark):
     want = [(1, "s", i, t) for i, t in enumerate(first)] + [
         (2, "s", i, t) for i, t in enumerate(["head", *first, f"### b\n{top}| 7 |"])] + [(5, "s", 0, "alone")]
     assert rows(got, "query_id", "section", "block", "text") == sorted(want, key=repr)
+
+
+def _unhinted(df):
+    """Joins of ``df`` that meet questions and leave the sides' sizes to guesses."""
+    found, left = [], [df._jdf.queryExecution().optimizedPlan()]
+    while left:
+        node = left.pop()
+        below = node.children()
+        left += [below.apply(i) for i in range(below.size())]
+        if node.nodeName() == "Join" and "strategy=" not in node.hint().toString() and "query_id" in node.output().toString():
+            found.append(node.simpleString(200))
+    return found
+
+
+def test_no_join_of_a_report_may_broadcast_its_questions(spark, tmp_path, monkeypatch):
+    """Their rows compress to a few MB per million, which Spark broadcast."""
+    import datetime as dt
+
+    from commsight.operators import joins
+    from commsight.plans import report
+
+    plans, plain = [], session.materialize
+    for module in (report, E, sequence, joins):
+        monkeypatch.setattr(module, "materialize", lambda df, name="table": (plans.extend(_unhinted(df)), plain(df, name))[1],
+                            raising=False)
+    # (Tables from files: of literal rows the planner knows too much.)
+    made = lambda name, rows, schema: plain(spark.createDataFrame(rows, schema), name)
+    tables = [("mcc_mnc_table", made("t", [("Peru", "Claro"), ("Chile", "Entel")], "Country string, `Network Operator` string"))]
+    countries = made("c", [("PE", "Peru", None, "Republic of Peru in South America"), ("CL", "Chile", None, None)],
+                     "alpha_2 string, name string, common_name string, official_name string")
+    requests = made("q", [(1, "Peru", ["signal"], None, None, None), (2, "Chile and Peru", ["signal"], True, 20, ["mcc_mnc_table"])],
+                    "query_id long, user_query string, test_names array<string>, only_anomalies boolean, horizon int, sql_tables array<string>")
+    cards = made("d", [("peru", 0, 0, "DC", "Hub", "Av 1, Peru", "x", None), ("chile", 0, 0, "", "", "", "", "late")],
+                 "keyword string, keyword_pos int, card_pos int, Name string, Type string, Address string, Link string, error string")
+    meas = made("m", [("PE", "signal", dt.datetime(2024, 1, 20), True)],
+                "probe_cc string, test_name string, measurement_start_time timestamp, anomaly boolean")
+    fails = made("f", [("CL", "signal", "http 503")], "alpha_2 string, test_name string, reason string")
+    share = made("s", [("PE", "os", "a", 0.5)], "country string, metric string, category string, share double")
+    rank = made("r", [("PE", 1, "d.pe", "x")], "country string, rank int, domain string, categories string")
+    why = made("w", [("PE", "os", "late")], "country string, metric string, reason string")
+    out = report.report_rows(requests, tables, countries, "2024-01-31", cards=cards, measurements=meas, metrics=share,
+                             ranking=rank, failures=fails, metric_failures=why)
+    assert plans + _unhinted(out) == []
+    got = {(r.query_id, r.section, r.block): r.text for r in out.collect()}
+    assert got[2, "ooni", 1].endswith("Peru / Signal: 100.00% anomalies") and got[2, "ooni", 2].endswith("Chile / Signal: http 503")
+    assert got[1, "dc", 0] == "Total data centers: 1" and "failed" not in got[1, "dc", 1].lower()
+    plans.clear()
+    assert _unhinted(report.table_report_rows(requests.drop("sql_tables"), tables)) + plans == []
