@@ -182,3 +182,26 @@ def test_no_join_of_a_report_may_broadcast_its_questions(spark, tmp_path, monkey
     assert got[1, "dc", 0] == "Total data centers: 1" and "failed" not in got[1, "dc", 1].lower()
     plans.clear()
     assert _unhinted(report.table_report_rows(requests.drop("sql_tables"), tables)) + plans == []
+
+
+def test_a_hot_country_is_told_by_many_tasks(spark, monkeypatch):
+    """A task gives out one stack of texts to some of the runs; runs are not
+    shuffled block by block, which made questions times blocks rows."""
+    from commsight.plans import report
+
+    monkeypatch.setattr(report, "_STACK_BYTES", 50, raising=False)
+    monkeypatch.setattr(report, "_READERS", 10, raising=False)
+    sel = spark.createDataFrame([(q, "a") for q in range(60)] + [(7, "b")], "query_id long, Country string")
+    listing = spark.createDataFrame([("a", i) for i in range(10)] + [("b", 5)], "Country string, x int")
+    blocks = report.country_blocks(listing, ["x"], ["x"], 2)  # five texts of "a", of 23 bytes, but 29 for the first
+    runs, shelf = report.attach_blocks(sel, blocks, "s")
+    out = report._told(report._joined([runs]), [shelf]).withColumn("p", F.spark_partition_id())
+    got = out.collect()
+    assert sorted((r.query_id, r.block) for r in got) == sorted(
+        [(q, i) for q in range(60) for i in range(5)] + [(7, 5)])
+    top = "| x |\n|---|\n"
+    assert {r.text for r in got if r.block == 4} == {top + "| 8 |\n| 9 |"}
+    at = {}
+    for r in got:
+        at.setdefault(r.p, set()).add(r.text)
+    assert max(map(len, at.values())) <= 2 and len(at) > 6
