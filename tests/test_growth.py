@@ -205,3 +205,19 @@ def test_a_hot_country_is_told_by_many_tasks(spark, monkeypatch):
     for r in got:
         at.setdefault(r.p, set()).add(r.text)
     assert max(map(len, at.values())) <= 2 and len(at) > 6
+
+
+def test_products_of_one_key_are_made_by_many_tasks(spark):
+    """Beyond what may be broadcast, a country's whole answer was one task's."""
+    from commsight.operators import joins
+
+    many = spark.createDataFrame([(q, "a" if q < 90 else "b") for q in range(100)] + [(1, "a"), (None, "a"), (5, None)],
+                                 "query_id long, Country string")
+    few = spark.createDataFrame([("a", f"p{i}") for i in range(20)] + [("a", "p3"), ("b", None), (None, "x"), ("c", "y")],
+                                "Country string, provider string")
+    want = rows(many.join(few, "Country"), "query_id", "Country", "provider")
+    for most in (5, 1000):
+        got = joins.join_products(many, few, "Country", most)
+        assert rows(got, "query_id", "Country", "provider") == want
+    tasks = joins.join_products(many, few, "Country", 5).where("Country = 'a'").groupBy(F.spark_partition_id()).count()
+    assert tasks.count() > 4 and tasks.agg(F.max("count")).first()[0] < len(want) / 2
